@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from quillon.llm import encoding
+from quillon.llm import encoding, mixing, ranking, splitting
 
 QUERIES = {
+    "p3_found": ranking.p3_found,
+    "p7_found": splitting.p7_found,
     "p8_ids": encoding.p8_ids,
+    "p9_mixture": mixing.p9_mixture,
+    "p9_shares": mixing.p9_shares,
+    "p9_shares_out_of_reach": mixing.p9_shares_out_of_reach,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p3_found": ranking.P3_SQL,
+    "p7_found": splitting.P7_SQL,
+}
