@@ -22,14 +22,18 @@ from pyspark.sql import functions as F
 
 from quillon.sources.tables import table
 
-#: The public pattern of the tokenizer; (?U) makes \s the Unicode white space.
-WORD_PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The public pattern of the tokenizer, written without backtracking; (?U) makes \s the Unicode white space.
+WORD_PATTERN = r"(?U)'(?:[stmd]|re|ve|ll)| ?+(?:\p{L}++|\p{N}++|[^\s\p{L}\p{N}]++)|\s+(?!\S)|\s++"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 #: Marks around a piece while it is folded; outside the 256 chars that stand for bytes.
 OPEN, CLOSE = "Ā", "ā"
 BUCKETS = 1 << 15
-NO_RANK = 1 << 30
+NO_RANK, SHIFT = 1 << 30, 1 << 32
+#: Words of more bytes are folded by a way that costs more per step and takes fewer steps.
+SHORT = 64
+#: Stands before a word that was folded beforehand, so that no piece is taken for one.
+FOLDED = "\u0102"
 
 
 def load_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -64,10 +68,35 @@ def split_words(text: Column) -> Column:
 
 
 def fold_word(word: Column, table: Column) -> Column:
-    """The ids of one word (given as bytes), by ranked merges. Only the table's entries with one id are ranks."""
+    """The ids of one word (given as bytes), by ranked merges."""
+    return F.when(F.length(word) <= SHORT, _fold_short(word, table)).otherwise(_fold_long(word, table))
 
-    def rank(piece: Column) -> Column:
-        return let(_look_up(table, piece), lambda e: F.when(F.size(e) == 1, F.get(e, 0)))
+
+def _rank(table: Column, piece: Column) -> Column:
+    return F.get(_look_up(table, piece), 0)
+
+
+def _fold_short(word: Column, table: Column) -> Column:
+    """State: where pieces begin, and the end. A step takes out the border inside the pair of lowest rank, the first of several."""
+
+    def piece(start: Column, end: Column) -> Column:
+        return F.substring(word, start + 1, end - start)
+
+    def step(borders: Column, _: Column) -> Column:
+        inner = F.slice(borders, F.lit(2), F.size(borders) - 2)
+        ranked = F.transform(
+            inner,
+            lambda at, i: F.coalesce(_rank(table, piece(F.get(borders, i), F.get(borders, i + 2))), F.lit(NO_RANK)) * F.lit(SHIFT) + at,
+        )
+        return let(F.array_min(ranked), lambda m: F.when(m < NO_RANK * SHIFT, F.array_remove(borders, (m % SHIFT).cast("int"))).otherwise(borders))
+
+    start = F.sequence(F.lit(0), F.length(word))
+    ends = F.aggregate(F.sequence(F.lit(2), F.greatest(F.length(word), F.lit(2))), start, lambda b, i: F.when(F.size(b) > 2, step(b, i)).otherwise(b))
+    return let(ends, lambda b: F.transform(F.slice(b, F.lit(1), F.size(b) - 1), lambda at, i: _rank(table, piece(at, F.get(b, i + 1)))))
+
+
+def _fold_long(word: Column, table: Column) -> Column:
+    """State: the marked pieces as one string. A step joins the pair of lowest rank wherever it stands."""
 
     def pieces(marked: Column) -> Column:
         return F.split(F.substring(marked, F.lit(2), F.length(marked) - 2), CLOSE + OPEN)
@@ -77,7 +106,7 @@ def fold_word(word: Column, table: Column) -> Column:
             F.transform(
                 F.sequence(F.lit(0), F.size(p) - 2),
                 lambda i: F.struct(
-                    F.coalesce(rank(F.concat(F.get(p, i), F.get(p, i + 1))), F.lit(NO_RANK)).alias("rank"),
+                    F.coalesce(_rank(table, F.concat(F.get(p, i), F.get(p, i + 1))), F.lit(NO_RANK)).alias("rank"),
                     F.get(p, i).alias("left"),
                     F.get(p, i + 1).alias("right"),
                 ),
@@ -95,9 +124,9 @@ def fold_word(word: Column, table: Column) -> Column:
 
         return F.when(state.open, let(let(pieces(state.text), lowest), merged)).otherwise(state)
 
-    start = F.struct(F.regexp_replace(word, "(?s)(.)", f"{OPEN}$1{CLOSE}").alias("text"), (F.length(word) > 1).alias("open"))
-    done = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1))), start, step, lambda state: pieces(state.text))
-    return F.transform(done, rank)
+    start = F.struct(F.regexp_replace(word, "(?s)(.)", f"{OPEN}$1{CLOSE}").alias("text"), F.lit(True).alias("open"))
+    done = F.aggregate(F.sequence(F.lit(2), F.length(word)), start, step, lambda state: pieces(state.text))
+    return F.transform(done, lambda p: _rank(table, p))
 
 
 class Encoder:
@@ -111,7 +140,7 @@ class Encoder:
         self.tokens = {token.decode("latin-1"): rank for token, rank in load_ranks(path).items()}
 
     def table(self, frequent: dict[str, list[int]] | None = None) -> Column:
-        return _literal({t: [r] for t, r in self.tokens.items()} | (frequent or {}))
+        return _literal({t: [r] for t, r in self.tokens.items()} | {FOLDED + w: ids for w, ids in (frequent or {}).items()})
 
     def frequent_words(self, texts: DataFrame, column: str, max_words: int = 1 << 16, sample_rows: int = 20_000) -> dict[str, list[int]]:
         """Ids of words that need folding often: at most max_words, counted on about sample_rows rows.
@@ -124,19 +153,22 @@ class Encoder:
             .select(F.explode(split_words(F.col(column))).alias("w"))
             .groupBy(as_bytes(F.col("w")).alias("b"))
             .agg(F.count(F.lit(1)).alias("n"))
-            .where((F.col("n") > 1) & (F.length("b") <= 64))
+            .where((F.col("n") > 1) & (F.length("b") <= SHORT))
+            .orderBy(F.desc("n"), "b")
+            .limit(max_words + len(self.tokens))
         )
-        unknown = words.where(let(self.table(), lambda t: _look_up(t, F.col("b"))).isNull()).orderBy(F.desc("n"), "b").limit(max_words)
-        cores = texts.sparkSession.sparkContext.defaultParallelism
-        folded = unknown.repartition(cores).select("b", let(self.table(), lambda t: fold_word(F.col("b"), t)).alias("ids"))
-        return {r.b: list(r.ids) for r in folded.toLocalIterator()}
+        unknown = [(r.b,) for r in words.select("b").collect() if r.b not in self.tokens][:max_words]
+        spark = texts.sparkSession
+        listed = spark.createDataFrame(unknown, "b string").repartition(spark.sparkContext.defaultParallelism)
+        folded = listed.select("b", let(self.table(), lambda t: fold_word(F.col("b"), t)).alias("ids"))
+        return {r.b: list(r.ids) for r in folded.collect()}
 
     def ids(self, text: Column, frequent: dict[str, list[int]] | None = None) -> Column:
         """The list of ids of a text column."""
 
         def encode(table: Column) -> Column:
             def of_word(word: Column) -> Column:
-                return F.coalesce(_look_up(table, word), fold_word(word, table))
+                return F.coalesce(_look_up(table, word), _look_up(table, F.concat(F.lit(FOLDED), word)), fold_word(word, table))
 
             words = split_words(F.coalesce(text, F.lit("")))
             return F.flatten(F.transform(words, lambda w: let(as_bytes(w), of_word)))

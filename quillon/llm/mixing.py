@@ -37,9 +37,9 @@ def sized_texts(docs: DataFrame) -> DataFrame:
         normal_source(F.col("source")).alias("_source"),
         F.md5("text").alias("_text"),
         F.size(encoder.ids(F.col("text"), encoder.frequent_words(docs, "text"))).alias("_tokens"),
-    ).where((F.col("_tokens") > 0) & F.col("_doc").isNotNull())
+    ).where(F.col("_doc").isNotNull())
     one = sized.groupBy("_text").agg(F.min(F.struct("_doc", "_source", "_tokens")).alias("_one"))
-    return one.select("_one.*", (F.shiftrightunsigned(F.xxhash64("_text"), 64 - LEVEL_BITS * LEVELS)).alias("_hash"))
+    return one.where("_one._tokens > 0").select("_one.*", (F.shiftrightunsigned(F.xxhash64("_text"), 64 - LEVEL_BITS * LEVELS)).alias("_hash"))
 
 
 def _thresholds(texts: DataFrame, budgets: dict[str, int]) -> dict[str, int]:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from quillon.llm import encoding, mixing, ranking, splitting
+from quillon.llm import encoding, mixing, neardup, neighbours, ranking, splitting
 
 QUERIES = {
+    "p2_found": neardup.p2_found,
+    "p2_classes": neardup.p2_classes,
     "p3_found": ranking.p3_found,
+    "p4_found": neighbours.p4_found,
+    "p4_recall": neighbours.p4_recall,
     "p7_found": splitting.p7_found,
     "p8_ids": encoding.p8_ids,
     "p9_mixture": mixing.p9_mixture,
@@ -14,6 +18,7 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "p2_found": neardup.P2_SQL,
     "p3_found": ranking.P3_SQL,
     "p7_found": splitting.P7_SQL,
 }
