@@ -32,6 +32,8 @@ BUCKETS = 1 << 15
 NO_RANK, SHIFT = 1 << 30, 1 << 32
 #: Words of more bytes are folded by a way that costs more per step and takes fewer steps.
 SHORT = 64
+#: Longest text of a plan that the driver keeps.
+PLAN_TEXT = 20_000
 #: Stands before a word that was folded beforehand, so that no piece is taken for one.
 FOLDED = "\u0102"
 
@@ -147,6 +149,7 @@ class Encoder:
 
         Only the speed depends on which words these are.
         """
+        self._quiet(texts.sparkSession)
         step = max(1, texts.count() // sample_rows)
         words = (
             texts.where(F.pmod(F.xxhash64(column), F.lit(step)) == 0)
@@ -163,6 +166,11 @@ class Encoder:
         folded = listed.select("b", let(self.table(), lambda t: fold_word(F.col("b"), t)).alias("ids"))
         return {r.b: list(r.ids) for r in folded.collect()}
 
+    def _quiet(self, spark: SparkSession) -> None:
+        """Spark keeps every plan as text; with a vocabulary in each, the driver would need gigabytes."""
+        if int(spark.conf.get("spark.sql.maxPlanStringLength")) > PLAN_TEXT:
+            spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
+
     def ids(self, text: Column, frequent: dict[str, list[int]] | None = None) -> Column:
         """The list of ids of a text column."""
 

@@ -119,8 +119,8 @@ def nearest(rows: DataFrame, key: str, vector: str = "vector", k: int = 5, width
     placed = cut(
         heads.select("_id", "_v").mapInPandas(_assigner(_unit([r._v for r in sample]), min(PROBES, len(sample))), f"_id {id_type}, _v array<float>, _cells array<int>")
     )
-    homes = {r.c: r.n for r in placed.groupBy(F.get("_cells", 0).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    asks = {r.c: r.n for r in placed.groupBy(F.explode("_cells").alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    homes = {r.c: r.n for r in placed.select(F.get("_cells", 0).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    asks = {r.c: r.n for r in placed.select(F.explode("_cells").alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
     parts = spark.createDataFrame([(c, -(-homes.get(c, 0) // SHARD), -(-asks[c] // SHARD)) for c in asks], "_cell int, _xs int, _qs int")
     split = F.pmod(F.xxhash64("_id"), F.lit(1 << 30))
     index = placed.select("_id", "_v", F.get("_cells", 0).alias("_cell")).join(F.broadcast(parts), "_cell")  # a row per pivot

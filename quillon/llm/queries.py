@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from quillon.llm import encoding, mixing, neardup, neighbours, ranking, splitting
+from quillon.llm import docpairs, encoding, mixing, neardup, neighbours, parsecheck, ranking, splitting
 
 QUERIES = {
+    "p1_found": parsecheck.p1_found,
+    "p1_rates": parsecheck.p1_rates,
     "p2_found": neardup.p2_found,
     "p2_classes": neardup.p2_classes,
     "p3_found": ranking.p3_found,
     "p4_found": neighbours.p4_found,
     "p4_recall": neighbours.p4_recall,
+    "p5_found": docpairs.p5_found,
+    "p5_pairs": docpairs.p5_pairs,
+    "p5_pairs_of_files": docpairs.p5_pairs_of_files,
     "p7_found": splitting.p7_found,
     "p8_ids": encoding.p8_ids,
     "p9_mixture": mixing.p9_mixture,
