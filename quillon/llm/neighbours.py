@@ -60,8 +60,8 @@ def _assigner(pivots: np.ndarray, probes: int):
 def _search(index: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
     out = {"_id": [], "_other": [], "_cos": []}
     if len(index) and len(queries):
-        x, q = _unit(index["_v"]), _unit(queries["_v"])
-        names, own = index["_id"].to_numpy(), queries["_id"].to_numpy()
+        x, q = _unit(index["_v"]), _unit(queries["_w"])
+        names, own = index["_id"].to_numpy(), queries["_me"].to_numpy()
         place = {n: i for i, n in enumerate(names)}
         lines = np.random.default_rng(x.shape[1]).standard_normal((x.shape[1], PROJECTIONS))
         px, pq = x @ lines, q @ lines
@@ -122,13 +122,17 @@ def nearest(rows: DataFrame, key: str, vector: str = "vector", k: int = 5, width
     homes = {r.c: r.n for r in placed.select(F.get("_cells", 0).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
     asks = {r.c: r.n for r in placed.select(F.explode("_cells").alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
     parts = spark.createDataFrame([(c, -(-homes.get(c, 0) // SHARD), -(-asks[c] // SHARD)) for c in asks], "_cell int, _xs int, _qs int")
-    split = F.pmod(F.xxhash64("_id"), F.lit(1 << 30))
     index = placed.select("_id", "_v", F.get("_cells", 0).alias("_cell")).join(F.broadcast(parts), "_cell")  # a row per pivot
-    index = index.select("_id", "_v", "_cell", F.pmod(split, "_xs").cast("int").alias("_x"), F.explode(F.sequence(F.lit(0), F.col("_qs") - 1)).alias("_q"))
-    asked = placed.select("_id", "_v", F.explode("_cells").alias("_cell")).join(F.broadcast(parts), "_cell").where("_xs > 0")
-    asked = asked.select("_id", "_v", "_cell", F.explode(F.sequence(F.lit(0), F.col("_xs") - 1)).alias("_x"), F.pmod(split, "_qs").cast("int").alias("_q"))
-    keys = ["_cell", "_x", "_q"]
-    near = index.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(lambda a, b: _search(a, b, k), f"_id {id_type}, _other {id_type}, _cos double")
+    index = index.select("_id", "_v", "_cell", F.pmod(F.xxhash64("_id"), "_xs").cast("int").alias("_x"), F.explode(F.sequence(F.lit(0), F.col("_qs") - 1)).alias("_q"))
+    asked = placed.select(F.col("_id").alias("_me"), F.col("_v").alias("_w"), F.explode("_cells").alias("_cell")).join(F.broadcast(parts), "_cell").where("_xs > 0")
+    asked = asked.select(
+        "_me",
+        "_w",
+        F.col("_cell").alias("_c"),
+        F.explode(F.sequence(F.lit(0), F.col("_xs") - 1)).alias("_y"),
+        F.pmod(F.xxhash64("_me"), "_qs").cast("int").alias("_z"),
+    )
+    near = index.groupBy("_cell", "_x", "_q").cogroup(asked.groupBy("_c", "_y", "_z")).applyInPandas(lambda a, b: _search(a, b, k), f"_id {id_type}, _other {id_type}, _cos double")
     best = Window.partitionBy("_id").orderBy(F.desc("_cos"), "_other")
     found = near.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).select("_id", "_other", "_cos")
     copies = vectors.join(heads.select("_id"), "_id", "left_anti").select("_id", "_h", "_h2")
@@ -152,17 +156,18 @@ def p4_recall(spark: SparkSession, folder: str) -> DataFrame:
     def brute(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = {"_id": [], "_other": [], "_cos": []}
         if len(a) and len(b):
-            cos, names = np.round(_unit(b["_v"]) @ _unit(a["_v"]).T, 9), a["_id"].to_numpy()
-            for i, me in enumerate(b["_id"]):
+            cos, names = np.round(_unit(b["_w"]) @ _unit(a["_v"]).T, 9), a["_id"].to_numpy()
+            for i, me in enumerate(b["_me"]):
                 best = sorted((-cos[i, j], names[j]) for j in np.argsort(-cos[i], kind="stable")[:12] if names[j] != me)[:5]
                 out["_id"] += [me] * len(best)
                 out["_other"] += [x for _, x in best]
                 out["_cos"] += [-c for c, _ in best]
         return pd.DataFrame(out)
 
-    queries = vectors.where(F.pmod(F.xxhash64("_id"), F.lit(20)) == 0).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = vectors.where(F.pmod(F.xxhash64("_id"), F.lit(20)) == 0)
+    queries = asked.select(F.col("_id").alias("_me"), F.col("_v").alias("_w"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_c"))
     base = vectors.withColumn("_b", F.pmod(F.xxhash64("_v"), F.lit(blocks)).cast("int"))
-    true = base.groupBy("_b").cogroup(queries.groupBy("_b")).applyInPandas(brute, "_id string, _other string, _cos double")
+    true = base.groupBy("_b").cogroup(queries.groupBy("_c")).applyInPandas(brute, "_id string, _other string, _cos double")
     best = Window.partitionBy("_id").orderBy(F.desc("_cos"), "_other")
     true = true.withColumn("_r", F.row_number().over(best)).where("_r <= 5")
     found = nearest(rows, "chunk_id").select(F.col("item_id").alias("_id"), F.col("neighbour_id").alias("_other"), F.lit(1).alias("_hit"))
