@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import docpairs, encoding, mixing, neardup, neighbours, parsecheck, ranking, splitting
+from quillon.llm import docpairs, encoding, mixing, neardup, neighbours, parsecheck, provenance, ranking, splitting
 
 QUERIES = {
     "p1_found": parsecheck.p1_found,
@@ -15,6 +15,8 @@ QUERIES = {
     "p5_found": docpairs.p5_found,
     "p5_pairs": docpairs.p5_pairs,
     "p5_pairs_of_files": docpairs.p5_pairs_of_files,
+    "p6_found": provenance.p6_found,
+    "p6_kinds": provenance.p6_kinds,
     "p7_found": splitting.p7_found,
     "p8_ids": encoding.p8_ids,
     "p9_mixture": mixing.p9_mixture,
