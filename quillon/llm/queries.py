@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import docpairs, encoding, mixing, neardup, neighbours, parsecheck, provenance, ranking, splitting
+from quillon.llm import docpairs, encoding, mixing, neardup, neighbours, parsecheck, provenance, ranking, spam, splitting
 
 QUERIES = {
     "p1_found": parsecheck.p1_found,
@@ -22,6 +22,8 @@ QUERIES = {
     "p9_mixture": mixing.p9_mixture,
     "p9_shares": mixing.p9_shares,
     "p9_shares_out_of_reach": mixing.p9_shares_out_of_reach,
+    "p10_found": spam.p10_found,
+    "p10_host_rates": spam.p10_host_rates,
 }
 
 SQL: dict[str, str] = {
