@@ -80,15 +80,14 @@ def _node(children: DataFrame, key: list[str]) -> DataFrame:
 
 def shared_nodes(files: DataFrame) -> DataFrame:
     """path of every file that lies under a node found in unrelated repositories. files: path, _hash, _size."""
-    spark = files.sparkSession
     repo = F.split("node", "/")[0]
-    level = files.select(F.col("path").alias("node"), "_hash", "_size")
-    nodes = level
-    depth = files.agg(F.max(F.size(F.split("path", "/")))).first()[0] or 0
-    inner = spark.createDataFrame([], "node string, _hash bigint, _size bigint")
+    level = cut(files.select(F.col("path").alias("node"), "_hash", "_size", F.size(F.split("path", "/")).alias("_depth")))
+    nodes, inner = level.drop("_depth"), level.drop("_depth").limit(0)
+    depth = level.agg(F.max("_depth")).first()[0] or 0
     for d in range(depth - 1, 0, -1):
-        deep = level.union(inner).where(F.size(F.split("node", "/")) == d + 1) if d == depth - 1 else inner.union(level.where(F.size(F.split("node", "/")) == d + 1))
-        inner = _node(deep.select(F.array_join(F.slice(F.split("node", "/"), 1, d), "/").alias("node"), "_hash", "_size"), ["node"])
+        children = inner.union(level.where(F.col("_depth") == d + 1).drop("_depth"))
+        parent = F.array_join(F.slice(F.split("node", "/"), 1, d), "/").alias("node")
+        inner = cut(_node(children.select(parent, "_hash", "_size"), ["node"]))
         if d > 1:
             nodes = nodes.union(inner)
     roots = inner.select(F.col("node").alias("_repo"), F.col("_hash").alias("_root"))
