@@ -1,9 +1,21 @@
-"""Parquet table access by folder and name."""
+"""Parquet tables by folder and name, and what is in force of them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def files_in_force(files: DataFrame, *columns: str) -> DataFrame:
+    """path and columns of the latest row of each path. Only the columns asked for are shuffled."""
+    latest = F.max_by(F.struct(*columns), F.coalesce("indexed_at", F.lit("1970-01-01").cast("timestamp_ntz"))).alias("_row")
+    return files.where(F.col("path").isNotNull()).groupBy("path").agg(latest).select("path", "_row.*")
+
+
+def chunks(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Distinct chunks, cut down to the columns asked for."""
+    return table(spark, folder, "chunks").select(*dict.fromkeys(["id", *columns])).distinct()
