@@ -105,7 +105,7 @@ def _python_functions(text: str, first_only: bool) -> Iterator[tuple[str, str, i
 def _python_doc(text: str, at: int) -> str:
     docs, scan = [], _TOKEN["python"]
     for m in scan.finditer(text, at):
-        if text[at : m.start()].strip(" \t\r\;"):
+        if text[at : m.start()].strip(" \t\r;"):
             break
         at = m.end()
         if m.lastgroup == "str":
