@@ -34,7 +34,7 @@ def search_blob(symbol: Column, path: Column, content: Column) -> Column:
 
 
 def slugify(text: Column) -> Column:
-    slug = F.trim(F.lit("-"), F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"))
+    slug = F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), F.lit("-"))
     return F.when(slug == "", "untitled").otherwise(slug)
 
 
@@ -46,7 +46,7 @@ def is_valid_slug(slug: Column) -> Column:
 def wikilinks(text: Column) -> Column:
     """Targets of [[...]] in order of first mention; trimmed, without empty ones."""
     found = F.regexp_extract_all(text, F.lit(r"(?s)\[\[(.*?)\]\]"), F.lit(1))
-    return F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(F.lit(" \t\r\n"), x)), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(x, F.lit(" \t\r\n"))), lambda x: x != ""))
 
 
 def split_csv(text: Column) -> Column:

@@ -56,7 +56,7 @@ def grep(files: DataFrame, query: str, per_file: int = 10, max_bytes: int = 10 <
     lines = files.where(F.octet_length("content") <= max_bytes).select("path", F.posexplode(lines_of(F.col("content"))).alias("at", "raw"))
     hits = lines.where(line_predicate(F.col("raw"), query))
     ranked = hits.withColumn("nth", F.row_number().over(Window.partitionBy("path").orderBy("at"))).where(F.col("nth") <= per_file)
-    return ranked.select("path", (F.col("at") + 1).alias("line_number"), F.trim(F.lit(" \t\r"), F.col("raw")).alias("line"))
+    return ranked.select("path", (F.col("at") + 1).alias("line_number"), F.trim(F.col("raw"), F.lit(" \t\r")).alias("line"))
 
 
 def fuzzy_score(path: Column, query: str) -> Column:
