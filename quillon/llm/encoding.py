@@ -17,6 +17,7 @@ import base64
 import json
 import zlib
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,10 +51,11 @@ def let(value: Column, body) -> Column:
 
 def _literal(entries: dict[str, list[int]]) -> Column:
     """A constant array of maps; the entry of key k lies in map crc32(k) mod BUCKETS."""
-    maps: list[dict] = [{} for _ in range(BUCKETS)]
+    maps: list[list[str]] = [[] for _ in range(BUCKETS)]
     for k, v in entries.items():
-        maps[zlib.crc32(k.encode("utf-8")) % BUCKETS][k] = v
-    return F.from_json(F.lit(json.dumps(maps, ensure_ascii=False, separators=(",", ":"))), "array<map<string,array<int>>>")
+        maps[zlib.crc32(k.encode("utf-8")) % BUCKETS].append(f"{json.dumps(k, ensure_ascii=False)}:[{','.join(map(str, v))}]")
+    text = "[" + ",".join("{" + ",".join(m) + "}" for m in maps) + "]"
+    return F.from_json(F.lit(text), "array<map<string,array<int>>>")
 
 
 def _look_up(table: Column, key: Column) -> Column:
@@ -160,11 +162,11 @@ class Encoder:
             .orderBy(F.desc("n"), "b")
             .limit(max_words + len(self.tokens))
         )
-        unknown = [(r.b,) for r in words.select("b").collect() if r.b not in self.tokens][:max_words]
+        unknown = [w for w in words.select("b").toArrow().column("b").to_pylist() if w not in self.tokens][:max_words]
         spark = texts.sparkSession
-        listed = spark.createDataFrame(unknown, "b string").repartition(spark.sparkContext.defaultParallelism)
-        folded = listed.select("b", let(self.table(), lambda t: fold_word(F.col("b"), t)).alias("ids"))
-        return {r.b: list(r.ids) for r in folded.collect()}
+        listed = spark.createDataFrame(pa.table({"b": pa.array(unknown, pa.string())})).repartition(spark.sparkContext.defaultParallelism)
+        folded = listed.select("b", let(self.table(), lambda t: fold_word(F.col("b"), t)).alias("ids")).toArrow()
+        return dict(zip(folded.column("b").to_pylist(), folded.column("ids").to_pylist(), strict=True))
 
     def _quiet(self, spark: SparkSession) -> None:
         """Spark keeps every plan as text; with a vocabulary in each, the driver would need gigabytes."""
