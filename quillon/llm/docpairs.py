@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.functions.frames import frame
 from quillon.llm.lexing import language_of
 from quillon.sources.tables import table
 
@@ -303,7 +304,7 @@ def _describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     out["id"].append(key)
                     out["name"].append(got[0])
                     out["description"].append(text)
-        yield pd.DataFrame(out)
+        yield frame(out)
 
 
 def described_chunks(chunks: DataFrame) -> DataFrame:
@@ -328,7 +329,7 @@ def _pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     out["first_line"].append(content.count("\n", 0, start) + 1)
                     out["description"].append(text)
                     out["code"].append(content[start:end].strip("\n"))
-        yield pd.DataFrame(out)
+        yield frame(out)
 
 
 def described_functions(files: DataFrame) -> DataFrame:

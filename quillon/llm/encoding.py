@@ -29,7 +29,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 #: Marks around a piece while it is folded; outside the 256 chars that stand for bytes.
 OPEN, CLOSE = "Ā", "ā"
-BUCKETS = 1 << 15
+BUCKETS = 1 << 16
 NO_RANK, SHIFT = 1 << 30, 1 << 32
 #: Words of more bytes are folded by a way that costs more per step and takes fewer steps.
 SHORT = 64
@@ -81,7 +81,10 @@ def _rank(table: Column, piece: Column) -> Column:
 
 
 def _fold_short(word: Column, table: Column) -> Column:
-    """State: where pieces begin, and the end. A step takes out the border inside the pair of lowest rank, the first of several."""
+    """State: where pieces begin, and the end; -1 behind them says that no pair has a rank.
+
+    A step takes out the border inside the pair of lowest rank, the first of several.
+    """
 
     def piece(start: Column, end: Column) -> Column:
         return F.substring(word, start + 1, end - start)
@@ -92,11 +95,11 @@ def _fold_short(word: Column, table: Column) -> Column:
             inner,
             lambda at, i: F.coalesce(_rank(table, piece(F.get(borders, i), F.get(borders, i + 2))), F.lit(NO_RANK)) * F.lit(SHIFT) + at,
         )
-        return let(F.array_min(ranked), lambda m: F.when(m < NO_RANK * SHIFT, F.array_remove(borders, (m % SHIFT).cast("int"))).otherwise(borders))
+        return let(F.array_min(ranked), lambda m: F.when(m < NO_RANK * SHIFT, F.array_remove(borders, (m % SHIFT).cast("int"))).otherwise(F.array_append(borders, F.lit(-1))))
 
     start = F.sequence(F.lit(0), F.length(word))
-    ends = F.aggregate(F.sequence(F.lit(2), F.greatest(F.length(word), F.lit(2))), start, lambda b, i: F.when(F.size(b) > 2, step(b, i)).otherwise(b))
-    return let(ends, lambda b: F.transform(F.slice(b, F.lit(1), F.size(b) - 1), lambda at, i: _rank(table, piece(at, F.get(b, i + 1)))))
+    ends = F.aggregate(F.sequence(F.lit(2), F.greatest(F.length(word), F.lit(2))), start, lambda b, i: F.when((F.size(b) > 2) & (F.element_at(b, -1) >= 0), step(b, i)).otherwise(b))
+    return let(F.array_remove(ends, F.lit(-1)), lambda b: F.transform(F.slice(b, F.lit(1), F.size(b) - 1), lambda at, i: _rank(table, piece(at, F.get(b, i + 1)))))
 
 
 def _fold_long(word: Column, table: Column) -> Column:

@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.frames import frame
 from quillon.session import cut
 from quillon.sources.tables import table
 
@@ -98,7 +99,7 @@ def _search(index: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
             open_ = np.array(left, dtype=np.int64)
             if not len(open_):
                 break
-    return pd.DataFrame(out)
+    return frame(out)
 
 
 def nearest(rows: DataFrame, key: str, vector: str = "vector", k: int = 5, width: int = 64) -> DataFrame:
@@ -162,7 +163,7 @@ def p4_recall(spark: SparkSession, folder: str) -> DataFrame:
                 out["_id"] += [me] * len(best)
                 out["_other"] += [x for _, x in best]
                 out["_cos"] += [-c for c, _ in best]
-        return pd.DataFrame(out)
+        return frame(out)
 
     asked = vectors.where(F.pmod(F.xxhash64("_id"), F.lit(20)) == 0)
     queries = asked.select(F.col("_id").alias("_me"), F.col("_v").alias("_w"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_c"))

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.frames import frame
 from quillon.llm.grammar import BAD_STATEMENTS, LANGUAGES, Classes, permissible_pairs, token_pattern
 from quillon.llm.lexing import language_of
 from quillon.session import cut
@@ -135,7 +136,7 @@ def _facts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             out["pairs"].append(pairs)
             out["brackets"].append(brackets)
             out["statements"].append(statements)
-        yield pd.DataFrame(out)
+        yield frame(out)
 
 
 def lex_files(files: DataFrame) -> DataFrame:

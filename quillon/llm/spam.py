@@ -22,6 +22,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.functions.frames import frame
 from quillon.session import cut
 from quillon.sources.tables import table
 
@@ -91,7 +92,8 @@ def page_features(text: str) -> list[float]:
 
 def _measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        yield pd.DataFrame([[i, h, *page_features(t)] for i, h, t in zip(f["_id"], f["_host"], f["_text"], strict=True)], columns=["_id", "_host", *FEATURES])
+        rows = [page_features(t) for t in f["_text"]]
+        yield frame({"_id": f["_id"], "_host": f["_host"]} | {c: [r[k] for r in rows] for k, c in enumerate(FEATURES)})
 
 
 #: Plain cases of either class.
