@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.frames import frame
 from quillon.functions.text import line_count, lines_of
 
 BLOCK_LINES = 80
@@ -109,7 +110,7 @@ def _items(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 rows += [(path, language, n, k, a, b, "\n".join(lines[a - 1 : b])) for n, k, a, b in items]
             else:
                 rows += [(path, language, f"block@L{a + 1}", "block", a + 1, min(a + BLOCK_LINES, len(lines)), "\n".join(lines[a : a + BLOCK_LINES])) for a in range(0, len(lines), BLOCK_LINES)]
-        yield pd.DataFrame(rows, columns=names)
+        yield frame({n: [r[i] for r in rows] for i, n in enumerate(names)})
 
 
 def structure_chunks(files: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.frames import frame
 from quillon.functions.text import words
 
 BLOCKS = 16
@@ -74,7 +75,7 @@ def batch_top_k(base: DataFrame, queries: DataFrame, key: str, query_key: str, k
                 out["q"] += [me] * len(best)
                 out["n"] += [x for _, x in best]
                 out["score"] += [-s for s, _ in best]
-        return pd.DataFrame(out)
+        return frame(out)
 
     near = _block_pairs(base.select(F.col(key).alias("id"), F.col("vector").alias("v")), queries.select(F.col(query_key).alias("id"), F.col("vector").alias("v")), find, f"q {asked_kind}, n {kind}, score double")
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "n"))).where(F.col("rank") <= k)
@@ -86,12 +87,12 @@ def similar_pairs(vectors: DataFrame, key: str, least: float = 0.85) -> DataFram
     kind = dict(vectors.dtypes)[key]
 
     def find(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"a": [], "b": [], "score": []})
+        out: dict = {"a": [], "b": [], "score": []}
         if len(a) and len(b):
             cos = np.round(_unit(a["lv"]) @ _unit(b["rv"]).T, 6)
             i, j = np.nonzero((cos > least) & (a["l"].to_numpy()[:, None] < b["r"].to_numpy()[None, :]))
-            out = pd.DataFrame({"a": a["l"].to_numpy()[i], "b": b["r"].to_numpy()[j], "score": cos[i, j]})
-        return out
+            out = {"a": list(a["l"].to_numpy()[i]), "b": list(b["r"].to_numpy()[j]), "score": cos[i, j]}
+        return frame(out)
 
     both = vectors.select(F.col(key).alias("id"), F.col("vector").alias("v"))
     return _block_pairs(both, both, find, f"a {kind}, b {kind}, score double").select(F.col("a").alias(f"{key}_a"), F.col("b").alias(f"{key}_b"), "score")
