@@ -143,11 +143,11 @@ def _brace_functions(text: str, language: str, first_only: bool) -> Iterator[tup
         text = _RUST_LIFETIME.sub(lambda m: "_" * len(m.group()), text)
     scan = _TOKEN["brace"]
     docs: list[str] = []
-    first, at, pos, words, newlines = None, 0, 0, [], 0
+    first, pos, words, newlines, angles = None, 0, [], 0, 0
 
     def reset() -> None:
-        nonlocal docs, first, words
-        docs, first, words = [], None, []
+        nonlocal docs, first, words, angles
+        docs, first, words, angles = [], None, [], 0
 
     while (m := scan.search(text, pos)) is not None:
         kind, t, pos = m.lastgroup if m.lastgroup != "h" else "raw", m.group(), m.end()
@@ -160,12 +160,10 @@ def _brace_functions(text: str, language: str, first_only: bool) -> Iterator[tup
                 if newlines > 1 or block or (docs and docs[-1].startswith("/*")):
                     docs = []
                 docs.append(t)
-                first = m.start() if first is None or len(docs) == 1 else first
             elif kind == "doc" and (language == "rust" or block):
                 if language != "rust":
                     docs = []
                 docs.append(t)
-                first = m.start() if first is None or len(docs) == 1 else first
             newlines = 0
             continue
         if language == "go" and docs and newlines > 1:
@@ -184,7 +182,12 @@ def _brace_functions(text: str, language: str, first_only: bool) -> Iterator[tup
                 pos = _skip(text, pos, scan, ")")
         elif kind == "word":
             first = m.start() if first is None else first
-            words.append(t)
+            if not angles:
+                words.append(t)
+        elif t == "<":
+            angles += bool(words)
+        elif t == ">":
+            angles = max(0, angles - 1)
         elif t == "(":
             close = _skip(text, m.start(), scan, ")")
             name, rest = _header(text, close, words, language)

@@ -32,9 +32,9 @@ _LANGUAGES: dict[str, dict] = {
         ],
         "words": {
             "K": "if while with", "F": "for", "D": "def", "C": "class", "B": "elif else except finally", "T": "try", "A": "async", "m": "match case type",
-            "r": "return yield raise", "Z": "assert del global nonlocal", "e": "pass break continue", "I": "import from", "o": "and or in is", "w": "as", "x": "not", "l": "lambda", "t": "await", "c": "None True False",
+            "r": "return yield raise", "Z": "assert del global nonlocal", "e": "pass break continue", "I": "import", "J": "from", "o": "and or in is", "w": "as", "x": "not", "l": "lambda", "t": "await", "c": "None True False",
         },
-        "operators": {"b": "** // << >> <= >= == != / % & | ^ < >", "d": "+ - *", "u": "~", "=": "= := += -= *= /= //= %= @= &= |= ^= <<= >>= **=", "a": "->", "c": "...", "@": "@"},
+        "operators": {"b": "// << >> <= >= == != % & | ^ < >", "d": "+ - * ** /", "u": "~", "=": "= := += -= *= /= //= %= @= &= |= ^= <<= >>= **=", "a": "->", "c": "...", "@": "@"},
     },
     "javascript": {
         "tokens": [
@@ -155,9 +155,9 @@ def permissible_pairs(language: str) -> frozenset[str]:
         return frozenset(_cross("N", "Nisn[v]},{") | _cross("=", value) | _cross("[,{", value + "i]}N") | _cross(ends, ",N]}.=") | _cross(".", "isnv") | {"nn", "]]", "^$"} | _cross("^", "Nisn[v") | _cross("Nisnv]}", "$") | _cross("n", ".="))
     if language == "python":
         start, end = "insc([{duxltm", "insc)]}m"
-        first = start + "KFDCTAmrZeI@"
+        first = start + "KFDCTAmrZeIJ@"
         pairs = _cross("bdo=,([{:uxta", start) | _cross(end, "bdo=,:;.)]}[(NwaKFB") - _cross("n", "(") | {"ss", "ox", "xo", "nN", "*"[:0]}
-        pairs |= _cross("w", "i(c[dm") | _cross("r", start + "N;I)]},") | {"rr"[:0]} | _cross("Z", start) | _cross("e", "N;") | _cross("I", "i.cd(m") | _cross("i.cm", "I") | _cross(".", "im.") | _cross("D", "im") | _cross("C", "im")
+        pairs |= _cross("w", "i(c[dm") | _cross("r", start + "N;I)]},") | {"rr"[:0]} | _cross("Z", start) | _cross("e", "N;") | _cross("I", "i.cd(m") | _cross("i.cm", "I") | _cross("J", start + ".") | _cross(end + "r", "J") | _cross("m", start) | _cross(".", "im.") | _cross("D", "im") | _cross("C", "im")
         pairs |= _cross("KF", start) | _cross("B", start + ":") | {"T:", "d,", "d)", "d:", "d=", "dN", "[:", ":]", "::", ":,", ":)", ":=", ")H", ":H", "l:", "@i", "@(", "=r", "(r", ",N", ";N", "H+", "^$", "^N", "N$", "-$", "AF", "AD", "AK"} | _cross("l", "idm")
         pairs |= _cross("^N+-;:", first) | _cross("-", "B-") | _cross("N", "B-$") | _cross(end, "A") | _cross(",", ")]}:=") | _cross("([{", ")]}") | _cross(end + "@", "@") | _cross("@", start) | _cross("m", "bdo=.,):(N[m") | _cross("c", "N")
         pairs |= {"." + "c"}
@@ -170,8 +170,10 @@ def permissible_pairs(language: str) -> frozenset[str]:
         pairs |= _cross("Kf", "(") | {"fy"} | _cross("B", "{iKfcrwDyNBe(;u") | _cross("r", start + ";}N") | _cross("k", start) | _cross("g", ":i{wFCsnc[(duy") | _cross("e", ";N}i") | _cross("I", "i{sbcd(." + "g") | _cross("X", "DFC{gbi") | _cross(end, "I")
         pairs |= _cross("([{", ")]}") | _cross(",", ")]}") | _cross("s", "s") - _cross("s", "s") | {"ii"} | _cross("}", "ic") | _cross("i", "i{")
         pairs |= _cross(")", "icnsDKfrewByCFIXku") | _cross("z", start) | {"bF", "b(", "X{", "i{", "p;", "p)"} | _cross("=", "z") - _cross("=", "z") | _cross(end, "a") | _cross("q", ".:,)") | _cross("g", "iI") | _cross(":", ";") - _cross(":", ";")
+        pairs |= {"K{", "[,", ",,"} | _cross("ib)]", "E")
         pairs |= _cross("^", start + words + ";N@$") | _cross(end + ";Ne", "$")
         if language == "typescript":
+            pairs |= {",b", "=b"}
             pairs |= _cross("i)]}>sncbgE", "iqxCow{o") | _cross("ED", "iC") | _cross("b", ",)];=({}[Nab.:q>b>o") | _cross("cnxs", "b[=") | _cross("q", ":,)=;.") | _cross("i", "D" + "wFC@") | {"D" + "i"} | _cross(":", "xwcIFD") | _cross("@", "i") | _cross("N;{})", "@") | _cross("o", "x") | _cross("u", ":;=.)([,N") | {"iu", ")u", "]u"}
         else:
             pairs -= {"ii", "q:", "q)", "q,"}
@@ -183,7 +185,7 @@ def permissible_pairs(language: str) -> frozenset[str]:
         pairs = _cross("bd=,([{:u;RrvkK", start) | _cross(end, "bd=,;:.)]}[({Npik") - _cross("ns", "i(") | _cross("N", start + "NDFKBkgrveG})];,IPR.") | _cross("bd=,([{.;rkuBPIDFKgeS", "N") | _cross(".", "i(") | {"P" + "i"} | _cross("I", "s(i.") | _cross("F", "i({") | _cross("D", "i(") | _cross("S", "{")
         pairs |= _cross("M", "[ids(M") | _cross("K", "i({;duNFsn[M") | _cross("B", "{K") | _cross("g", ":") | _cross("e", "N;i}") | {"Gi"} | _cross("i)]", "FSMid[(z") | _cross("z", "i)]d[MFS,(") | _cross("R", start) | _cross("d", "d") | _cross("r", start + "N;}") | _cross(";", start + "DKrveG{NF}") | _cross("{", "DKrvekgG;}") | _cross("}", "BKd") - _cross("}", "K") | _cross(":", "DKrveG]N}k")
         pairs |= {"^P", "^N", "NP"} | _cross("N})si;", "$")
-        pairs |= _cross("([{", ")]}") | _cross(",", ")]}N") | _cross("=", "R") | _cross("d", "FM[i") | {"[z", "i:", "iR", "]s", "[:", ":]"} | _cross("v", "iF(d") | _cross(")", "i[d(MFS") | _cross("s", "N") | {"is"} | _cross("b", "F")
+        pairs |= _cross("([{", ")]}") | _cross(",", ")]}N") | _cross("=", "R") | _cross("d", "FM[i") | {"(D", "D)", "[z", "i:", "iR", "]s", "[:", ":]"} | _cross("v", "iF(d") | _cross(")", "i[d(MFS") | _cross("s", "N") | {"is"} | _cross("b", "F")
         return frozenset(pairs)
     if language == "rust":
         start, end = "insl([{duFKfBMrPhLe", "insl)]}p"
@@ -192,11 +194,12 @@ def permissible_pairs(language: str) -> frozenset[str]:
         items = "FDTLUPy#"
         pairs |= _cross(";{},)]", items + start + "#@w") | _cross("]", "i") | _cross("([{", ")]}") | _cross(",", ")]}bdp") | _cross("b", ",;)]}({[bdha=.:wa" + "fP") | _cross("d", "b,)]}{;=:lTFLd.") | _cross("i", "u@LfK") - _cross("i", "K") - {"iK"} | _cross("]", "#") | {"iu", "}B", ")B", "i$", "$i", "$(", ":l", "li", "l>", "lb", "l,", "l:", "ld", "lM", "pp", "p.", "i@"}
         pairs |= _cross("^", items + "iM;{$"[:3] + "$") | _cross("^};)]", "$") - {"]$"}
-        pairs |= {";}", "n{", ";]", "b}"} | _cross("@", start) | _cross("a", start + items + "bF") | _cross("u", "{([;,=") | _cross("}", "iKfBnsl(d#.:;=p" + items) | _cross(")", "aw") | _cross("s", "s") - _cross("s", "s") | _cross("i", "fw") | _cross("bdi", "w") | _cross("w", "i") | _cross("M", "FL") | _cross(".", "t") | _cross("T", "M") | {"iM"} - {"iM"} | _cross("$", ":") | _cross(":", "i$") | _cross("nl", ":") | _cross("P", "l") | _cross("s", "{") | _cross("p", "i")-_cross("p","i") | _cross("y", "i")
+        pairs |= {";}", "n{", ";]", "b}"} | _cross("ins)]}lp", "K") | _cross("@", start) | _cross("a", start + items + "bF") | _cross("u", "{([;,=") | _cross("}", "iKfBnsl(d#.:;=p" + items) | _cross(")", "aw") | _cross("s", "s") - _cross("s", "s") | _cross("i", "fw") | _cross("bdi", "w") | _cross("w", "i") | _cross("M", "FL") | _cross(".", "t") | _cross("T", "M") | {"iM"} - {"iM"} | _cross("$", ":") | _cross(":", "i$") | _cross("nl", ":") | _cross("P", "l") | _cross("s", "{") | _cross("p", "i")-_cross("p","i") | _cross("y", "i")
         return frozenset(pairs)
     start, end = "insc([{duwpyCa", "insc)]}p"
     pairs = _cross("bd=,([{:;uaqrkoB", start) | _cross(end, "bd=,;:.)]}[({poqah") - _cross("ns", "([{") | _cross(".", "iwCcb") | {"P" + "i"} | _cross("I", "im") | _cross("m", "miCyb@({") | _cross("C", "i") | _cross("E", "i@") | _cross("Kf", "(") | _cross("B", "{iKfcrwymB(ep") | _cross("r", start + ";") | _cross("e", ";i") | _cross("w", "iy")
     pairs |= _cross("y", "i[.z)>,h(b") | _cross("i]bq)", "i@") | _cross(";{})(,:", "mPICKfBrkye@}i;c" + start) | _cross("@", "iC") | _cross("i", "EmCyKfk@z") - _cross("i", "Kfk") | _cross(")", "E{imyC@;") | _cross("E", "y") | _cross("b", "(.,){;i[E=qy@b>hm") | _cross("([{", ")]}") | _cross(",", "}q") | _cross("q", ",b:.Ei") | _cross("h", "iw") | _cross("o", "im") | _cross("m", ":a") | _cross("z", "i") | _cross("d", "b") - _cross("d", "b") | _cross("k", start) | _cross("a", "{ir") | _cross("]", "iE") | _cross("c", "b") | _cross("i", "K") - _cross("i", "K")
+    pairs |= _cross("c", "iy@") | _cross("w", ";),")
     pairs |= {"R" + x[1] for x in pairs if x[0] == "i"} | {x[0] + "R" for x in pairs if x[1] == "i"} | {"RR"}
     pairs |= _cross("^", "PImC@;R$") | _cross("};", "$")
     return frozenset(pairs)
@@ -204,7 +207,7 @@ def permissible_pairs(language: str) -> frozenset[str]:
 
 #: Statements that no production yields, as expressions over a statement's classes; G stands for a bracketed group.
 BAD_STATEMENTS: dict[str, str] = {
-    "python": r"^A?[KFBT][^:]*$|^A?D(?!iG?G(?:a.*)?:)|^A?D?Dm|^C(?!iG?G?:)|^T(?!:$|:[^:])|^A?F(?!.*o.*:)|^Z.*,$|^[^KBAIm].*w|(?<!I)d$|^[^I].*d$",
+    "python": r"^J(?!.*I(?:[iGdm]))|^J.*,$|^A?[KFBT][^:]*$|^A?D(?!iG?G(?:a.*)?:)|^A?D?Dm|^C(?!iG?G?:)|^T(?!:$|:[^:])|^A?F(?!.*o.*:)|^Z.*,$|^[^KBAIJm].*w|(?<!I)d$|^[^I].*d$",
     "javascript": r"\([ih]q?:|D[ih]:|^\{s:",
     "typescript": r"^\{s:",
     "toml": r"^(?!(?:G|[isnv](?:\.[isnv])*=[snvG])$)",
