@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as T
 from quillon.operators import bm25, chunking, fusion, graph, search, vectors, wiki
 from quillon.operators.context import within_budget
+from quillon.session import spread
 from quillon.sources import markdown
 from quillon.sources.language import detect_language
 from quillon.sources.tables import chunks, files_in_force, table
@@ -547,4 +548,4 @@ def front_matter_round_trip(spark, folder):
 def structure_chunks(spark, folder):
     """Items of all files in force; checked on small files in the tests."""
     files = files_in_force(table(spark, folder, "files").withColumn("language", detect_language(F.col("path"), F.col("content"))), "language", "content")
-    return chunking.structure_chunks(files).select("id", "symbol_kind", "line_count")
+    return chunking.structure_chunks(spread(files)).select("id", "symbol_kind", "line_count")

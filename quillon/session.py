@@ -38,3 +38,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder; later reads survive lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many tasks as there are cores; a table of many files passes as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
