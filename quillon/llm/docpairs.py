@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.frames import frame
 from quillon.llm.lexing import language_of
+from quillon.session import spread
 from quillon.sources.tables import table
 
 #: Words of which statements consist that documentation is missing, pending, elsewhere or made by a tool.
@@ -342,7 +343,7 @@ def described_functions(files: DataFrame) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return described_chunks(table(spark, folder, "chunks")).select("id").distinct()
+    return described_chunks(spread(table(spark, folder, "chunks"))).select("id").distinct()
 
 
 def p5_pairs(spark: SparkSession, folder: str) -> DataFrame:

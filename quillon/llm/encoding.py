@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.session import spread
 from quillon.sources.tables import table
 
 #: The public pattern of the tokenizer, written without backtracking; (?U) makes \s the Unicode white space.
@@ -59,12 +60,18 @@ def _literal(entries: dict[str, list[int]]) -> Column:
 
 
 def _look_up(table: Column, key: Column) -> Column:
-    return F.try_element_at(F.get(table, (F.crc32(key.cast("binary")) % F.lit(BUCKETS)).cast("int")), key)
+    return F.try_element_at(F.get(table, F.crc32(key.cast("binary")).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), key)
 
 
 def as_bytes(text: Column) -> Column:
     """The UTF-8 bytes of a text as a string with one char per byte."""
-    return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"))
+    return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+
+
+def byte_words(text: Column) -> Column:
+    """The words of a text as bytes; those of ASCII texts are so already."""
+    words = split_words(text)
+    return F.when(F.octet_length(text) == F.length(text), words).otherwise(F.transform(words, as_bytes))
 
 
 def split_words(text: Column) -> Column:
@@ -158,8 +165,8 @@ class Encoder:
         step = max(1, texts.count() // sample_rows)
         words = (
             texts.where(F.pmod(F.xxhash64(column), F.lit(step)) == 0)
-            .select(F.explode(split_words(F.col(column))).alias("w"))
-            .groupBy(as_bytes(F.col("w")).alias("b"))
+            .select(F.explode(byte_words(F.col(column))).alias("b"))
+            .groupBy("b")
             .agg(F.count(F.lit(1)).alias("n"))
             .where((F.col("n") > 1) & (F.length("b") <= SHORT))
             .orderBy(F.desc("n"), "b")
@@ -182,8 +189,7 @@ class Encoder:
             def of_word(word: Column) -> Column:
                 return F.coalesce(_look_up(table, word), _look_up(table, F.concat(F.lit(FOLDED), word)), fold_word(word, table))
 
-            words = split_words(F.coalesce(text, F.lit("")))
-            return F.flatten(F.transform(words, lambda w: let(as_bytes(w), of_word)))
+            return F.flatten(F.transform(byte_words(F.coalesce(text, F.lit(""))), of_word))
 
         return let(self.table(frequent), encode)
 
@@ -203,5 +209,5 @@ def encode_table(texts: DataFrame, column: str = "text", out: str = "ids", path:
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
     return encode_table(docs).select("doc_id", "ids")

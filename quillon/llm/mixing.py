@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.encoding import Encoder
-from quillon.session import cut
+from quillon.session import cut, spread
 from quillon.sources.tables import table
 
 #: Bits of the hash per level; five levels leave two texts of one source together once in 2^60 pairs.
@@ -115,7 +115,7 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None) ->
 
 
 def _tables(spark: SparkSession, folder: str):
-    return table(spark, folder, "documents").select("doc_id", "text", "source"), table(spark, folder, "mix_targets")
+    return spread(table(spark, folder, "documents").select("doc_id", "text", "source")), table(spark, folder, "mix_targets")
 
 
 def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from quillon.functions.frames import frame
 from quillon.llm.grammar import BAD_STATEMENTS, LANGUAGES, Classes, permissible_pairs, token_pattern
 from quillon.llm.lexing import language_of
-from quillon.session import cut
+from quillon.session import cut, spread
 from quillon.sources.tables import table
 
 _GROUP = re.compile(r"[(\[{][^()\[\]{}]*[)\]}]")
@@ -176,12 +176,12 @@ def unparsable(files: DataFrame) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return unparsable(table(spark, folder, "files").select("path", "content", "indexed_at")).where("faulty").select("path")
+    return unparsable(spread(table(spark, folder, "files").select("path", "content", "indexed_at"))).where("faulty").select("path")
 
 
 def p1_rates(spark: SparkSession, folder: str) -> DataFrame:
     """Share of unparsable files by repository and language."""
-    checked = unparsable(table(spark, folder, "files").select("path", "content", "indexed_at"))
+    checked = unparsable(spread(table(spark, folder, "files").select("path", "content", "indexed_at")))
     return checked.groupBy(F.split("path", "/")[0].alias("repository"), "language").agg(
         F.count(F.lit(1)).alias("files"), F.count_if("faulty").alias("faulty"), F.round(F.avg(F.col("faulty").cast("int")), 6).alias("rate")
     )

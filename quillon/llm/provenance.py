@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.session import cut
+from quillon.session import cut, spread
 from quillon.sources.tables import table
 
 #: Statements of generators and of vendored copies in header comments, lower case.
@@ -124,13 +124,13 @@ def provenance(files: DataFrame) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    found = provenance(table(spark, folder, "files").select("path", "content", "indexed_at"))
+    found = provenance(spread(table(spark, folder, "files").select("path", "content", "indexed_at")))
     return found.where("generated OR minified OR data OR vendored").select("path")
 
 
 def p6_kinds(spark: SparkSession, folder: str) -> DataFrame:
     """Files of each kind by repository; a file may be of several."""
-    found = provenance(table(spark, folder, "files").select("path", "content", "indexed_at"))
+    found = provenance(spread(table(spark, folder, "files").select("path", "content", "indexed_at")))
     kinds = ["generated", "minified", "data", "vendored"]
     by_hand = ~(F.col("generated") | F.col("minified") | F.col("data") | F.col("vendored"))
     return found.groupBy(F.split("path", "/")[0].alias("repository")).agg(

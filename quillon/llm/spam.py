@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.frames import frame
-from quillon.session import cut
+from quillon.session import cut, spread
 from quillon.sources.tables import table
 
 TRAINING_ROWS = 20_000
@@ -138,7 +138,7 @@ def spam_scores(pages: DataFrame, key: str = "doc_id", text: str = "text", host:
 
 
 def _pages(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", "text", "repo", "source")
+    return spread(table(spark, folder, "documents").select("doc_id", "text", "repo", "source"))
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
