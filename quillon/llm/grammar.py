@@ -8,7 +8,7 @@ Classes: i name, n number, s string, N line end, V void token that fits nowhere
 character, conflict mark); brackets, comma, semicolon, colon and dot for themselves; b binary operator, u prefix operator, d prefix
 or binary operator, = assignment, p postfix operator, a arrow, q question mark, @ annotation mark, # attribute mark, and
 capital or lower letters for groups of keywords as listed by language.
-Further marks: ^ and $ begin and end a file; in Python H ends a line that opens a block, + and - are indent and dedent.
+Further marks: ^ and $ begin and end a file; in Python H ends a line that opens a block, Y a decorator, + and - are indent and dedent.
 """
 
 from __future__ import annotations
@@ -160,7 +160,7 @@ def permissible_pairs(language: str) -> frozenset[str]:
         pairs |= _cross("w", "i(c[dm") | _cross("r", start + "N;I)]},") | {"rr"[:0]} | _cross("Z", start) | _cross("e", "N;") | _cross("I", "i.cd(m") | _cross("i.cm", "I") | _cross("J", start + ".") | _cross(end + "r", "J") | _cross("m", start) | _cross(".", "im.") | _cross("D", "im") | _cross("C", "im")
         pairs |= _cross("KF", start) | _cross("B", start + ":") | {"T:", "d,", "d)", "d:", "d=", "dN", "[:", ":]", "::", ":,", ":)", ":=", ")H", ":H", "l:", "@i", "@(", "=r", "(r", ",N", ";N", "H+", "^$", "^N", "N$", "-$", "AF", "AD", "AK"} | _cross("l", "idm")
         pairs |= _cross("^N+-;:", first) | _cross("-", "B-") | _cross("N", "B-$") | _cross(end, "A") | _cross(",", ")]}:=") | _cross("([{", ")]}") | _cross(end + "@", "@") | _cross("@", start) | _cross("m", "bdo=.,):(N[m") | _cross("c", "N")
-        pairs |= {"." + "c"}
+        pairs |= {".c"} | _cross(end, "Y") | _cross("Y", "DCA@")
         return frozenset(x for x in pairs if len(x) == 2)
     if language in ("javascript", "typescript"):
         start, end = "insc([{duwxFCpyzIm", "insc)]}pg"

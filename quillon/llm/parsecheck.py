@@ -68,7 +68,7 @@ def _logical_lines(text: str, tokens: list[str], classes: str, statements: set[s
         statements.add(_collapsed(logical))
         if logical[0] == "T":
             tries[len(stack)] = True
-        out.append(logical + ("H" if logical[-1] == ":" and logical[0] in "KFDCBTAm" else "N"))
+        out.append(logical + ("H" if logical[-1] == ":" and logical[0] in "KFDCBTAm" else "Y" if logical[0] == "@" else "N"))
     if depth > 0:
         out.append(logical)
     if tries:
