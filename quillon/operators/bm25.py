@@ -12,10 +12,12 @@ from quillon.functions.text import words
 K1, B = 1.2, 0.75
 
 
-def postings(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(key, field, term, tf, dl), dl being the number of the field's terms."""
+def postings(docs: DataFrame, key: str, fields: list[str], only: DataFrame | None = None) -> DataFrame:
+    """(key, field, term, tf, dl), dl being the number of the field's terms; only the terms of a table, where given."""
     long = docs.select(F.col(key).alias("key"), F.explode(F.create_map(*[x for f in fields for x in (F.lit(f), words(F.coalesce(f, F.lit("")).cast("string")))])).alias("field", "terms"))
     terms = long.select("key", "field", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+    if only is not None:
+        terms = terms.join(only, "term", "left_semi")
     return terms.groupBy("key", "field", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -42,11 +44,10 @@ def score_queries(docs: DataFrame, queries: DataFrame, key: str, fields: list[st
     move; document frequencies come from the same joined postings.
     """
     asked = queries.select("query_id", F.explode(words(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
-    index = postings(docs, key, fields)
-    wanted = index.join(asked.select("term").distinct(), "term", "left_semi")
+    wanted = postings(docs, key, fields, asked.select("term").distinct())
     df = wanted.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-    long = docs.select(F.explode(F.create_map(*[x for f in fields for x in (F.lit(f), F.size(words(F.coalesce(f, F.lit("")).cast("string"))))])).alias("field", "dl"))
-    totals = long.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    lengths = docs.agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.size(words(F.coalesce(f, F.lit("")).cast("string")))).alias(f"a{i}") for i, f in enumerate(fields)])
+    totals = lengths.select("n", F.explode(F.create_map(*[x for i, f in enumerate(fields) for x in (F.lit(f), F.col(f"a{i}"))])).alias("field", "avgdl"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     stats = df.join(F.broadcast(totals), "field")  # one row per field

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.session import cut
 
 
+def one_row(*parts: DataFrame) -> DataFrame:
+    """The columns of several one-row tables in one row."""
+    names = [c for p in parts for c in p.columns]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return stacked.agg(*[F.max(c).alias(c) for c in names])
+
+
 def name_edges(edges: DataFrame) -> DataFrame:
     """Distinct (src, dst) pairs of lower-case names."""
     return edges.select(F.lower("caller_name").alias("src"), F.col("callee_lc").alias("dst")).distinct()
@@ -39,4 +48,4 @@ def defined(names: DataFrame, chunks: DataFrame) -> DataFrame:
 def graph_stats(edges: DataFrame) -> DataFrame:
     """Nodes with at least one call or caller, and calls counted one by one."""
     ends = edges.select(F.lower("caller_name").alias("n")).union(edges.select("callee_lc")).distinct()
-    return edges.agg(F.count(F.lit(1)).alias("edges")).join(F.broadcast(ends.agg(F.count(F.lit(1)).alias("nodes"))))  # one row each
+    return one_row(edges.agg(F.count(F.lit(1)).alias("edges")), ends.agg(F.count(F.lit(1)).alias("nodes")))

@@ -29,9 +29,9 @@ def of_file(chunks: DataFrame, path: str) -> DataFrame:
 
 def page(rows: DataFrame, order: list[Column | str], limit: int, offset: int = 0) -> DataFrame:
     """One page with total and has_more on each of its rows."""
-    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    total = rows.count()
     part = rows.orderBy(*order).offset(offset).limit(limit)
-    return part.join(F.broadcast(total)).withColumn("has_more", F.col("total") > offset + limit)  # total is one row
+    return part.withColumn("total", F.lit(total).cast("bigint")).withColumn("has_more", F.lit(total > offset + limit))
 
 
 def get_chunks(chunks: DataFrame, path: str | None = None, query: str | None = None, limit: int = 20, offset: int = 0) -> DataFrame:

@@ -432,9 +432,7 @@ def index_status(spark, folder):
         _own(spark, folder, "chunk_vectors", "chunk_id").agg(F.count(F.lit(1)).alias("vectors")),
         wiki.entries(table(spark, folder, "wiki")).agg(F.count_distinct("slug").alias("wiki_entries")),
     ]
-    for p in parts:  # one row each
-        c = c.join(F.broadcast(p))
-    return c
+    return graph.one_row(c, *parts)
 
 
 # Wiki
