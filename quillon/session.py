@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +46,17 @@ def spread(df: DataFrame) -> DataFrame:
     """df over at least as many tasks as there are cores; a table of many files passes as it is, without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+@contextmanager
+def one_plan(spark: SparkSession) -> Iterator[None]:
+    """Runs what is inside without adaptive planning.
+
+    Adaptive planning tells Spark's listeners the whole plan after every stage, and they keep it; with large literals that fills the driver.
+    """
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
