@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.session import spread
+from quillon.session import one_plan, spread
 from quillon.sources.tables import table
 
 #: The public pattern of the tokenizer, written without backtracking; (?U) makes \s the Unicode white space.
@@ -175,7 +175,8 @@ class Encoder:
         unknown = [w for w in words.select("b").toArrow().column("b").to_pylist() if w not in self.tokens][:max_words]
         spark = texts.sparkSession
         listed = spark.createDataFrame(pa.table({"b": pa.array(unknown, pa.string())})).repartition(spark.sparkContext.defaultParallelism)
-        folded = listed.select("b", let(self.table(), lambda t: fold_word(F.col("b"), t)).alias("ids")).toArrow()
+        with one_plan(spark):
+            folded = listed.select("b", let(self.table(), lambda t: fold_word(F.col("b"), t)).alias("ids")).toArrow()
         return dict(zip(folded.column("b").to_pylist(), folded.column("ids").to_pylist(), strict=True))
 
     def _quiet(self, spark: SparkSession) -> None:

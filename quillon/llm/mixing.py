@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.encoding import Encoder
-from quillon.session import cut, spread
+from quillon.session import cut, one_plan, spread
 from quillon.sources.tables import table
 
 #: Bits of the hash per level; five levels leave two texts of one source together once in 2^60 pairs.
@@ -81,7 +81,9 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None) ->
         F.greatest(F.coalesce(F.col("max_repeats"), F.lit(0)), F.lit(0)).alias("_most"),
     ).where("_source IS NOT NULL")
     goal = {r["_source"]: (float(r["_share"]), int(r["_most"])) for r in goals.collect()}  # one row per named source
-    texts = cut(sized_texts(docs.where(normal_source(F.col("source")).isin(list(goal)))))
+    sized = sized_texts(docs.where(normal_source(F.col("source")).isin(list(goal))))
+    with one_plan(docs.sparkSession):
+        texts = cut(sized)
     have = {r["_source"]: (int(r["n"]), int(r["top"])) for r in texts.groupBy("_source").agg(F.sum("_tokens").alias("n"), F.max("_tokens").alias("top")).collect()}
     room = {s: have.get(s, (0, 0))[0] * most for s, (_, most) in goal.items()}
     if total_tokens is None:
