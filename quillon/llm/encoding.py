@@ -31,7 +31,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Marks around a piece while it is folded; outside the 256 chars that stand for bytes.
 OPEN, CLOSE = "Ā", "ā"
 BUCKETS = 1 << 16
-NO_RANK, SHIFT = 1 << 30, 1 << 32
+NO_RANK = 1 << 30
 #: Words of more bytes are folded by a way that costs more per step and takes fewer steps.
 SHORT = 64
 #: Longest text of a plan that the driver keeps.
@@ -94,17 +94,17 @@ def _fold_short(word: Column, table: Column) -> Column:
     """
 
     def piece(start: Column, end: Column) -> Column:
-        return F.substring(word, start + 1, end - start)
+        return F.substring(word, start, end - start)
 
     def step(borders: Column, _: Column) -> Column:
         inner = F.slice(borders, F.lit(2), F.size(borders) - 2)
         ranked = F.transform(
             inner,
-            lambda at, i: F.coalesce(_rank(table, piece(F.get(borders, i), F.get(borders, i + 2))), F.lit(NO_RANK)) * F.lit(SHIFT) + at,
+            lambda at, i: F.shiftleft(F.coalesce(_rank(table, piece(F.get(borders, i), F.get(borders, i + 2))), F.lit(NO_RANK).cast("bigint")), 32).bitwiseOR(at),
         )
-        return let(F.array_min(ranked), lambda m: F.when(m < NO_RANK * SHIFT, F.array_remove(borders, (m % SHIFT).cast("int"))).otherwise(F.array_append(borders, F.lit(-1))))
+        return let(F.array_min(ranked), lambda m: F.when(m < NO_RANK << 32, F.array_remove(borders, m.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))).otherwise(F.array_append(borders, F.lit(-1))))
 
-    start = F.sequence(F.lit(0), F.length(word))
+    start = F.sequence(F.lit(1), F.length(word) + 1)
     ends = F.aggregate(F.sequence(F.lit(2), F.greatest(F.length(word), F.lit(2))), start, lambda b, i: F.when((F.size(b) > 2) & (F.element_at(b, -1) >= 0), step(b, i)).otherwise(b))
     return let(F.array_remove(ends, F.lit(-1)), lambda b: F.transform(F.slice(b, F.lit(1), F.size(b) - 1), lambda at, i: _rank(table, piece(at, F.get(b, i + 1)))))
 
@@ -120,7 +120,7 @@ def _fold_long(word: Column, table: Column) -> Column:
             F.transform(
                 F.sequence(F.lit(0), F.size(p) - 2),
                 lambda i: F.struct(
-                    F.coalesce(_rank(table, F.concat(F.get(p, i), F.get(p, i + 1))), F.lit(NO_RANK)).alias("rank"),
+                    F.coalesce(_rank(table, F.concat(F.get(p, i), F.get(p, i + 1))), F.lit(NO_RANK).cast("bigint")).alias("rank"),
                     F.get(p, i).alias("left"),
                     F.get(p, i + 1).alias("right"),
                 ),
