@@ -2,8 +2,9 @@
 
 * Vendored: a Merkle tree over repositories, directories, files and blocks (paragraphs of code). A node's hash follows from its
   children's hashes, bottom-up. A file or directory that occurs in two unrelated repositories is a copy; so is a file in a
-  directory for third-party code or with a header that says so, and a file that bears the name of a library found that
-  way and shares blocks with it, however much was edited. Repositories with equal roots are one repository.
+  directory for third-party code or with a header that says so, a file a good part of whose blocks occurs under the same library
+  name in an unrelated repository, and a file that bears the name of a library found in one of these ways and shares a block
+  with it. Repositories with equal roots are one repository.
 * Generated: a header comment that says a tool made the file, in one of several languages; a name or directory that only
   generators use.
 * Minified: scripts with hardly any white space on long lines, or so named.
@@ -29,7 +30,10 @@ GENERATED_HEADER = (
     r"(?:fichier|code) (?:produit|généré|créé|écrit)|généré (?:par|automatiquement)|ne pas (?:modifier|éditer)|"
     r"(?:archivo|fichero|código) (?:generado|producido|creado|escrito)|generado (?:por|automáticamente)|no (?:editar|modificar)"
 )
-VENDORED_HEADER = r"vendored (?:copy|from|version)|(?:copied|imported|vendored) (?:verbatim |unchanged )?from upstream|third[- ]party copy"
+VENDORED_HEADER = (
+    r"vendored (?:copy|from|version)|(?:copied|imported|vendored) (?:verbatim |unchanged )?from upstream|third[- ]party(?: copy|:[^\n]*\b(?:library|project|package|authors)\b)|"
+    r"(?:copied|imported|taken|pulled|synced|extracted) (?:verbatim |unchanged )?from [^\s,]+,? (?:at |@ ?)?(?:revision|rev\.?|version|commit|tag|release|v?\d+\.\d)"
+)
 GENERATED_NAME = r"(?:_pb2(?:_grpc)?\.pyi?|\.pb\.(?:go|cc|h)|\.gen\.\w+|\.g\.(?:ts|dart|cs)|\.generated\.\w+|[a-z0-9_]Grpc\.java|_generated\.\w+)$"
 GENERATED_DIRECTORY = r"/(?:__generated__|generated|autogen|auto-generated|gen|target/(?:debug|release))/"
 VENDOR_DIRECTORY = r"/(?:vendor|third_party|third-party|thirdparty|3rdparty|_vendor|node_modules|bower_components|external|Godeps|deps/[^/]+-src)/"
@@ -38,6 +42,8 @@ CODE = ["py", "rs", "ts", "js", "go", "java", "mjs", "css", ""]
 
 #: Characters of text that a shared node must have, and of a block to be compared.
 NODE_SIZE, BLOCK_SIZE = 240, 60
+#: Share of a file's block characters that must lie under its library's name in an unrelated repository too.
+SHARED_WEIGHT = 0.25
 
 
 def header_comment(content: Column) -> Column:
@@ -78,8 +84,8 @@ def _node(children: DataFrame, key: list[str]) -> DataFrame:
     return summed.select(*key, F.xxhash64("a", "b", "c").alias("_hash"), "_size")
 
 
-def shared_nodes(files: DataFrame) -> DataFrame:
-    """path of every file that lies under a node found in unrelated repositories. files: path, _hash, _size."""
+def shared_nodes(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """path of every file that lies under a node found in unrelated repositories, and _root of each _repo. files: path, _hash, _size."""
     repo = F.split("node", "/")[0]
     level = cut(files.select(F.col("path").alias("node"), "_hash", "_size", F.size(F.split("path", "/")).alias("_depth")))
     nodes, inner = level.drop("_depth"), level.drop("_depth").limit(0)
@@ -95,7 +101,21 @@ def shared_nodes(files: DataFrame) -> DataFrame:
     wide = spread.groupBy("_hash").agg(F.min("_root").alias("l"), F.max("_root").alias("m")).where("l <> m").select("_hash")
     copies = spread.join(wide, "_hash", "left_semi").select("node").distinct()
     above = F.transform(F.sequence(F.lit(2), F.greatest(F.size(F.split("path", "/")), F.lit(2))), lambda i: F.array_join(F.slice(F.split("path", "/"), F.lit(1), i), "/"))
-    return files.select("path", F.explode(above).alias("node")).join(copies, "node", "left_semi").select("path").distinct()
+    return files.select("path", F.explode(above).alias("node")).join(copies, "node", "left_semi").select("path").distinct(), roots
+
+
+def shared_blocks(named: DataFrame, roots: DataFrame) -> DataFrame:
+    """path of every file with enough blocks that unrelated repositories have under the same library name. named: path, _lib, _hash, _size.
+
+    A first word that most of its files bear without such blocks is an ordinary word and no library's name.
+    """
+    owned = named.withColumn("_repo", F.split("path", "/")[0]).join(roots, "_repo")
+    wide = owned.groupBy("_lib", "_hash").agg(F.min("_root").alias("l"), F.max("_root").alias("m")).where("l <> m").select("_lib", "_hash", F.lit(True).alias("_wide"))
+    heavy = F.coalesce((F.col("_shared") >= NODE_SIZE) & (F.col("_shared") >= SHARED_WEIGHT * F.col("_all")), F.lit(False))
+    weights = named.join(wide, ["_lib", "_hash"], "left").groupBy("path", "_lib").agg(F.sum("_size").alias("_all"), F.sum(F.when(F.col("_wide"), F.col("_size"))).alias("_shared"))
+    weights = cut(weights.select("path", "_lib", heavy.alias("_heavy")))
+    libraries = weights.groupBy("_lib").agg(F.avg(F.col("_heavy").cast("int")).alias("_part")).where("_part >= 0.5").select("_lib")
+    return weights.where("_heavy").join(libraries, "_lib", "left_semi").select("path")
 
 
 def provenance(files: DataFrame) -> DataFrame:
@@ -111,14 +131,13 @@ def provenance(files: DataFrame) -> DataFrame:
     facts = cut(rows.groupBy("path").agg(F.max_by("f", "at").alias("f")).select("path", "f.*"))
 
     parts = facts.select("path", F.explode("blocks").alias("b")).select("path", F.col("b.h").alias("_hash"), F.col("b.n").cast("bigint").alias("_size"))
-    copies = cut(shared_nodes(_node(parts, ["path"]).withColumnRenamed("node", "path")))
-    marked = cut(facts.select("path").where("vendor_mark").union(copies).distinct())
-
-    stem = F.regexp_extract("path", r"([^/]+)$", 1)
-    library = F.lower(F.regexp_extract(stem, r"^([A-Za-z0-9]{3,}?)[_.-]", 1))
-    known = parts.join(marked, "path", "left_semi").select(library.alias("_lib"), "_hash").where("_lib <> ''").distinct()
-    named = parts.join(marked, "path", "left_anti").select("path", library.alias("_lib"), "_hash").where("_lib <> ''")
-    edited = named.join(known, ["_lib", "_hash"], "left_semi").select("path").distinct()
+    copies, roots = shared_nodes(_node(parts, ["path"]).withColumnRenamed("node", "path"))
+    library = F.lower(F.regexp_extract(F.regexp_extract("path", r"([^/]+)$", 1), r"^([A-Za-z0-9]{3,}?)[_.-]", 1))
+    named = parts.withColumn("_lib", library).where("_lib <> ''")
+    marked = cut(facts.select("path").where("vendor_mark").union(copies).union(shared_blocks(named, roots)).distinct())
+
+    known = named.join(marked, "path", "left_semi").select("_lib", "_hash").distinct()
+    edited = named.join(marked, "path", "left_anti").join(known, ["_lib", "_hash"], "left_semi").select("path").distinct()
     vendored = marked.union(edited).distinct().withColumn("vendored", F.lit(True))
     return facts.select("path", "generated", "minified", "data").join(vendored, "path", "left").withColumn("vendored", F.coalesce("vendored", F.lit(False)))
 

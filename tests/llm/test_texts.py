@@ -194,6 +194,24 @@ def test_provenance_kinds(spark):
     }
 
 
+def edited_body(*parts: int) -> str:
+    return "\n\n".join(p.replace("result", f"outcome_{i}") if i in parts else p for i, p in enumerate(BODY.split("\n\n")))
+
+
+def test_copies_of_which_none_is_whole(spark):
+    """Every copy edited, none in a directory for third-party code; files that only share a function or a common first word are no copies."""
+    short = "def own_{0}(value):\n    first = value.open_{0}()\n    second = first.read_{0}(value)\n    return second.close_{0}()\n\n"
+    own = lambda name: "".join(short.format(f"{name}{i}") for i in range(30))
+    shared = "def shared_helper(value):\n    return [x.normalise() for x in value.parts() if x.is_ready()]\n\n"
+    rows = [
+        ("r1/src/moqano_x.py", edited_body(1, 2)), ("r2/app/deep/moqano_y.py", edited_body(4, 5)), ("r2/app/other.py", edited_body(7)), ("r1/src/keep_a.py", shared + own("a")), ("r2/src/keep_b.py", shared + own("b")),
+        *[(f"r{i}/src/queue_{i}.py", own(f"q{i}") if i > 2 else edited_body(i).replace("transform", "convert")) for i in range(1, 8)],
+        ("r1/a.py", "# imported from moqano at revision 051a7b4b, do not patch locally\nx = f(1)\n"), ("r1/b.go", "// Third-party: moqano library, (c) the moqano authors\npackage b\n"), ("r1/c.rs", "// copied from moqano, version 2.1\nfn c() {}\n"),
+        ("r1/d.py", "# Rows are imported from the store at start; third-party: none.\nx = f(1)\n"), ("r1/e.py", 'NOTE = "# imported from moqano at revision 051a7b4b"\nx = f(1)\n'),
+    ]
+    assert {p for p, k in kinds(spark, rows).items() if k} == {"r1/src/moqano_x.py", "r2/app/deep/moqano_y.py", "r1/a.py", "r1/b.go", "r1/c.rs"}
+
+
 def test_equal_repositories_are_one(spark):
     assert not any(kinds(spark, [("fork1/a.py", BODY), ("fork2/a.py", BODY)]).values())
     assert kinds(spark, []) == {}
