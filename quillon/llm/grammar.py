@@ -206,10 +206,16 @@ def permissible_pairs(language: str) -> frozenset[str]:
 
 
 #: Statements that no production yields, as expressions over a statement's classes; G stands for a bracketed group.
+#: Of Go, Rust, Java and TypeScript a statement begins with T (top level), B (in braces), L (in braces, the last one and not ended), S (in the
+#: braces of a Go struct or interface) or A (in parentheses or square brackets). In it 1, 2, 3 stand for groups in (), [], {}, 4 for a () that
+#: holds declarations (P for a statement in it) and 6 for one whose lines end without comma.
 BAD_STATEMENTS: dict[str, str] = {
     "python": r"^J(?!.*I(?:[iGdm]))|^J.*,$|^A?[KFBT][^:]*$|^A?D(?!iG?G(?:a.*)?:)|^A?D?Dm|^C(?!iG?G?:)|^T(?!:$|:[^:])|^A?F(?!.*o.*:)|^Z.*,$|^[^KBAIJm].*w|(?<!I)d$|^[^I].*d$",
     "javascript": r"\([ih]q?:|D[ih]:|^\{s:",
-    "typescript": r"^\{s:",
+    "typescript": r"^\{s:|^[TBLA](?!ii=)(?:.*[^b,])?ii|^[TBLA].*(?<![@.])i1[in]|^[TBLA].*\.i1[in]|^[TBLA](?:.*[^.])?F(?:i?3|[ih]:)|^[TBL].*[Dh]2[in]|^A(?!.*[FCa:]).*[ins]3|^A.*[ns][ins]|^[TBL].*=$",
+    "go": r"^T(?!$|Pi$|I(?:[146]|[i.]?s)$|F[14]?i2?[14][i.dMSF1234]*$|D)|^T?F.*i[iF]|^[BLA](?![DF])(?!.*F).*(?:ii|i2i)|^[TBL].*[=bu.]$|^[TBLSA](?:.*[^.])?F(?:i?3|$)|^[TBL](?![DF])(?!.*F).*4|^A(?!.*F).*[i2.]4|^[TBLA].*6|^[TBL]Di[^=]*ii|^[TBL]D[^=SF]*3|^A.*(?:[in1s]s|[ns]i)|^P.*iii",
+    "rust": r"^[TBLA](?:.*[^.h])?F(?![1$]|i[1d$])|^[TBL].*(?:[insp]|[^P]1|[^#u]2)D|^[TBL](?:#u?2)*P*L[^3]*$|^[TBL]K[^3]*$|^[TBL].*=K[^3]*$|^[TBL].*=$|^[TBLA].*[^P$]1[in]|^[TBL](?:.*3)?DM?1i|^[TBL]DM?i:[^=ML]*bi|^[TBL]DM?[^=3]*=[^3]*3(?:B[^3]*3)*[iDfKr#FTLPU]",
+    "java": r"^[TBLA][^k]*i1[iyscnrKfewm]|^[TBL][^k]*iii|^[TBLA][^ok]*[=r][^3oak]*(?:[insc2][iyscnrKfemw]|i4)|^[TBL].*ip[iyscnKfrem]|^[TBL](?:.*[^.])?e(?!i?$)|^[TBL].*(?:\.|w)i4(?!a)|^A.*4(?!a)|^[TBL]i4$|^[TBL]m*C[^3]*$|^[TBLA](?:.*[^.])?C(?!i)|^TI(?!m?i(?:\.[ib])*$)|^L.*[=re]|^L.*\.i1$|^[TBLA].*=w[i.b,2]*1[iyscnrKfemwC]|^P.*(?:iy|iii|yii|2ii)",
     "toml": r"^(?!(?:G|[isnv](?:\.[isnv])*=[snvG])$)",
     "json": r"^(?!(?:\{\}|\{s:[snv](?:,s:[snv])?\}|\[\]|\[[snv](?:,[snv])?\]|[snv])$)",
 }

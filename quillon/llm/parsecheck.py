@@ -30,6 +30,11 @@ _GROUP = re.compile(r"[(\[{][^()\[\]{}]*[)\]}]")
 _NO_BRACKET = re.compile(r"[^()\[\]{}]+")
 _CLOSED = re.compile(r"\(\)|\[\]|\{\}")
 _LEAF = re.compile(r"\{[^{}\[\]]*\}|\[[^{}\[\]]*\]")
+_INNER = re.compile(r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}")
+_VALUES = re.compile(r"(?:N?d?[ns],N?){2,}")
+_GO_PARAMETERS = re.compile(r"ii|i2i|i[FMS]|iz")
+_JAVA_PARAMETERS = re.compile(r"(?:^|[;,m])(?:[iy.]|i?b[ib2,.]*)*[iyb2z]i(?=$|[,=:])")
+_ANNOTATION = re.compile(r"@i(?:\.i)*[14]?")
 _MORE_FIELDS, _MORE_ITEMS = re.compile(r"(?:,s:[snv])+"), re.compile(r"(?:,[snv])+")
 
 
@@ -76,6 +81,61 @@ def _logical_lines(text: str, tokens: list[str], classes: str, statements: set[s
     return "".join(out) + "-" * (len(stack) - 1) + "$"
 
 
+def _nested_statements(s: str, language: str) -> set[str]:
+    """Statements of a language with braces, one level at a time from the innermost brackets outwards; see BAD_STATEMENTS for their marks."""
+    out: set[str] = set()
+    if language == "java":
+        if re.search(r"R[i.]+\{", s):
+            return out  # a module
+        s = s.replace("R", "i")
+    ends = re.compile(r";|(?<=[ins1-6epr])N" if language == "go" else r"[;N]" if language == "typescript" else ";")
+
+    def braces(mark: str, inner: str) -> None:
+        parts = ends.split(_VALUES.sub("n,", inner))
+        parts = [p.replace("N", "") for p in parts]
+        if language == "java":
+            parts = [_ANNOTATION.sub("", p) for p in parts]
+        out.update(mark + p for p in parts[:-1])
+        out.add(("L" if mark == "B" and parts[-1] and language == "java" else mark) + parts[-1])
+
+    def group(m: re.Match) -> str:
+        inner = m[0][1:-1]
+        before = m.string[m.start() - 1 : m.start()]
+        if m[0][0] == "{":
+            braces("S" if language == "go" and before == "S" else "B", inner)
+            return "3"
+        inner = _VALUES.sub("n,", inner)
+        flat = inner.replace("N", "")
+        if m[0][0] == "[":
+            if language == "typescript":
+                out.add("A" + flat)
+            return "2"
+        if language == "go":
+            if before in ("I", "D"):
+                return "1"
+            if re.search(r"[ins1-4]N", inner):
+                return "6"
+        if language == "java":
+            flat = _ANNOTATION.sub("", flat)
+            if not re.search("[oak]", flat) and _JAVA_PARAMETERS.search(flat):
+                out.add("P" + flat)
+                return "4"
+        elif language == "go" and _GO_PARAMETERS.search(flat):
+            out.add("P" + flat)
+            return "4"
+        out.add("A" + flat)
+        return "1"
+
+    while True:
+        shorter = _INNER.sub(group, s)
+        if shorter == s:
+            break
+        s = shorter
+    if not re.search(r"[()\[\]{}]", s):  # otherwise brackets are at fault already
+        braces("T", s)
+    return out
+
+
 def lexed(text: str, language: str, classes: Classes) -> tuple[str, set[str]]:
     """The classes of a text's tokens between ^ and $, and its distinct statements."""
     tokens = token_pattern(language).findall(text)
@@ -111,6 +171,8 @@ def lexed(text: str, language: str, classes: Classes) -> tuple[str, set[str]]:
         statements.update(x for x in re.split(r"[;}]|(?<=[){])", flat) if ":" in x)
         if flat[:3] == "{s:":
             statements.add("{s:")
+    if language in ("go", "rust", "java", "typescript"):
+        statements |= _nested_statements(s, language)
     if language == "rust" and text.rstrip().rpartition("\n")[2].lstrip().startswith("///"):
         s += "V"
     return "^" + re.sub("N+", "N", s) + "$", statements

@@ -52,6 +52,26 @@ def test_damaged_files_fail(spark):
     assert [p for p in BAD if not got[p]] == []
 
 
+STATEMENTS = {
+    "decl.java": "class A { void f() { int a = b\n int c = d; } }", "calls.java": "class A { void f() { foo()\n bar(); } }", "args.java": "class A { void f() { int x = g(a b); } }", "params.java": "class A { void f(int a int b) { } }",
+    "last.java": "class A { void f() { x = g() } }", "args.go": "package x\n\nfunc g() {\n\tf(a b)\n}\n", "head.go": "package x\n\nfunc f {\n}\n", "name.go": "package x\n\nfunc {\n}\n", "equals.go": 'package x\n\nvar a []string{"b"}\n',
+    "head.rs": "fn f {\n}\n", "let.rs": "fn f() {\n    let a = b()\n    let c = 1;\n}\n", "impl.rs": "struct A;\nimpl A;\n", "line.ts": "foo() bar()\n", "args.ts": "foo(a b);\n", "head.ts": "function f {\n}\n", "type.ts": "function f: void {\n}\n",
+}
+SOUND = {
+    "a.java": "@A(b = 1) class C { int d = (int) e; @F G h(I i, J<K> j) throws L { if (m) n(); for (O o : p) { q -> r(); } Object s = t instanceof U u ? (V) w : new X<>(y) { int z; }; return (a, b) -> c; } }",
+    "b.java": "enum A { B(1), C(2); final int d; A(int e) { this.d = e; } record F(int g, H h) { } int i(J j) { switch (j) { case K k: break; default: return 1; } } }",
+    "a.go": "package x\n\nimport \"y\"\n\ntype A interface {\n\tB(c int, d ...string) (e error)\n}\n\nvar f = func(g int) h { return h{1} }\n\nfunc (a *A[T]) I(j func(k int) l, m []n) (o, p error) {\n\tgo func(q r) { s() }(t)\n\tvar u v = w\n\tx := []struct{ y int }{{1}}\n\tz(a,\n\t\tb,\n\t)\n\treturn\n}\n",
+    "a.rs": "pub(crate) fn a<T>(b: fn(c) -> d) -> impl E { let f = if g { 1 } else { 2 }; match j { K(l) if m => 1, _ => 2 } }\nimpl<T> N for O {}\nstatic P: &[u8] = &[1];\n#[q(r)]\nconst S: Box<dyn T + U> = v!(w, x);\n",
+    "a.ts": "class B { get c() { return 1 } e: F }\nfoo()\nbar()\nfunction g(h: I[], j?: K): l is M { return n as O }\nconst [p, q] = r\nfor (const [s] of t) u((v: W): X => ({ y }))\ndeclare module 'z' { function a(): b }\n",
+}
+
+
+def test_statements_that_only_hold_permissible_pairs(spark):
+    got = check(spark, STATEMENTS | SOUND)
+    assert [p for p in STATEMENTS if not got[p]] == []
+    assert [p for p in SOUND if got[p]] == []
+
+
 def test_row_in_force_nulls_and_empty_table(spark):
     rows = [("a.py", "x = (", "2025-01-01"), ("a.py", "x = 1", "2025-01-02"), ("a.py", "x = 1", "2025-01-02"), ("b.py", "x = 1", None), ("b.py", "(", "2025-01-01"), ("c.py", None, "2025-01-01"), (None, "(", "2025-01-01"), ("d.py", "", "2025-01-01"), ("e.rs", "fn f() { " + "g(); " * 200_000 + "}", "2025-01-01")]
     df = spark.createDataFrame(rows, "path string, content string, at string").selectExpr("path", "content", "cast(at as timestamp) indexed_at")
