@@ -2,9 +2,9 @@
 
 Vectors have unit length, so cosine order is distance order. The index of a cell is PROJECTIONS random projections, each one
 a sorted array. A query opens a window around its own value in every array; a vector that lies in at least
-COLLIDE * PROJECTIONS windows is verified by its exact cosine. Windows widen with the radius R = 1/4, 1/2, 1, 2 (virtual
+COLLIDE * PROJECTIONS windows is verified by its exact cosine. Windows widen with the radius R = 1/4, 1/2, 2 (virtual
 rehashing: the arrays stay, only the windows grow) until the k-th best verified distance is at most R, so that everything
-as near has had its chance; the last radius spans all vectors.
+as near has had its chance; the last radius spans all vectors. (At R = 1 the windows would hold nearly all of them already.)
 
 Windows of single projections hold a fixed share of all vectors, which alone would make the work quadratic. The collection
 is therefore first laid out in cells around pivots, a bounded random sample of the vectors; a vector is indexed in the cell of its
@@ -29,8 +29,8 @@ from quillon.sources.tables import table
 PROJECTIONS = 32
 #: Half a window in units of the radius, and the share of windows to be met; a vector at distance R misses with p < 0.01.
 HALF_WINDOW, COLLIDE = 1.36, 0.66
-RADII = (0.25, 0.5, 1.0, 2.0)
-CELL, MAX_PIVOTS, PROBES, SHARD = 1536, 4096, 4, 8192
+RADII = (0.25, 0.5, 2.0)
+CELL, MAX_PIVOTS, PROBES, SHARD = 1536, 4096, 16, 8192
 
 
 def usable_vectors(rows: DataFrame, key: str, vector: str, width: int) -> DataFrame:
@@ -102,23 +102,24 @@ def _search(index: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
     return frame(out)
 
 
-def nearest(rows: DataFrame, key: str, vector: str = "vector", k: int = 5, width: int = 64) -> DataFrame:
+def nearest(rows: DataFrame, key: str, vector: str = "vector", k: int = 5, width: int = 64, cell: int = CELL, probes: int = PROBES) -> DataFrame:
     """item_id, neighbour_id, cosine: the k other keys of highest cosine for every key with a usable vector.
 
-    Ties are ordered by key. Repeated rows count once. Fewer than k others give fewer rows. Other columns are ignored.
+    Ties are ordered by key. Repeated rows count once. Fewer than k others give fewer rows. Other columns are ignored. There is a pivot for
+    every `cell` rows; of these cells each vector asks the `probes` nearest.
     """
     spark = rows.sparkSession
     vectors = cut(usable_vectors(rows, key, vector, width).withColumn("_h", F.xxhash64("_v")).withColumn("_h2", F.xxhash64(F.lit(1), "_v")))
     heads = vectors.withColumn("_nth", F.row_number().over(Window.partitionBy("_h", "_h2").orderBy("_id"))).where(F.col("_nth") <= k + 1)
     heads = cut(heads)
     n = heads.count()
-    pivots = max(1, min(MAX_PIVOTS, n // CELL))
+    pivots = max(1, min(MAX_PIVOTS, n // cell))
     sample = heads.orderBy(F.xxhash64("_id"), "_id").limit(pivots).select("_v").collect()  # at most MAX_PIVOTS rows
     if not sample:
         return spark.createDataFrame([], f"item_id {dict(rows.dtypes)[key]}, neighbour_id {dict(rows.dtypes)[key]}, cosine double")
     id_type = dict(rows.dtypes)[key]
     placed = cut(
-        heads.select("_id", "_v").mapInPandas(_assigner(_unit([r._v for r in sample]), min(PROBES, len(sample))), f"_id {id_type}, _v array<float>, _cells array<int>")
+        heads.select("_id", "_v").mapInPandas(_assigner(_unit([r._v for r in sample]), min(probes, len(sample))), f"_id {id_type}, _v array<float>, _cells array<int>")
     )
     homes = {r.c: r.n for r in placed.select(F.get("_cells", 0).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
     asks = {r.c: r.n for r in placed.select(F.explode("_cells").alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -89,6 +89,18 @@ def test_recall_against_brute_force(spark):
     assert hits / (5 * len(rows) / 20) >= 0.9
 
 
+def test_recall_with_many_more_cells_than_probes(spark):
+    """4,000 vectors without clusters in 80 cells: most neighbours lie in another cell than the item."""
+    x = np.random.default_rng(9).standard_normal((4000, 8))
+    df = spark.createDataFrame([(f"v{i:04d}", [float(a) for a in row]) for i, row in enumerate(x)], "k string, vector array<float>")
+    got = {(r.item_id, r.neighbour_id) for r in nearest(df, "k", k=5, width=8, cell=50).collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cos = x @ x.T
+    np.fill_diagonal(cos, -2)
+    hits = [(f"v{i:04d}", f"v{j:04d}") in got for i in range(0, 4000, 10) for j in np.argsort(-cos[i])[:5]]
+    assert len(got) == 20_000 and sum(hits) / len(hits) >= 0.99
+
+
 def test_vectors_that_cannot_be_used(spark):
     nan, inf = float("nan"), float("inf")
     rows = [("a", [1.0, 0.0]), ("b", [1.0, 0.1]), ("c", [0.0, 1.0]), ("a", [1.0, 0.0]), ("a", None), ("d", None), ("e", [0.0, 0.0]), ("f", [nan, 1.0]), ("g", [1.0]), ("h", [inf, 1.0]), (None, [1.0, 1.0])]
