@@ -11,7 +11,8 @@ A record is its set of words. Records with equal sets form a class, and classes
   bounded sample; that touches the order only, never the result.
 * Skipping: a collision is dropped at once, inside the join, if the sizes rule the similarity out or if 192 further min-hashes
   of one bit, carried in the posting, agree in too few places.
-* Merging: the collisions left are counted per pair; every pair is then decided by the exact similarity of its sets.
+* Merging: one collision left makes a pair a candidate (the bits stand in place of a threshold on their count); every pair is
+  then decided by the exact similarity of its sets.
 
 A set's identity is a 64-bit hash of its words' hashes.
 """
