@@ -1,10 +1,7 @@
 """Splitting of oversized items at natural boundaries (problem 7).
 
-A dynamic programme over boundary positions. State: the first line of the next piece. Choices: every end that keeps
-the piece within its limit. The cost of a choice is the pair (cut penalty, size imbalance): a cut at an empty line in
-the upper half of the piece costs nothing, a cut elsewhere one; the imbalance is the number of lines the piece stays
-below its limit. Costs of pieces are compared in the order of the text, so an earlier piece is never made worse for a
-later one; under that order the recursion has one optimal choice per state and is evaluated forwards. It runs inside one
+The greedy rule of TESTDATA: a piece takes its full length or ends with its last empty line in the upper half, earlier
+pieces first. No costs are compared and no choice is left open, so this is no dynamic programme. It runs inside one
 ``aggregate`` expression per row: no shuffle, no Python, time in proportion to the lines.
 """
 
