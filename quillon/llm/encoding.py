@@ -1,43 +1,45 @@
 """Byte-level BPE encoding of text columns with a public vocabulary (problem 8).
 
-Everything runs inside the JVM. A text is cut into words by the tokenizer's pattern. A word is written
-as a string with one char per byte (ISO-8859-1), so that Spark's string functions work on bytes. The ranks
-are one literal: an array of small maps addressed by crc32, because Spark scans a map from its start. A word
-that is no token itself is folded: ``aggregate`` joins, step by step, the adjacent pair of lowest rank,
-everywhere in the word, until no pair is left that has a rank.
-
-Folding costs a hundred times a look-up, so frequent words that need it are folded once beforehand and travel
-as a second literal of bounded size (``max_words``); all other words are folded where they stand. The result
-doesn't depend on that bound.
+Everything runs inside the JVM, in three steps:
+
+1. A text is cut into words by the tokenizer's pattern and its words are looked up as byte arrays. What is found gives ids at once, a
+   word that is no token leaves a mark (OPEN) in the list of ids.
+2. The distinct words that are no token are folded, each one once: ``aggregate`` joins, step by step, the adjacent pair of lowest
+   rank, until no pair is left that has a rank.
+3. The folded words are joined back to the texts that hold them, and put where the marks stand.
+
+The rank map is a literal of the plan: a table of one row, an array of small maps addressed by crc32 (Spark scans a map from its
+start), put into expressions as a scalar subquery. So plans carry a reference to it and not its text. The most frequent words that need
+folding (at most ``max_words``, counted on a bounded sample) are folded first and looked up in the same map; it keeps words that
+stand in many texts out of the join. The result doesn't depend on which words these are.
 """
 
 from __future__ import annotations
 
 import base64
-import json
 import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.session import one_plan, spread
+from quillon.session import spread, stored
 from quillon.sources.tables import table
 
 #: The public pattern of the tokenizer, written without backtracking; (?U) makes \s the Unicode white space.
 WORD_PATTERN = r"(?U)'(?:[stmd]|re|ve|ll)| ?+(?:\p{L}++|\p{N}++|[^\s\p{L}\p{N}]++)|\s+(?!\S)|\s++"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
-#: Marks around a piece while it is folded; outside the 256 chars that stand for bytes.
-OPEN, CLOSE = "Ā", "ā"
 BUCKETS = 1 << 16
-NO_RANK, SHIFT = 1 << 30, 1 << 32
-#: Words of more bytes are folded by a way that costs more per step and takes fewer steps.
-SHORT = 64
-#: Longest text of a plan that the driver keeps.
-PLAN_TEXT = 20_000
-#: Stands before a word that was folded beforehand, so that no piece is taken for one.
-FOLDED = "\u0102"
+NO_RANK = 1 << 30
+#: Stands for a word in a list of ids until the word is folded.
+OPEN = -1
+#: Words of more bytes are folded by a way that costs more per step and takes fewer steps: all places of a pair in one.
+LONG = 512
+#: Marks around a piece in that way; outside the 256 chars that stand for bytes.
+LEFT, RIGHT = "Ā", "ā"
+#: Bounds of the table of frequent words and of the sample it is counted on.
+MAX_WORDS, SAMPLE_ROWS = 1 << 16, 20_000
 
 
 def load_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -50,165 +52,187 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _literal(entries: dict[str, list[int]]) -> Column:
-    """A constant array of maps; the entry of key k lies in map crc32(k) mod BUCKETS."""
-    maps: list[list[str]] = [[] for _ in range(BUCKETS)]
-    for k, v in entries.items():
-        maps[zlib.crc32(k.encode("utf-8")) % BUCKETS].append(f"{json.dumps(k, ensure_ascii=False)}:[{','.join(map(str, v))}]")
-    text = "[" + ",".join("{" + ",".join(m) + "}" for m in maps) + "]"
-    return F.from_json(F.lit(text), "array<map<string,array<int>>>")
+def split_words(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD_PATTERN), F.lit(0))
 
 
 def _look_up(table: Column, key: Column) -> Column:
-    return F.try_element_at(F.get(table, F.crc32(key.cast("binary")).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), key)
-
+    return F.try_element_at(F.get(table, F.crc32(key).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), key)
 
-def as_bytes(text: Column) -> Column:
-    """The UTF-8 bytes of a text as a string with one char per byte."""
-    return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
 
-
-def byte_words(text: Column) -> Column:
-    """The words of a text as bytes; those of ASCII texts are so already."""
-    words = split_words(text)
-    return F.when(F.octet_length(text) == F.length(text), words).otherwise(F.transform(words, as_bytes))
+def _rank(table: Column, piece: Column) -> Column:
+    return F.coalesce(F.get(_look_up(table, piece), 0), F.lit(NO_RANK))
 
 
-def split_words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0))
+def fold_word(word: Column, table: Column) -> Column:
+    """The ids of one word (its bytes), by ranked merges."""
+    return F.when(F.octet_length(word) <= LONG, _fold(word, table)).otherwise(_fold_long(word, table))
 
 
-def fold_word(word: Column, table: Column) -> Column:
-    """The ids of one word (given as bytes), by ranked merges."""
-    return F.when(F.length(word) <= SHORT, _fold_short(word, table)).otherwise(_fold_long(word, table))
+def _fold(word: Column, table: Column) -> Column:
+    """State: ``ends``, where pieces begin and the word ends, and ``ranks`` of adjacent pairs; no ranks when no pair has one.
 
+    A step takes out the border inside the first pair of lowest rank and looks up the two pairs that are new.
+    """
 
-def _rank(table: Column, piece: Column) -> Column:
-    return F.get(_look_up(table, piece), 0)
+    def rank(start: Column, end: Column) -> Column:
+        return _rank(table, F.substring(word, start + 1, end - start))
 
+    none = F.array().cast("array<int>")
 
-def _fold_short(word: Column, table: Column) -> Column:
-    """State: where pieces begin, and the end; -1 behind them says that no pair has a rank.
+    def step(state: Column, _: Column) -> Column:
+        def joined(low: Column) -> Column:
+            def ranked(ends: Column) -> Column:
+                before = F.concat(F.slice(state.ranks, F.lit(1), low.at - 2), F.array(rank(F.get(ends, low.at - 2), F.get(ends, low.at))))
+                behind = F.concat(F.array(rank(F.get(ends, low.at - 1), F.get(ends, low.at + 1))), F.slice(state.ranks, low.at + 2, F.size(state.ranks)))
+                ranks = F.concat(F.when(low.at > 1, before).otherwise(none), F.when(low.at < F.size(state.ranks), behind).otherwise(none))
+                return F.struct(ends.alias("ends"), ranks.alias("ranks"))
 
-    A step takes out the border inside the pair of lowest rank, the first of several.
-    """
+            done = F.struct(state.ends.alias("ends"), none.alias("ranks"))
+            return F.when(low.rank < NO_RANK, let(F.array_remove(state.ends, F.get(state.ends, low.at)), ranked)).otherwise(done)
 
-    def piece(start: Column, end: Column) -> Column:
-        return F.substring(word, start + 1, end - start)
+        def lowest(rank: Column) -> Column:
+            return F.struct(rank.alias("rank"), F.array_position(state.ranks, rank).cast("int").alias("at"))
 
-    def step(borders: Column, _: Column) -> Column:
-        inner = F.slice(borders, F.lit(2), F.size(borders) - 2)
-        ranked = F.transform(
-            inner,
-            lambda at, i: F.coalesce(_rank(table, piece(F.get(borders, i), F.get(borders, i + 2))), F.lit(NO_RANK)) * F.lit(SHIFT) + at,
-        )
-        return let(F.array_min(ranked), lambda m: F.when(m < NO_RANK * SHIFT, F.array_remove(borders, (m % SHIFT).cast("int"))).otherwise(F.array_append(borders, F.lit(-1))))
+        return F.when(F.size(state.ranks) > 0, let(let(F.array_min(state.ranks), lowest), joined)).otherwise(state)
 
-    start = F.sequence(F.lit(0), F.length(word))
-    ends = F.aggregate(F.sequence(F.lit(2), F.greatest(F.length(word), F.lit(2))), start, lambda b, i: F.when((F.size(b) > 2) & (F.element_at(b, -1) >= 0), step(b, i)).otherwise(b))
-    return let(F.array_remove(ends, F.lit(-1)), lambda b: F.transform(F.slice(b, F.lit(1), F.size(b) - 1), lambda at, i: _rank(table, piece(at, F.get(b, i + 1)))))
+    n = F.octet_length(word)
+    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: rank(i, i + 2))).otherwise(none)
+    start = F.struct(F.sequence(F.lit(0), n).alias("ends"), pairs.alias("ranks"))
+    ends = F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), start, step, lambda state: state.ends)
+    return let(ends, lambda e: F.transform(F.slice(e, F.lit(1), F.size(e) - 1), lambda at, i: rank(at, F.get(e, i + 1))))
 
 
 def _fold_long(word: Column, table: Column) -> Column:
-    """State: the marked pieces as one string. A step joins the pair of lowest rank wherever it stands."""
+    """State: the marked pieces as one string with a char per byte. A step joins the pair of lowest rank wherever it stands."""
 
     def pieces(marked: Column) -> Column:
-        return F.split(F.substring(marked, F.lit(2), F.length(marked) - 2), CLOSE + OPEN)
+        return F.split(F.substring(marked, F.lit(2), F.length(marked) - 2), RIGHT + LEFT)
+
+    def rank(piece: Column) -> Column:
+        return _rank(table, F.encode(piece, "ISO-8859-1"))
 
     def lowest(p: Column) -> Column:
         return F.array_min(
             F.transform(
                 F.sequence(F.lit(0), F.size(p) - 2),
-                lambda i: F.struct(
-                    F.coalesce(_rank(table, F.concat(F.get(p, i), F.get(p, i + 1))), F.lit(NO_RANK)).alias("rank"),
-                    F.get(p, i).alias("left"),
-                    F.get(p, i + 1).alias("right"),
-                ),
+                lambda i: F.struct(rank(F.concat(F.get(p, i), F.get(p, i + 1))).alias("rank"), F.get(p, i).alias("left"), F.get(p, i + 1).alias("right")),
             )
         )
 
     def step(state: Column, _: Column) -> Column:
         def merged(m: Column) -> Column:
-            pair = F.concat(F.lit(OPEN), m.left, F.lit(CLOSE + OPEN), m.right, F.lit(CLOSE))
-            text = F.replace(state.text, pair, F.concat(F.lit(OPEN), m.left, m.right, F.lit(CLOSE)))
+            pair = F.concat(F.lit(LEFT), m.left, F.lit(RIGHT + LEFT), m.right, F.lit(RIGHT))
+            text = F.replace(state.text, pair, F.concat(F.lit(LEFT), m.left, m.right, F.lit(RIGHT)))
             return F.when(
                 m.rank < NO_RANK,
-                F.struct(text.alias("text"), (F.instr(text, CLOSE + OPEN) > 0).alias("open")),
+                F.struct(text.alias("text"), (F.instr(text, RIGHT + LEFT) > 0).alias("open")),
             ).otherwise(F.struct(state.text.alias("text"), F.lit(False).alias("open")))
 
         return F.when(state.open, let(let(pieces(state.text), lowest), merged)).otherwise(state)
 
-    start = F.struct(F.regexp_replace(word, "(?s)(.)", f"{OPEN}$1{CLOSE}").alias("text"), F.lit(True).alias("open"))
-    done = F.aggregate(F.sequence(F.lit(2), F.length(word)), start, step, lambda state: pieces(state.text))
-    return F.transform(done, lambda p: _rank(table, p))
+    start = F.struct(F.regexp_replace(F.decode(word, "ISO-8859-1"), "(?s)(.)", f"{LEFT}$1{RIGHT}").alias("text"), F.lit(True).alias("open"))
+    done = F.aggregate(F.sequence(F.lit(2), F.octet_length(word)), start, step, lambda state: pieces(state.text))
+    return F.transform(done, rank)
 
 
 class Encoder:
-    """Encodes text columns with one vocabulary.
+    """Encodes text columns with one vocabulary; what it broadcasts is bounded by the vocabulary's file and ``max_words``."""
 
-    Null and empty texts have an empty list. Repeated rows, further columns and any table size change nothing.
-    The vocabulary is bounded by its file, the words folded beforehand by ``max_words``.
-    """
+    def __init__(self, spark: SparkSession, path: str = VOCABULARY, max_words: int = MAX_WORDS, sample_rows: int = SAMPLE_ROWS):
+        self.spark, self.max_words, self.sample_rows = spark, max_words, sample_rows
+        self.ranks = {token: [rank] for token, rank in load_ranks(path).items()}
 
-    def __init__(self, path: str = VOCABULARY):
-        self.tokens = {token.decode("latin-1"): rank for token, rank in load_ranks(path).items()}
-
-    def table(self, frequent: dict[str, list[int]] | None = None) -> Column:
-        return _literal({t: [r] for t, r in self.tokens.items()} | {FOLDED + w: ids for w, ids in (frequent or {}).items()})
-
-    def frequent_words(self, texts: DataFrame, column: str, max_words: int = 1 << 16, sample_rows: int = 20_000) -> dict[str, list[int]]:
-        """Ids of words that need folding often: at most max_words, counted on about sample_rows rows.
-
-        Only the speed depends on which words these are.
-        """
-        self._quiet(texts.sparkSession)
-        step = max(1, texts.count() // sample_rows)
-        words = (
-            texts.where(F.pmod(F.xxhash64(column), F.lit(step)) == 0)
-            .select(F.explode(byte_words(F.col(column))).alias("b"))
-            .groupBy("b")
-            .agg(F.count(F.lit(1)).alias("n"))
-            .where((F.col("n") > 1) & (F.length("b") <= SHORT))
-            .orderBy(F.desc("n"), "b")
-            .limit(max_words + len(self.tokens))
-        )
-        unknown = [w for w in words.select("b").toArrow().column("b").to_pylist() if w not in self.tokens][:max_words]
-        spark = texts.sparkSession
-        listed = spark.createDataFrame(pa.table({"b": pa.array(unknown, pa.string())})).repartition(spark.sparkContext.defaultParallelism)
-        with one_plan(spark):
-            folded = listed.select("b", let(self.table(), lambda t: fold_word(F.col("b"), t)).alias("ids")).toArrow()
-        return dict(zip(folded.column("b").to_pylist(), folded.column("ids").to_pylist(), strict=True))
+    def _map(self, entries: dict[bytes, list[int]]) -> Column:
+        """entries as an array of maps; the entry of key k lies in map crc32(k) mod BUCKETS."""
+        maps: list[list] = [[] for _ in range(BUCKETS)]
+        for entry in entries.items():
+            maps[zlib.crc32(entry[0]) % BUCKETS].append(entry)
+        return self.spark.createDataFrame(pa.table({"maps": pa.array([maps], pa.list_(pa.map_(pa.binary(), pa.list_(pa.int32()))))})).scalar()
+
+    def _looked_up(self, texts: DataFrame, text: str, entries: dict[bytes, list[int]], body) -> DataFrame:
+        """texts with _looked = body(words, found): the words of the text and the ids of each, OPEN alone for words that are no key."""
+
+        def found(maps: Column, words: Column) -> Column:
+            return F.transform(words, lambda w: F.coalesce(_look_up(maps, w.cast("binary")), F.array(F.lit(OPEN))))
+
+        looked = let(F.col("_maps"), lambda m: let(split_words(F.col(text)), lambda w: let(found(m, w), lambda f: body(w, f))))
+        return texts.withColumn("_maps", self._map(entries)).withColumn("_looked", looked).drop("_maps")
+
+    def fold(self, words: DataFrame, word: str) -> DataFrame:
+        """words with a column ids: the ids of each row's word."""
+        folded = words.withColumn("_maps", self._map(self.ranks))
+        return folded.withColumn("ids", let(F.col("_maps"), lambda m: let(F.col(word).cast("binary"), lambda w: fold_word(w, m)))).drop("_maps")
+
+    def frequent(self, texts: DataFrame, text: str) -> dict[bytes, list[int]]:
+        """Ids of words that often need folding: at most max_words, counted on about sample_rows rows."""
+        if self.max_words < 1:
+            return {}
+        step = max(1, texts.count() // self.sample_rows)
+        sample = self._looked_up(texts.where(F.pmod(F.xxhash64(text), F.lit(step)) == 0).select(text), text, self.ranks, _unknown)
+        unknown = sample.select(F.explode("_looked").alias("_word")).groupBy("_word").agg(F.count(F.lit(1)).alias("_n"))
+        top = unknown.where("_n > 1").orderBy(F.desc("_n"), "_word").limit(self.max_words)
+        rows = self.fold(top.select("_word").repartition(self.spark.sparkContext.defaultParallelism), "_word").toArrow()
+        return {w.encode(): ids for w, ids in zip(rows.column("_word").to_pylist(), rows.column("ids").to_pylist(), strict=True)}
+
+    def looked_up(self, texts: DataFrame, text: str, frequent: dict[bytes, list[int]]) -> DataFrame:
+        """texts with _ids, in which OPEN stands for a word that is neither token nor frequent, and _open: these words in order."""
 
-    def _quiet(self, spark: SparkSession) -> None:
-        """Spark keeps every plan as text; with a vocabulary in each, the driver would need gigabytes."""
-        spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
+        def parts(words: Column, found: Column) -> Column:
+            return F.struct(F.flatten(found).alias("_ids"), _unknown(words, found).alias("_open"))
 
-    def ids(self, text: Column, frequent: dict[str, list[int]] | None = None) -> Column:
-        """The list of ids of a text column."""
+        looked = self._looked_up(texts, text, self.ranks | frequent, parts)
+        return looked.select(*[c for c in texts.columns], "_looked.*")
 
-        def encode(table: Column) -> Column:
-            def of_word(word: Column) -> Column:
-                return F.coalesce(_look_up(table, word), _look_up(table, F.concat(F.lit(FOLDED), word)), fold_word(word, table))
+    def folded(self, rows: DataFrame, word: str) -> DataFrame:
+        """rows with the column ids of their word; every distinct word is folded once."""
+        return rows.join(self.fold(rows.select(word).distinct(), word), word)
 
-            return F.flatten(F.transform(byte_words(F.coalesce(text, F.lit(""))), of_word))
 
-        return let(self.table(frequent), encode)
+def _unknown(words: Column, found: Column) -> Column:
+    return F.filter(words, lambda w, i: F.get(F.get(found, i), 0) == OPEN)
 
-    def decode(self, ids: Column) -> Column:
-        """The text of a list of ids: their binary pieces in a row, read as UTF-8."""
-        order = sorted(self.tokens, key=self.tokens.get)
-        if [self.tokens[t] for t in order] != list(range(len(order))):
-            raise ValueError("ranks must be 0, 1, 2, ...")
-        pieces = F.from_json(F.lit(json.dumps(order, ensure_ascii=False)), "array<string>")
-        return let(pieces, lambda p: F.decode(F.encode(F.array_join(F.transform(ids, lambda i: F.get(p, i)), ""), "ISO-8859-1"), "UTF-8"))
 
+def _filled(ids: Column, words: Column) -> Column:
+    """ids with the lists of ids of words put where OPEN stands."""
 
-def encode_table(texts: DataFrame, column: str = "text", out: str = "ids", path: str = VOCABULARY, max_words: int = 1 << 16) -> DataFrame:
-    """texts with a further column of ids. An existing column of that name is replaced."""
-    encoder = Encoder(path)
-    return texts.withColumn(out, encoder.ids(F.col(column), encoder.frequent_words(texts, column, max_words)))
+    def fill(at: Column) -> Column:
+        def part(end: Column, i: Column) -> Column:
+            start = F.when(i > 0, F.get(at, i - 1)).otherwise(F.lit(0))
+            return F.concat(F.slice(ids, start + 1, end - start - F.when(i < F.size(words), 1).otherwise(0)), F.coalesce(F.get(words, i), F.array().cast("array<int>")))
+
+        return F.flatten(F.transform(F.array_append(at, F.size(ids)), part))
+
+    # positions from 1 of the marks: a part ends with its mark, the last one with the list
+    return F.when(F.size(ids) == 0, ids).otherwise(let(F.filter(F.sequence(F.lit(1), F.size(ids)), lambda i: F.get(ids, i - 1) == OPEN), fill))
+
+
+def encode_table(texts: DataFrame, column: str = "text", out: str = "ids", path: str = VOCABULARY, max_words: int = MAX_WORDS, keep: list[str] | None = None) -> DataFrame:
+    """texts with a further column of ids; an existing column of that name is replaced. keep: the columns wanted, all by default.
+
+    Null and empty texts have an empty list. Repeated rows and further columns change nothing; an empty table gives an empty one.
+    """
+    encoder = Encoder(texts.sparkSession, path, max_words)
+    kept = [c for c in (keep if keep is not None else texts.columns) if c != out]
+    renamed = texts.select(F.col(column).alias("_text"), F.struct(*kept).alias("_kept")) if kept else texts.select(F.col(column).alias("_text"))
+    numbered = renamed.withColumn("_row", F.monotonically_increasing_id())
+    rows = stored(encoder.looked_up(numbered, "_text", encoder.frequent(renamed, "_text")).drop("_text"))
+    words = encoder.folded(rows.select("_row", F.posexplode("_open").alias("_at", "_word")), "_word")
+    lists = words.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", "ids"))).alias("_lists"))
+    filled = F.when(F.col("_lists").isNull(), F.col("_ids")).otherwise(_filled(F.col("_ids"), F.col("_lists.ids")))
+    return rows.join(lists, "_row", "left").select(*(["_kept.*"] if kept else []), filled.alias(out))
+
+
+def decode_table(rows: DataFrame, column: str = "ids", out: str = "text", path: str = VOCABULARY) -> DataFrame:
+    """rows with the text of a list of ids: their binary pieces in a row, read as UTF-8. Null for a null list."""
+    ranks = load_ranks(path)
+    order = sorted(ranks, key=ranks.get)
+    if [ranks[t] for t in order] != list(range(len(order))):
+        raise ValueError("ranks must be 0, 1, 2, ...")
+    pieces = rows.sparkSession.createDataFrame(pa.table({"pieces": [[t.hex() for t in order]]})).scalar()
+    text = let(F.col("_pieces"), lambda p: F.decode(F.unhex(F.array_join(F.transform(column, lambda i: F.get(p, i)), "")), "UTF-8"))
+    return rows.withColumn("_pieces", pieces).withColumn(out, text).drop("_pieces")
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
-    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
-    return encode_table(docs).select("doc_id", "ids")
+    return encode_table(spread(table(spark, folder, "documents").select("doc_id", "text")), keep=["doc_id"])

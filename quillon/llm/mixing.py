@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.encoding import Encoder
-from quillon.session import cut, one_plan, spread
+from quillon.session import cut, spread, stored
 from quillon.sources.tables import table
 
 #: Bits of the hash per level; five levels leave two texts of one source together once in 2^60 pairs.
@@ -28,18 +28,19 @@ def normal_source(source):
 def sized_texts(docs: DataFrame) -> DataFrame:
     """(_doc, _source, _hash, _tokens): one row per distinct text.
 
-    A text that several rows hold counts once, under its least doc_id and that row's source. Texts without a token
-    are left out: they weigh nothing.
+    A text that several rows hold counts once, under its least doc_id and that row's source; copies are put together before anything is
+    encoded. Texts without a token are left out: they weigh nothing.
     """
-    encoder = Encoder()
-    sized = docs.select(
-        F.col("doc_id").alias("_doc"),
-        normal_source(F.col("source")).alias("_source"),
-        F.md5("text").alias("_text"),
-        F.size(encoder.ids(F.col("text"), encoder.frequent_words(docs, "text"))).alias("_tokens"),
-    ).where(F.col("_doc").isNotNull())
-    one = sized.groupBy("_text").agg(F.min(F.struct("_doc", "_source", "_tokens")).alias("_one"))
-    return one.where("_one._tokens > 0").select("_one.*", (F.shiftrightunsigned(F.xxhash64("_text"), 64 - LEVEL_BITS * LEVELS)).alias("_hash"))
+    encoder = Encoder(docs.sparkSession)
+    rows = docs.where("doc_id IS NOT NULL AND text <> ''").select(F.col("doc_id").alias("_doc"), normal_source(F.col("source")).alias("_source"), F.col("text").alias("_text"))
+    one = rows.groupBy("_text").agg(F.min(F.struct("_doc", "_source")).alias("_one")).select("_one.*", "_text")
+    looked = encoder.looked_up(one, "_text", encoder.frequent(rows, "_text"))
+    hashed = F.shiftrightunsigned(F.xxhash64(F.md5("_text")), 64 - LEVEL_BITS * LEVELS).alias("_hash")
+    texts = stored(looked.select("_doc", "_source", hashed, (F.size("_ids") - F.size("_open")).alias("_known"), "_open"))
+    words = encoder.folded(texts.select("_doc", "_hash", F.explode("_open").alias("_word")), "_word")
+    more = words.groupBy("_doc", "_hash").agg(F.sum(F.size("ids")).alias("_more"))
+    whole = texts.drop("_open").join(more, ["_doc", "_hash"], "left")
+    return whole.select("_doc", "_source", "_hash", (F.col("_known") + F.coalesce("_more", F.lit(0))).cast("int").alias("_tokens"))
 
 
 def _thresholds(texts: DataFrame, budgets: dict[str, int]) -> dict[str, int]:
@@ -81,9 +82,7 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None) ->
         F.greatest(F.coalesce(F.col("max_repeats"), F.lit(0)), F.lit(0)).alias("_most"),
     ).where("_source IS NOT NULL")
     goal = {r["_source"]: (float(r["_share"]), int(r["_most"])) for r in goals.collect()}  # one row per named source
-    sized = sized_texts(docs.where(normal_source(F.col("source")).isin(list(goal))))
-    with one_plan(docs.sparkSession):
-        texts = cut(sized)
+    texts = cut(sized_texts(docs.where(normal_source(F.col("source")).isin(list(goal)))))
     have = {r["_source"]: (int(r["n"]), int(r["top"])) for r in texts.groupBy("_source").agg(F.sum("_tokens").alias("n"), F.max("_tokens").alias("top")).collect()}
     room = {s: have.get(s, (0, 0))[0] * most for s, (_, most) in goal.items()}
     if total_tokens is None:
