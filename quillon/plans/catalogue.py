@@ -439,7 +439,7 @@ def index_status(spark, folder):
 
 _LINKS = f"""
 w AS ({_WIKI}), l0 AS (SELECT slug AS src, list_filter(list_transform(regexp_extract_all(content, '(?s)\\[\\[(.*?)\\]\\]', 1), lambda x: trim(x)), lambda x: x <> '') AS l FROM w WHERE slug NOT IN ('index', 'log')),
-links AS (SELECT DISTINCT src, unnest(l) AS dst FROM l0)"""
+links AS (SELECT DISTINCT src, unnest(l) AS dst FROM l0), live AS (SELECT DISTINCT slug, coalesce(entry_type, 'concept') AS kind, updated FROM w WHERE slug NOT IN ('index', 'log'))"""
 
 
 def _wiki(spark, folder):
@@ -451,24 +451,24 @@ def wiki_links(spark, folder):
     return wiki.links(_wiki(spark, folder)).select("src", "dst")
 
 
-@query(f"WITH {_LINKS} SELECT dst AS slug, count(*) AS inbound FROM links GROUP BY dst")
+@query(f"WITH {_LINKS} SELECT dst AS slug, count(*) AS inbound FROM links WHERE dst IN (SELECT slug FROM live) GROUP BY dst")
 def wiki_inbound(spark, folder):
     return wiki.inbound(_wiki(spark, folder))
 
 
-@query(f"WITH {_LINKS} SELECT src, dst FROM links WHERE dst NOT IN (SELECT slug FROM w)")
+@query(f"WITH {_LINKS} SELECT src, dst FROM links WHERE dst NOT IN (SELECT slug FROM live)")
 def wiki_dead_links(spark, folder):
     return wiki.dead_links(_wiki(spark, folder))
 
 
-@query(f"WITH {_LINKS} SELECT DISTINCT slug FROM w WHERE slug NOT LIKE 'sources/%' AND slug NOT IN ('index', 'log') AND slug NOT IN (SELECT dst FROM links WHERE src <> dst)")
+@query(f"WITH {_LINKS} SELECT slug FROM live WHERE kind <> 'source' AND slug NOT IN (SELECT dst FROM links)")
 def wiki_orphans(spark, folder):
     return wiki.orphans(_wiki(spark, folder))
 
 
 @query(f"""
-SELECT slug, updated FROM ({_WIKI}) WHERE slug NOT LIKE 'sources/%' AND slug NOT IN ('index', 'log')
-  AND try_strptime(regexp_replace(updated, 'Z$', ''), ['%Y-%m-%dT%H:%M:%S', '%Y-%m-%d %H:%M:%S', '%Y-%m-%d']) < TIMESTAMP '{NOW}' - INTERVAL 60 DAY""")
+WITH {_LINKS} SELECT slug, updated FROM live WHERE kind <> 'source'
+  AND CASE WHEN length(updated) = 10 THEN epoch(CAST(updated AS TIMESTAMP)) ELSE epoch(TRY_CAST(updated AS TIMESTAMPTZ)) END < epoch(TIMESTAMP '{NOW}' - INTERVAL 60 DAY)""")
 def wiki_stale(spark, folder):
     return wiki.stale(_wiki(spark, folder), NOW, 60)
 
@@ -481,8 +481,8 @@ def wiki_thin_areas(spark, folder):
 @query(f"""
 WITH a AS ({_vectors('wiki_vectors', 'slug')}), b AS ({_vectors('wiki_vectors', 'slug')}),
 p AS (SELECT a.slug AS slug_a, b.slug AS slug_b, {_COS} AS score FROM a JOIN b ON a.slug < b.slug WHERE {_COS} > 0.85 ORDER BY score DESC, slug_a, slug_b LIMIT 20),
-n AS (SELECT slug, bool_or(len(list_intersect(regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{N}}]+'), ['not', 'never', 'no', 'cannot', 'without', 'instead'])) > 0) AS n FROM wiki WHERE slug NOT IN ('index', 'log') GROUP BY slug)
-SELECT slug_a, slug_b, score FROM p JOIN n x ON x.slug = slug_a JOIN n y ON y.slug = slug_b WHERE x.n <> y.n""")
+n AS (SELECT slug, bool_or(len(list_intersect(regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{N}}]+'), ['not', 'no', 'never', 'deprecated', 'instead', 'avoid'])) > 0) AS n FROM wiki WHERE slug NOT IN ('index', 'log') GROUP BY slug)
+SELECT slug_a, slug_b, score FROM p JOIN n x ON x.slug = slug_a JOIN n y ON y.slug = slug_b WHERE x.n AND y.n""")
 def wiki_contradictions(spark, folder):
     return wiki.contradictions(_wiki(spark, folder), similar_pairs(spark, folder))
 
@@ -510,14 +510,15 @@ def wiki_search(spark, folder):
 
 @query(f"""
 WITH {_WSEARCH}, t AS (SELECT slug, score, content, row_number() OVER (ORDER BY score DESC, slug) AS rank FROM s JOIN ({_WIKI}) w USING (slug) WHERE slug NOT IN ('index', 'log') QUALIFY rank <= 10)
-SELECT CAST(rank AS INT) AS rank, slug, score, CASE WHEN rank <= 3 THEN content ELSE left(content, 200) END AS text FROM t""")
+SELECT CAST(rank AS INT) AS rank, slug, score, CASE WHEN rank <= 3 THEN content ELSE left(content, 200) END AS text,
+  CASE WHEN rank <= 3 THEN array_to_string(list_filter(list_transform(regexp_extract_all(content, '(?s)\\[\\[(.*?)\\]\\]', 1), lambda x: trim(x)), lambda x: x <> ''), ' ') ELSE '' END AS links FROM t""")
 def wiki_query_bundle(spark, folder):
-    return wiki.query_bundle(_wiki(spark, folder), _wiki_ranked(spark, folder)).select("rank", "slug", "score", "text")
+    return wiki.query_bundle(_wiki(spark, folder), _wiki_ranked(spark, folder)).select("rank", "slug", "score", "text", F.array_join("links", " ").alias("links"))
 
 
 @query(f"""
 WITH w AS ({_WIKI}), o AS (SELECT split_part(slug, '/', 1) AS area, row_number() OVER (PARTITION BY split_part(slug, '/', 1) ORDER BY updated DESC, slug) AS ord, slug, title, content FROM w WHERE slug NOT IN ('index', 'log'))
-SELECT area, CAST(ord AS INT) AS ord, slug, '- [[' || slug || ']] ' || title || ': ' || left(regexp_extract(content, '(?m)^[ \\t]*(\\S.*?)\\s*$', 1), 100) AS line, ord = 1 AS header FROM o""")
+SELECT area, CAST(ord AS INT) AS ord, slug, '- [[' || slug || ']] — ' || title || ' (' || left(regexp_extract(content, '(?m)^[ \\t]*(\\S.*?)\\s*$', 1), 100) || ')' AS line, ord = 1 AS header FROM o""")
 def wiki_index_render(spark, folder):
     return wiki.index_lines(_wiki(spark, folder))
 
@@ -536,10 +537,39 @@ def ingest_plan(spark, folder):
     return wiki.ingest_plan(_wiki(spark, folder).select("slug"), titles)
 
 
-@query(f"SELECT slug, title, entry_type, content FROM (SELECT slug, title, coalesce(entry_type, 'concept') AS entry_type, content FROM ({_WIKI}))")
+@query(f"""
+WITH w AS ({_WIKI}), o AS (SELECT split_part(slug, '/', 1) AS area, row_number() OVER (PARTITION BY split_part(slug, '/', 1) ORDER BY updated DESC, slug) AS ord, slug, title, content FROM w WHERE slug NOT IN ('index', 'log')),
+l AS (SELECT area, ord, CASE WHEN ord = 1 THEN chr(10) || '## ' || area || chr(10) ELSE '' END || '- [[' || slug || ']] — ' || title || ' (' || left(regexp_extract(content, '(?m)^[ \\t]*(\\S.*?)\\s*$', 1), 100) || ')' || chr(10) AS line FROM o)
+SELECT left('# Index' || chr(10) || string_agg(line, '' ORDER BY area, ord), 4000) AS text FROM l""")
+def wiki_index_text(spark, folder):
+    return wiki.index_text(_wiki(spark, folder))
+
+
+@query(f"""
+WITH {_WSEARCH}, w AS ({_WIKI}), t AS (SELECT slug, score, content, row_number() OVER (ORDER BY score DESC, slug) AS rank FROM s JOIN w USING (slug) WHERE slug NOT IN ('index', 'log') QUALIFY rank <= 10),
+n0 AS (SELECT rank, list_filter(list_transform(regexp_extract_all(content, '(?s)\\[\\[(.*?)\\]\\]', 1), lambda x: trim(x)), lambda x: x <> '') AS l FROM t), n1 AS (SELECT rank, unnest(l) AS slug, unnest(range(len(l))) AS i FROM n0),
+n AS (SELECT slug, min(rank * 1000000 + i) AS o FROM n1 GROUP BY slug)
+SELECT 'source' AS part, 1 AS ord, 'sources/cache-notes' AS slug UNION ALL SELECT 'related', CAST(rank AS INT), slug FROM t UNION ALL SELECT 'neighbour', CAST(row_number() OVER (ORDER BY o) AS INT), slug FROM n
+UNION ALL SELECT 'suggested', 1, 'analyses/cache-notes' UNION ALL SELECT 'suggested', CAST(rank + 1 AS INT), slug FROM t""")
+def wiki_ingest(spark, folder):
+    """A text is written as a source; its related entries, their links and the suggested slugs as rows."""
+    done = wiki.ingest(_wiki(spark, folder), "Notes on a cache.", lambda _: _wiki_ranked(spark, folder), "2025-09-01T00:00:00Z", "Cache notes", "analysis")
+    parts = {"source": [done.source_slug], "related": [s for s, _ in done.related], "neighbour": done.neighbours, "suggested": done.suggested}
+    return spark.createDataFrame([(part, i + 1, slug) for part, slugs in parts.items() for i, slug in enumerate(slugs)], "part string, ord int, slug string")
+
+
+@query(f"WITH w AS ({_WIKI}), v AS (SELECT DISTINCT slug FROM wiki_vectors) SELECT slug, slug IN (SELECT slug FROM v) AS kept FROM w WHERE slug NOT IN ('index', 'log') GROUP BY slug")
+def wiki_reconcile(spark, folder):
+    """Vectors whose entry is there, and entries without a vector."""
+    kept, missing = wiki.reconcile(_wiki(spark, folder), table(spark, folder, "wiki_vectors"))
+    both = kept.select("slug", F.lit(True).alias("kept")).union(missing.select("slug", F.lit(False)))
+    return both.distinct()
+
+
+@query(f"SELECT slug, title, coalesce(entry_type, 'concept') AS entry_type, coalesce(tags, []) AS tags, coalesce(sources, []) AS sources, created, updated, content FROM ({_WIKI})")
 def front_matter_round_trip(spark, folder):
     """Entries written as Markdown and read again."""
-    return markdown.parse_front_matter(markdown.render_front_matter(_wiki(spark, folder).distinct())).select("slug", "title", "entry_type", "content")
+    return markdown.parse_front_matter(markdown.render_front_matter(_wiki(spark, folder).distinct())).select("slug", "title", "entry_type", "tags", "sources", "created", "updated", "content")
 
 
 @query()

@@ -26,7 +26,7 @@ def parse_front_matter(rows: DataFrame, slug: str = "slug", text: str = "text")
         raw = F.trim(F.regexp_extract("_b", rf"(?m)^{key}:[ \t]*(.*)$", 1))
         quoted = raw.rlike(r'^".*"$')
         plain = F.when(quoted, F.replace(F.substring(raw, F.lit(2), F.length(raw) - 2), F.lit('\\"'), F.lit('"'))).otherwise(raw)
-        return F.nullif(plain, F.lit(""))
+        return F.when(plain != "", plain)
 
     items = lambda key: F.coalesce(split_csv(F.regexp_replace(value(key), r"^\[|\]$", "")), F.array().cast("array<string>"))
     return read.select(
@@ -42,10 +42,11 @@ def parse_front_matter(rows: DataFrame, slug: str = "slug", text: str = "text")
 
 
 def render_front_matter(wiki: DataFrame) -> DataFrame:
-    """slug, text of every entry; titles are quoted, lists are comma-separated."""
-    title = F.concat(F.lit('"'), F.replace("title", F.lit('"'), F.lit('\\"')), F.lit('"'))
+    """slug, text of every entry; titles are quoted, lists are comma-separated, nulls are left empty."""
+    title = F.concat(F.lit('"'), F.replace(F.coalesce("title", F.lit("")), F.lit('"'), F.lit('\\"')), F.lit('"'))
     one = lambda c: F.coalesce(F.col(c), F.lit(""))
-    text = F.format_string("---\ntitle: %s\ntype: %s\ntags: %s\nsources: %s\ncreated: %s\nupdated: %s\n---\n\n%s", title, one("entry_type"), F.array_join("tags", ", "), F.array_join("sources", ", "), one("created"), one("updated"), one("content"))
+    listed = lambda c: F.coalesce(F.array_join(c, ", "), F.lit(""))
+    text = F.format_string("---\ntitle: %s\ntype: %s\ntags: %s\nsources: %s\ncreated: %s\nupdated: %s\n---\n\n%s", title, one("entry_type"), listed("tags"), listed("sources"), one("created"), one("updated"), one("content"))
     return wiki.select("slug", text.alias("text"))
 
 

@@ -191,6 +191,35 @@ def test_wiki_writes(spark, pages):
     assert {(r.source_slug, r.suggested) for r in plan} == {("sources/borrowing", "concepts/borrowing"), ("sources/s-2", "concepts/s")}
 
 
+def test_wiki_lint_follows_entry_types(spark):
+    rows = [
+        ("sources/x", "X", "concept", [], [], None, "2020-01-01T00:00:00+02:00", "Avoid [[sources/x]] and [[log]]."),
+        ("concepts/y", "Y", "source", [], [], None, "2020-01-01T00:00:00Z", "It is deprecated: [[concepts/none]]."),
+        ("concepts/z", "Z", None, [], [], None, "2024-06-01T00:00:00Z", "Nothing."),
+    ]
+    pages = spark.createDataFrame(rows, WIKI)
+    assert [r.slug for r in wiki.orphans(pages).collect()] == ["concepts/z"]  # x links to itself, y is a source
+    assert [r.slug for r in wiki.stale(pages, "2024-07-01 00:00:00", 180).collect()] == ["sources/x"]
+    assert {tuple(r) for r in wiki.dead_links(pages).collect()} == {("sources/x", "log"), ("concepts/y", "concepts/none")}
+    assert [tuple(r) for r in wiki.inbound(pages).collect()] == [("sources/x", 1)]
+    pairs = spark.createDataFrame([("sources/x", "concepts/y", 0.9), ("sources/x", "concepts/z", 0.95)], "slug_a string, slug_b string, score double")
+    assert [(r.slug_a, r.slug_b) for r in wiki.contradictions(pages, pairs).collect()] == [("sources/x", "concepts/y")]
+    assert wiki.index_lines(pages).where("slug = 'concepts/z'").first().line == "- [[concepts/z]] — Z (Nothing.)"
+    assert [wiki.normalise_area(x) for x in ("ADR", "analysis", "gotcha", "arch", "what")] == ["adrs", "analyses", "gotchas", "arch", "concepts"]
+
+
+def test_wiki_ingest(spark, pages):
+    rank = lambda w: wiki.entries(w).select("slug", F.length("slug").cast("double").alias("score")).distinct()
+    done = wiki.ingest(pages, "text", rank, "2025-07-01T00:00:00Z", "S", "adr", "http://x")
+    assert done.source_slug == "sources/s-2" and done.suggested == ["adrs/s", "concepts/a", "concepts/b", "sources/s"]
+    assert done.related[0] == ("sources/s-2", 11.0) and done.neighbours == ["concepts/b", "concepts/gone"]
+    row = wiki.read(done.wiki, "sources/s-2").first()
+    assert (row.entry_type, row.sources, row.content, row.created) == ("source", ["http://x"], "text", "2025-07-01T00:00:00Z")
+    assert done.log.first().line == "## [2025-07-01] ingest | S (sources/s-2)"
+    kept, missing = wiki.reconcile(pages, spark.createDataFrame([("concepts/a", 1), ("gone", 2), ("index", 3)], "slug string, v int"))
+    assert [r.slug for r in kept.collect()] == ["concepts/a"] and sorted(r.slug for r in missing.collect()) == ["concepts/b", "sources/s"]
+
+
 def test_front_matter(spark, pages):
     back = {r.slug: r for r in markdown.parse_front_matter(markdown.render_front_matter(pages.distinct())).collect()}
     assert back["concepts/a"].title == 'Say "A"' and back["concepts/b"].tags == ["x", "y"] and back["concepts/b"].entry_type == "concept"
