@@ -2,11 +2,11 @@
 
 Everything runs inside the JVM, in three steps:
 
-1. A text is cut into words by the tokenizer's pattern and its words are looked up as byte arrays. What is found gives ids at once, a
-   word that is no token leaves a mark (OPEN) in the list of ids.
+1. A text is cut into words by the tokenizer's pattern and its words are looked up as byte arrays. What is found gives ids at once;
+   words that are no token cut the text's ids into runs.
 2. The distinct words that are no token are folded, each one once: ``aggregate`` joins, step by step, the adjacent pair of lowest
    rank, until no pair is left that has a rank.
-3. The folded words are joined back to the texts that hold them, and put where the marks stand.
+3. The folded words are joined back to the texts that hold them, and put between the runs.
 
 The rank map is a literal of the plan: a table of one row, an array of small maps addressed by crc32 (Spark scans a map from its
 start), put into expressions as a scalar subquery. So plans carry a reference to it and not its text. The most frequent words that need
@@ -32,14 +32,12 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 BUCKETS = 1 << 16
 NO_RANK = 1 << 30
-#: Stands for a word in a list of ids until the word is folded.
-OPEN = -1
 #: Words of more bytes are folded by a way that costs more per step and takes fewer steps: all places of a pair in one.
 LONG = 512
 #: Marks around a piece in that way; outside the 256 chars that stand for bytes.
 LEFT, RIGHT = "Ā", "ā"
 #: Bounds of the table of frequent words and of the sample it is counted on.
-MAX_WORDS, SAMPLE_ROWS = 1 << 16, 20_000
+MAX_WORDS, SAMPLE_ROWS = 1 << 16, 4_000
 
 
 def load_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -151,12 +149,15 @@ class Encoder:
         return self.spark.createDataFrame(pa.table({"maps": pa.array([maps], pa.list_(pa.map_(pa.binary(), pa.list_(pa.int32()))))})).scalar()
 
     def _looked_up(self, texts: DataFrame, text: str, entries: dict[bytes, list[int]], body) -> DataFrame:
-        """texts with _looked = body(words, found): the words of the text and the ids of each, OPEN alone for words that are no key."""
+        """texts with _looked = body(words, found, open): the words of the text, the ids of each (null for words that are no key) and the places of these, from 1."""
 
         def found(maps: Column, words: Column) -> Column:
-            return F.transform(words, lambda w: F.coalesce(_look_up(maps, w.cast("binary")), F.array(F.lit(OPEN))))
+            return F.transform(words, lambda w: _look_up(maps, w.cast("binary")))
 
-        looked = let(F.col("_maps"), lambda m: let(split_words(F.col(text)), lambda w: let(found(m, w), lambda f: body(w, f))))
+        def places(found: Column) -> Column:
+            return F.when(F.size(found) == 0, F.array().cast("array<int>")).otherwise(F.filter(F.sequence(F.lit(1), F.size(found)), lambda i: F.get(found, i - 1).isNull()))
+
+        looked = let(F.col("_maps"), lambda m: let(split_words(F.col(text)), lambda w: let(found(m, w), lambda f: let(places(f), lambda o: body(w, f, o)))))
         return texts.withColumn("_maps", self._map(entries)).withColumn("_looked", looked).drop("_maps")
 
     def fold(self, words: DataFrame, word: str) -> DataFrame:
@@ -176,35 +177,26 @@ class Encoder:
         return {w.encode(): ids for w, ids in zip(rows.column("_word").to_pylist(), rows.column("ids").to_pylist(), strict=True)}
 
     def looked_up(self, texts: DataFrame, text: str, frequent: dict[bytes, list[int]]) -> DataFrame:
-        """texts with _ids, in which OPEN stands for a word that is neither token nor frequent, and _open: these words in order."""
+        """texts with _open, the words that are neither tokens nor frequent, in order, and _runs, the ids before, between and behind them."""
+
+        def parts(words: Column, found: Column, places: Column) -> Column:
+            def run(place: Column, i: Column) -> Column:
+                before = F.when(i > 0, F.get(places, i - 1)).otherwise(F.lit(0))
+                return F.flatten(F.slice(found, before + 1, place - before - 1))
 
-        def parts(words: Column, found: Column) -> Column:
-            return F.struct(F.flatten(found).alias("_ids"), _unknown(words, found).alias("_open"))
+            runs = F.transform(F.array_append(places, F.size(found) + 1), run)
+            return F.struct(runs.alias("_runs"), _unknown(words, found, places).alias("_open"))
 
         looked = self._looked_up(texts, text, self.ranks | frequent, parts)
-        return looked.select(*[c for c in texts.columns], "_looked.*")
+        return looked.select(*texts.columns, "_looked.*")
 
     def folded(self, rows: DataFrame, word: str) -> DataFrame:
         """rows with the column ids of their word; every distinct word is folded once."""
         return rows.join(self.fold(rows.select(word).distinct(), word), word)
 
 
-def _unknown(words: Column, found: Column) -> Column:
-    return F.filter(words, lambda w, i: F.get(F.get(found, i), 0) == OPEN)
-
-
-def _filled(ids: Column, words: Column) -> Column:
-    """ids with the lists of ids of words put where OPEN stands."""
-
-    def fill(at: Column) -> Column:
-        def part(end: Column, i: Column) -> Column:
-            start = F.when(i > 0, F.get(at, i - 1)).otherwise(F.lit(0))
-            return F.concat(F.slice(ids, start + 1, end - start - F.when(i < F.size(words), 1).otherwise(0)), F.coalesce(F.get(words, i), F.array().cast("array<int>")))
-
-        return F.flatten(F.transform(F.array_append(at, F.size(ids)), part))
-
-    # positions from 1 of the marks: a part ends with its mark, the last one with the list
-    return F.when(F.size(ids) == 0, ids).otherwise(let(F.filter(F.sequence(F.lit(1), F.size(ids)), lambda i: F.get(ids, i - 1) == OPEN), fill))
+def _unknown(words: Column, found: Column, places: Column) -> Column:
+    return F.transform(places, lambda i: F.get(words, i - 1))
 
 
 def encode_table(texts: DataFrame, column: str = "text", out: str = "ids", path: str = VOCABULARY, max_words: int = MAX_WORDS, keep: list[str] | None = None) -> DataFrame:
@@ -219,7 +211,7 @@ def encode_table(texts: DataFrame, column: str = "text", out: str = "ids", path:
     rows = stored(encoder.looked_up(numbered, "_text", encoder.frequent(renamed, "_text")).drop("_text"))
     words = encoder.folded(rows.select("_row", F.posexplode("_open").alias("_at", "_word")), "_word")
     lists = words.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", "ids"))).alias("_lists"))
-    filled = F.when(F.col("_lists").isNull(), F.col("_ids")).otherwise(_filled(F.col("_ids"), F.col("_lists.ids")))
+    filled = F.flatten(F.transform("_runs", lambda run, i: F.concat(run, F.coalesce(F.get("_lists.ids", i), F.array().cast("array<int>")))))
     return rows.join(lists, "_row", "left").select(*(["_kept.*"] if kept else []), filled.alias(out))
 
 

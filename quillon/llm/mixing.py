@@ -36,7 +36,7 @@ def sized_texts(docs: DataFrame) -> DataFrame:
     one = rows.groupBy("_text").agg(F.min(F.struct("_doc", "_source")).alias("_one")).select("_one.*", "_text")
     looked = encoder.looked_up(one, "_text", encoder.frequent(rows, "_text"))
     hashed = F.shiftrightunsigned(F.xxhash64(F.md5("_text")), 64 - LEVEL_BITS * LEVELS).alias("_hash")
-    texts = stored(looked.select("_doc", "_source", hashed, (F.size("_ids") - F.size("_open")).alias("_known"), "_open"))
+    texts = stored(looked.select("_doc", "_source", hashed, F.aggregate("_runs", F.lit(0), lambda n, run: n + F.size(run)).alias("_known"), "_open"))
     words = encoder.folded(texts.select("_doc", "_hash", F.explode("_open").alias("_word")), "_word")
     more = words.groupBy("_doc", "_hash").agg(F.sum(F.size("ids")).alias("_more"))
     whole = texts.drop("_open").join(more, ["_doc", "_hash"], "left")
