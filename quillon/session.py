@@ -48,7 +48,7 @@ def stored(df: DataFrame) -> DataFrame:
     """Like cut, as a Parquet table: for wide rows, of which later steps read some columns. Removed when the driver ends."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
