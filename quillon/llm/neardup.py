@@ -5,15 +5,19 @@ A record is its set of words. Records with equal sets form a class, and classes
 * A class's signature has COORDINATES min-hashes. Sets of Jaccard similarity J agree in a coordinate with probability J, so
   two sets of at least ``threshold`` agree in ``need`` coordinates but for about one pair in 10,000 that lie exactly at it,
   and far fewer above.
-* Posting: a class is posted under (coordinate, value). Two classes that agree in ``need`` coordinates share at least one of
-  the first COORDINATES - need + 1 in any common order, so only that prefix is posted. The order puts coordinates first whose
+* Posting: a class is posted under (coordinate, value). Two classes that agree in ``need`` coordinates share at least MATCHES of
+  the first COORDINATES - need + MATCHES in any common order, so only that prefix is posted. The order puts coordinates first whose
   minimum is a rare word, which keeps lists short however frequent some words are. Frequent words are known from a
   bounded sample; that touches the order only, never the result.
 * Skipping: a collision is dropped at once, inside the join, if the sizes rule the similarity out or if 192 further min-hashes
   of one bit, carried in the posting, agree in too few places.
-* Merging: one collision left makes a pair a candidate (the bits stand in place of a threshold on their count); every pair is
-  then decided by the exact similarity of its sets.
+* Merging: collisions are counted by pair, and pairs of MATCHES or more are retained; every one is then decided by the exact
+  similarity of its sets.
 
+``exact`` is the way without a loss: it posts the rarest words of a set themselves, so many that alike sets share one for certain, and
+skips by size alone. It costs more; ``p2_recall`` measures the first way by it.
+
+Lists and classes of more than SPLIT rows are split: one side by hash, the other repeated, so no task meets all pairs of a group.
 A set's identity is a 64-bit hash of its words' hashes.
 """
 
@@ -32,6 +36,10 @@ from quillon.sources.tables import table
 COORDINATES = 32
 BITS = 192
 SEED = 20_231
+#: Collisions a pair needs, and rows of one list or class that a task may meet on one side.
+MATCHES, SPLIT = 3, 1024
+#: Largest table of groups to be split that is broadcast.
+HOT_ROWS = 1 << 16
 #: Size of the table of frequent words, and rows of the sample it is counted on.
 FREQUENT, SAMPLE_ROWS = 4095, 20_000
 #: log2 of the bits of the filter that spares words of records without a candidate partner the shuffle.
@@ -68,12 +76,32 @@ def _frequent(sample: DataFrame, text: str) -> dict[int, int]:
     return {r.w: FREQUENT - i for i, r in enumerate(counted.collect())}
 
 
+def _places(frequent: dict[int, int]):
+    """Hashes of words -> 0 for rare ones, else 1..FREQUENT."""
+    words = np.array(sorted(frequent), dtype=np.int64)
+    ranks = np.array([frequent[w] for w in words.tolist()], dtype=np.uint64)
+
+    def places(flat: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(flat), np.uint64)
+        if len(words):
+            at = np.minimum(np.searchsorted(words, flat), len(words) - 1)
+            hit = words[at] == flat
+            out[hit] = ranks[at[hit]]
+        return out
+
+    return places
+
+
+def _with(batch: pa.RecordBatch, posted: pa.Array, bits: np.ndarray) -> pa.RecordBatch:
+    cols = [*batch.columns, posted, *(pa.array(np.ascontiguousarray(bits[:, j]).view(np.int64)) for j in range(BITS // 64))]
+    return pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, "_tokens", *(f"_b{j}" for j in range(BITS // 64))])
+
+
 def _signer(frequent: dict[int, int], prefix: int):
     rng = np.random.default_rng(SEED)
     odd = rng.integers(0, 1 << 62, COORDINATES + BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     salt = rng.integers(0, 1 << 62, COORDINATES + BITS, dtype=np.uint64)
-    words = np.array(sorted(frequent), dtype=np.int64)
-    ranks = np.array([frequent[w] for w in words.tolist()], dtype=np.uint64)
+    places = _places(frequent)
     low = np.uint64(0xFFF)
 
     def least(h: np.ndarray, starts: np.ndarray, i: int, tag: np.ndarray | None) -> np.ndarray:
@@ -84,17 +112,12 @@ def _signer(frequent: dict[int, int], prefix: int):
 
     def sign(batches):
         for batch in batches:
-            lists = batch.column("_h")
-            flat, offsets = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            n = batch.num_rows
+            lists, n = batch.column("_h"), batch.num_rows
             if not n:
                 continue
+            flat, offsets = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             starts, h = (offsets[:-1] - offsets[0]).astype(np.int64), flat.view(np.uint64)
-            tag = np.zeros(len(flat), np.uint64)
-            if len(words):
-                at = np.minimum(np.searchsorted(words, flat), len(words) - 1)
-                hit = words[at] == flat
-                tag[hit] = ranks[at[hit]]
+            tag = places(flat)
             mins = np.stack([least(h, starts, i, tag) for i in range(COORDINATES)], 1)
             order = mins & low
             tokens = (mins >> np.uint64(12)) * np.uint64(64) + np.arange(COORDINATES, dtype=np.uint64)
@@ -103,27 +126,59 @@ def _signer(frequent: dict[int, int], prefix: int):
             bits = np.zeros((n, BITS // 64), np.uint64)
             for i in range(BITS):
                 bits[:, i // 64] |= ((least(h, starts, COORDINATES + i, None) >> np.uint64(40)) & np.uint64(1)) << np.uint64(i % 64)
-            keep = batch.schema.names
-            cols = [batch.column(c) for c in keep]
-            cols.append(pa.ListArray.from_arrays(np.arange(0, n * prefix + 1, prefix, dtype=np.int32), posted.ravel()))
-            cols += [pa.array(np.ascontiguousarray(bits[:, j]).view(np.int64)) for j in range(BITS // 64)]
-            yield pa.RecordBatch.from_arrays(cols, names=[*keep, "_tokens", *(f"_b{j}" for j in range(BITS // 64))])
+            yield _with(batch, pa.ListArray.from_arrays(np.arange(0, n * prefix + 1, prefix, dtype=np.int32), posted.ravel()), bits)
+
+    return sign
+
+
+def _exact_signer(frequent: dict[int, int], threshold: float):
+    """Posts of n words the n - least + 1 rarest ones, least being the size of the smallest overlap with an alike set."""
+    places = _places(frequent)
+
+    def sign(batches):
+        for batch in batches:
+            lists, n = batch.column("_h"), batch.num_rows
+            if not n:
+                continue
+            flat, offsets = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            sizes = np.diff(offsets)
+            posts = sizes - np.ceil(sizes * threshold - 1e-9).astype(np.int64) + 1
+            order = np.lexsort((flat, places(flat), np.repeat(np.arange(n), sizes)))
+            nth = np.arange(len(flat)) - np.repeat(offsets[:-1] - offsets[0], sizes)
+            posted = flat[order][nth < np.repeat(posts, sizes)]
+            ends = np.concatenate([[0], np.cumsum(posts)]).astype(np.int32)
+            yield _with(batch, pa.ListArray.from_arrays(ends, posted), np.zeros((n, BITS // 64), np.uint64))
 
     return sign
 
 
-def _candidates(classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (_a, _b) of classes, _a < _b, with their number of collisions."""
+def _split(rows: DataFrame, group: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """rows twice, for a join of each group with itself on (group, _part): groups beyond SPLIT rows are parted by key on one side and repeated on the other."""
+    hot = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > SPLIT)
+    hot = cut(hot.select(group, F.ceil(F.col("_size") / SPLIT).cast("int").alias("_parts")))
+    hot = F.broadcast(hot) if hot.count() <= HOT_ROWS else hot
+    parted = rows.join(hot, group, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    one = parted.withColumn("_part", F.pmod(F.xxhash64(key), F.col("_parts")).cast("int"))
+    return one.drop("_parts"), parted.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+
+
+def _candidates(classes: DataFrame, threshold: float, matches: int, asked: DataFrame | None = None) -> DataFrame:
+    """Pairs (_a, _b) of classes, _a < _b, that collide at least ``matches`` times; asked: only pairs with one of these classes(_k)."""
     least = F.ceil(F.col("_n") * F.lit(threshold) - 1e-9).cast("int").alias("_least")  # size of the smallest set that can be alike
     columns = ("_k", "_n", "_least", "_b0", "_b1", "_b2")
     postings = classes.select("_k", "_n", least, "_b0", "_b1", "_b2", F.explode("_tokens").alias("_t"))
-    a = postings.select("_t", *[F.col(c).alias(f"a{c}") for c in columns])
-    b = postings.select("_t", *[F.col(c).alias(f"b{c}") for c in columns])
+    one, other = _split(postings, "_t", "_k")
+    if asked is not None:
+        one = one.join(asked, "_k", "left_semi")
+    a = one.select("_t", "_part", *[F.col(c).alias(f"a{c}") for c in columns])
+    b = other.select("_t", "_part", *[F.col(c).alias(f"b{c}") for c in columns])
     differ = sum((F.bit_count(F.col(f"a_b{j}").bitwiseXOR(F.col(f"b_b{j}"))) for j in range(3)), F.lit(0))
     most = BITS - below(BITS, (1 + threshold) / 2, 2e-4)
     sizes = (F.col("a_n") >= F.col("b_least")) & (F.col("b_n") >= F.col("a_least"))
-    met = a.join(b, "_t").where((F.col("a_k") < F.col("b_k")) & sizes & (differ <= most))
-    return met.groupBy(F.col("a_k").alias("_a"), F.col("b_k").alias("_b")).agg(F.count(F.lit(1)).alias("_collisions"))
+    once = F.col("a_k") < F.col("b_k") if asked is None else F.col("a_k") != F.col("b_k")
+    met = a.join(b, ["_t", "_part"]).where(once & sizes & (differ <= most))
+    counted = met.groupBy(F.least("a_k", "b_k").alias("_a"), F.greatest("a_k", "b_k").alias("_b")).agg(F.count(F.lit(1)).alias("_collisions"))
+    return counted.where(F.col("_collisions") >= matches).select("_a", "_b")
 
 
 def _bit_filter(keys: DataFrame, column: str) -> Column:
@@ -137,33 +192,29 @@ def _bit_filter(keys: DataFrame, column: str) -> Column:
     return F.getbit(F.get(packed, F.shiftright(place, 6).cast("int")), F.pmod(place, F.lit(64)).cast("int")) == 1
 
 
-def similar_sets(records: DataFrame, key: str, text: str, threshold: float = 0.7, min_words: int = 20) -> tuple[DataFrame, DataFrame]:
+def similar_sets(records: DataFrame, key: str, text: str, threshold: float = 0.7, min_words: int = 20, exact: bool = False, asked: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(members, links).
 
     members: key, class; one row per distinct key with at least min_words distinct words. links: class_a < class_b,
     similarity; every pair of different word sets whose Jaccard similarity is at least threshold. Members of one class
     have equal word sets. Null and short texts and null keys are in no class; a key with several texts takes part with each of them.
-    Other columns are ignored.
+    Other columns are ignored. exact: no pair is missed, at a higher cost. asked, a condition on the key, keeps links of classes with such a member.
     """
     sets = records.where(F.col(key).isNotNull()).select(F.col(key).alias("_id"), word_hashes(F.col(text)).alias("_h"))
     sets = sets.where(F.size("_h") >= min_words).select("_id", F.xxhash64("_h").alias("_k"), F.size("_h").alias("_n"), "_h")
-    need = below(COORDINATES, threshold, 1e-4)
-    prefix = COORDINATES - need + 1
     step = max(1, records.count() // SAMPLE_ROWS)
-    sample = records.where(F.pmod(F.xxhash64(key), F.lit(step)) == 0)
-    signed = cut(
-        sets.mapInArrow(
-            _signer(_frequent(sample, text), prefix),
-            f"_id {dict(sets.dtypes)['_id']}, _k long, _n int, _h array<bigint>, _tokens array<bigint>, _b0 long, _b1 long, _b2 long",
-        )
-    )
+    frequent = _frequent(records.where(F.pmod(F.xxhash64(key), F.lit(step)) == 0), text)
+    prefix = COORDINATES - below(COORDINATES, threshold, 1e-4) + MATCHES
+    signer = _exact_signer(frequent, threshold) if exact else _signer(frequent, prefix)
+    signed = cut(sets.mapInArrow(signer, f"_id {dict(sets.dtypes)['_id']}, _k long, _n int, _h array<bigint>, _tokens array<bigint>, _b0 long, _b1 long, _b2 long"))
     members = signed.select(F.col("_id").alias(key), F.col("_k").alias("class")).distinct()
     columns = ["_n", "_tokens", "_b0", "_b1", "_b2"]
     classes = signed.groupBy("_k").agg(F.first(F.struct(*columns)).alias("_s")).select("_k", "_s.*")
-    pairs = cut(_candidates(classes, threshold).select("_a", "_b"))
-    asked = pairs.select(F.col("_a").alias("_k")).union(pairs.select("_b"))
-    words = signed.select("_k", "_h").where(_bit_filter(asked, "_k")).groupBy("_k").agg(F.first("_h").alias("_h"))
-    words = cut(words.join(asked, "_k", "left_semi"))
+    wanted = members.where(asked).select(F.col("class").alias("_k")).distinct() if asked is not None else None
+    pairs = cut(_candidates(classes, threshold, 1 if exact else MATCHES, wanted))
+    ends = pairs.select(F.col("_a").alias("_k")).union(pairs.select("_b"))
+    words = signed.select("_k", "_h").where(_bit_filter(ends, "_k")).groupBy("_k").agg(F.first("_h").alias("_h"))
+    words = cut(words.join(ends, "_k", "left_semi"))
     both = pairs.join(words.select(F.col("_k").alias("_a"), F.col("_h").alias("_ha")), "_a").join(words.select(F.col("_k").alias("_b"), F.col("_h").alias("_hb")), "_b")
     common = both.select("_a", "_b", (F.size("_ha") + F.size("_hb")).alias("_all"), F.size(F.array_intersect("_ha", "_hb")).alias("_common"))
     links = common.select(F.col("_a").alias("class_a"), F.col("_b").alias("class_b"), (F.col("_common") / (F.col("_all") - F.col("_common"))).alias("similarity"))
@@ -181,11 +232,12 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     spans = chunks.select("id", "relative_path", "start_line", "end_line").distinct()
     members = cut(members.join(spans, "id"))
 
-    def side(x: str) -> DataFrame:
-        return members.select(*[F.col(c).alias(f"{c}_{x}") for c in ("id", "class", "relative_path", "start_line", "end_line")])
+    def side(rows: DataFrame, x: str) -> DataFrame:
+        return rows.select(*[F.col(c).alias(f"{c}_{x}") for c in rows.columns])
 
-    across = links.select("class_a", "class_b").join(side("a"), "class_a").join(side("b"), "class_b")
-    within = side("a").join(side("b"), F.col("class_a") == F.col("class_b")).where("id_a < id_b")
+    across = links.select("class_a", "class_b").join(side(members, "a"), "class_a").join(side(members, "b"), "class_b")
+    one, other = _split(members, "class", "id")
+    within = side(one, "a").join(side(other, "b"), (F.col("class_a") == F.col("class_b")) & (F.col("_part_a") == F.col("_part_b"))).where("id_a < id_b")
     columns = ["id_a", "id_b", "relative_path_a", "relative_path_b", "start_line_a", "start_line_b", "end_line_a", "end_line_b"]
     pairs = across.select(*columns).union(within.select(*columns))
     apart = F.expr("coalesce(NOT (relative_path_a = relative_path_b AND start_line_a <= end_line_b AND start_line_b <= end_line_a), true)")
@@ -201,6 +253,15 @@ def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("id", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def p2_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Share of the links found for the chunks whose hash is divisible by 20, against the way without a loss over all rows."""
+    chunks, asked = _chunks(spark, folder), F.pmod(F.xxhash64("id"), F.lit(20)) == 0
+    true = similar_sets(chunks, "id", "content", exact=True, asked=asked)[1].select("class_a", "class_b")
+    found = similar_sets(chunks, "id", "content")[1].select("class_a", "class_b", F.lit(1).alias("_hit"))
+    both = true.join(found, ["class_a", "class_b"], "left")
+    return both.agg(F.count(F.lit(1)).alias("true_links"), F.round(F.coalesce(F.avg(F.coalesce("_hit", F.lit(0))), F.lit(1.0)), 4).alias("recall"))
+
+
 P2_WORDS = """
 words AS (SELECT DISTINCT id, relative_path AS p, start_line AS s, end_line AS e, unnest(regexp_extract_all(lower(content), '[a-z0-9_]+')) AS w FROM chunks),
 sized AS (SELECT id, p, s, e, count(*) AS n FROM words GROUP BY ALL HAVING count(*) >= 20),

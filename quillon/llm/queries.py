@@ -9,9 +9,11 @@ QUERIES = {
     "p1_rates": parsecheck.p1_rates,
     "p2_found": neardup.p2_found,
     "p2_classes": neardup.p2_classes,
+    "p2_recall": neardup.p2_recall,
     "p3_found": ranking.p3_found,
     "p4_found": neighbours.p4_found,
     "p4_recall": neighbours.p4_recall,
+    "p4_recall_wiki": neighbours.p4_recall_wiki,
     "p5_found": docpairs.p5_found,
     "p5_pairs": docpairs.p5_pairs,
     "p5_pairs_of_files": docpairs.p5_pairs_of_files,

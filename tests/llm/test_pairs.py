@@ -4,7 +4,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from quillon.llm import neardup
 from quillon.llm.neardup import below, similar_sets
 from quillon.llm.neighbours import nearest
 
@@ -51,6 +53,20 @@ def test_all_alike_pairs_come_out(spark, threshold):
     assert len(want - got) <= 0.001 * len(want)
 
 
+@pytest.mark.parametrize("threshold", [0.6, 0.8])
+def test_the_exact_way_misses_nothing(spark, monkeypatch, threshold):
+    monkeypatch.setattr(neardup, "SPLIT", 16)  # lists and classes are split
+    texts = word_sets(400, seed=8)
+    df = spark.createDataFrame(list(enumerate(texts + texts[:40])), "id long, content string")
+    want = brute(texts + texts[:40], threshold, 20)
+    assert pairs_of(*similar_sets(df, "id", "content", threshold, exact=True)) == want
+    members, links = similar_sets(df, "id", "content", threshold, exact=True, asked=F.col("id") % 5 == 0)
+    owner = {r.id: r["class"] for r in members.collect()}
+    asked = {owner[i] for i in range(0, len(owner), 5) if i in owner}
+    got = {(r.class_a, r.class_b) for r in links.collect()}
+    assert got == {tuple(sorted((owner[a], owner[b]))) for a, b in want if owner[a] != owner[b] and {owner[a], owner[b]} & asked}
+
+
 def test_hot_group_nulls_and_empty(spark):
     text = " ".join(f"x{i}" for i in range(40))
     rows = [(i, text) for i in range(60)] + [(100, None), (101, ""), (102, "a b c"), (None, text), (0, text), (103, "x0 " * 200_000)]

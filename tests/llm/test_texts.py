@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -89,6 +90,25 @@ def test_splitting_equals_the_plain_rule(spark):
         assert got.get(key, []) == pieces(text, limit, overlap), repr(text)
 
 
+def test_pieces_of_least_total_cost():
+    rng = random.Random(4)
+
+    def cheapest(empty, limit, overlap, first=1):
+        n = len(empty)
+        if first + limit > n:
+            return limit - (n - first + 1)
+        ends = range(1, limit + 1)
+        cost = lambda e: limit - e + (0 if empty[first + e - 2] and e > limit // 2 else 0.5 * limit)
+        return min(cost(e) + cheapest(empty, limit, overlap, max(first + e - overlap, first + 1)) for e in ends)
+
+    for _ in range(60):
+        empty, limit, overlap = [rng.random() < 0.3 for _ in range(rng.randint(1, 14))], rng.randint(2, 6), rng.randint(0, 2)
+        got = splitting.best_pieces(np.array(empty), limit, overlap, cut=0.5, early_first=False)
+        assert got[0][0] == 1 and got[-1][1] == len(empty) and all(b - a < limit for a, b in got)
+        paid = sum(limit - (b - a + 1) + (0 if b == len(empty) or (empty[b - 1] and b - a + 1 > limit // 2) else 0.5 * limit) for a, b in got)
+        assert paid == cheapest(empty, limit, overlap)
+
+
 def test_splitting_edges(spark):
     rules = spark.createDataFrame([("k", 4, 9), ("one", 1, 0), ("n", None, None)], "symbol_kind string, max_lines int, overlap_lines int")
     rows = [("a", "k", "1\n2\n3\n4\n5\n6"), ("b", None, "x\n" * 9), ("c", "k", None), ("d", "none", "x\n" * 9), ("e", "one", "1\n2\n3"), ("f", "n", "x\n" * 9), ("g", "one", "x\n" * 3000)]
