@@ -1,82 +1,137 @@
-"""BM25 over an inverted index of chunk fields."""
+"""BM25 over chunk fields: queries in a small language, and batches of queries over an inverted index."""
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.text import words
+from quillon.session import cut
 
 K1, B = 1.2, 0.75
+#: Largest table of asked terms that is broadcast.
+BROADCAST_TERMS = 1 << 16
+
+
+def _text(field: str) -> Column:
+    return F.coalesce(F.col(field).cast("string"), F.lit(""))
+
+
+def _idf(n: Column, df: Column) -> Column:
+    return F.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def _saturated(tf: Column, dl: Column, avgdl: Column) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.greatest(avgdl, F.lit(1e-9))))
 
 
 def postings(docs: DataFrame, key: str, fields: list[str], only: DataFrame | None = None) -> DataFrame:
-    """(key, field, term, tf, dl), dl being the number of the field's terms; only the terms of a table, where given."""
-    long = docs.select(F.col(key).alias("key"), F.explode(F.create_map(*[x for f in fields for x in (F.lit(f), words(F.coalesce(f, F.lit("")).cast("string")))])).alias("field", "terms"))
-    terms = long.select("key", "field", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+    """(key, field, term, tf, dl), dl being the number of the field's terms; only the terms of a table, where given. Repeated docs count once."""
+    numbered = docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("_row"), F.explode(F.create_map(*[x for f in fields for x in (F.lit(f), words(_text(f)))])).alias("field", "terms"))
+    terms = numbered.select("key", "_row", "field", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
     if only is not None:
         terms = terms.join(only, "term", "left_semi")
-    return terms.groupBy("key", "field", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    return terms.groupBy("key", "field", "term", "dl", "_row").agg(F.count(F.lit(1)).alias("tf")).drop("_row").distinct().select("key", "field", "term", "dl", "tf")
+
+
+def lengths(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(field, n, avgdl), one row a field: documents and their mean number of terms."""
+    sizes = docs.select(F.col(key).alias("key"), *[F.size(words(_text(f))).alias(f"d{i}") for i, f in enumerate(fields)]).distinct()
+    one = sizes.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"d{i}").alias(f"a{i}") for i in range(len(fields))])
+    return one.select("n", F.explode(F.create_map(*[x for i, f in enumerate(fields) for x in (F.lit(f), F.coalesce(F.col(f"a{i}"), F.lit(0.0)))])).alias("field", "avgdl"))
 
 
-def parse_query(query: str) -> dict | None:
-    """A query of words, "phrases", +required, -excluded and field:word; None if it cannot be read."""
+@dataclass(frozen=True)
+class Clause:
+    """Words that stand next to each other in a field, or in any; sign: + required, - excluded, else optional."""
+
+    sign: str
+    field: str | None
+    terms: tuple[str, ...]
+
+
+def parse_query(query: str, fields: tuple[str, ...] = ("content", "symbol_name")) -> list[Clause] | None:
+    """Words, "phrases", +required, -excluded and field:word. A word of several parts (read_file, foo::bar) is a phrase.
+
+    None if it cannot be read: blank, an open quotation mark, or a clause without a letter or digit. A prefix that is no field is text.
+    """
     if query.count('"') % 2 or not query.strip():
         return None
-    out: dict = {"any": [], "must": [], "not": [], "phrases": [], "fields": []}
-    for sign, field, phrase, word in re.findall(r'([+-]?)(?:(\w+):)?(?:"([^"]*)"|(\S+))', query):
-        terms = [w for w in re.split(r"[^\w]+|_", (phrase or word).lower()) if w]
+    out = []
+    prefix = "|".join(re.escape(f) for f in fields)
+    for sign, field, phrase, word in re.findall(rf'([+-]?)(?:({prefix}):(?!:))?(?:"([^"]*)"|([^\s"]+))', query):
+        terms = tuple(w for w in re.split(r"[^\w]+|_", (phrase or word).lower()) if w)
         if not terms:
             return None
-        if phrase or len(terms) > 1:
-            out["phrases"].append((field or None, terms))
-        bucket = {"+": "must", "-": "not"}.get(sign, "any")
-        out[bucket] += [(field or None, t) for t in terms]
+        out.append(Clause(sign, field or None, terms))
     return out
 
 
-def score_queries(docs: DataFrame, queries: DataFrame, key: str, fields: list[str]) -> DataFrame:
+def score_queries(docs: DataFrame, queries: DataFrame, key: str, fields: list[str], index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(query_id, key, score) for queries(query_id, query): sums over words and fields; a word asked for twice counts twice.
 
-    Query words are joined with the postings before anything is gathered, so frequent words of the corpus that nobody asks for never
-    move; document frequencies come from the same joined postings.
+    Only terms that are asked for leave the scan, and no text is moved; document frequencies come from the same postings. index: stored
+    (postings, lengths) that are read in place of docs.
     """
     asked = queries.select("query_id", F.explode(words(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
-    wanted = postings(docs, key, fields, asked.select("term").distinct())
+    asked = cut(asked)
+    terms = asked.select("term").distinct()
+    small = (lambda t: F.broadcast(t)) if terms.count() <= BROADCAST_TERMS else (lambda t: t)
+    stored, totals = index or (None, lengths(docs, key, fields))
+    wanted = cut(stored.where(F.col("field").isin(fields)).join(small(terms), "term", "left_semi") if index else postings(docs, key, fields, small(terms)))
     df = wanted.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-    lengths = docs.agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.size(words(F.coalesce(f, F.lit("")).cast("string")))).alias(f"a{i}") for i, f in enumerate(fields)])
-    totals = lengths.select("n", F.explode(F.create_map(*[x for i, f in enumerate(fields) for x in (F.lit(f), F.col(f"a{i}"))])).alias("field", "avgdl"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     stats = df.join(F.broadcast(totals), "field")  # one row per field
-    weighted = wanted.join(stats, ["field", "term"]).select("key", "term", weight.alias("w"))
-    return weighted.join(asked, "term").groupBy("query_id", "key").agg(F.sum(F.col("w") * F.col("qf")).alias("score"))
+    weight = _idf(F.col("n"), F.col("df")) * _saturated(F.col("tf"), F.col("dl"), F.col("avgdl"))
+    weighted = wanted.join(small(stats), ["field", "term"]).select("key", "term", weight.alias("w"))
+    return weighted.join(small(asked) if asked.count() <= BROADCAST_TERMS else asked, "term").groupBy("query_id", "key").agg(F.sum(F.col("w") * F.col("qf")).alias("score"))
 
 
 def search(docs: DataFrame, query: str, key: str = "id", fields: tuple[str, ...] = ("content", "symbol_name"), limit: int = 20) -> DataFrame:
-    """The best limit keys of one query in the query language; blank or unreadable queries and limit 0 find nothing."""
-    spark = docs.sparkSession
-    parsed = parse_query(query)
-    if parsed is None or limit < 1 or not (parsed["any"] or parsed["must"]):
+    """The best limit keys of one query in the query language; blank or unreadable queries and limit 0 find nothing.
+
+    A document is found if every required clause occurs in it, no excluded one does and, without a required one, some optional clause does.
+    Its score is the sum over the clauses and fields in which they occur of the BM25 weights of their words. One pass over the texts
+    leaves a row of numbers per document; repeated documents count once.
+    """
+    clauses = parse_query(query, fields)
+    if clauses is None or limit < 1 or all(c.sign == "-" for c in clauses):
         return docs.select(F.col(key).alias("key"), F.lit(0.0).alias("score")).limit(0)
-    text = " ".join(t for _, t in parsed["any"] + parsed["must"])
-    scored = score_queries(docs, spark.createDataFrame([(1, text)], "query_id int, query string"), key, list(fields))
-
-    def says(field: str | None, terms: list[str]):
-        where = [field] if field in fields else list(fields)
-        one = F.lit(False)
-        for f in where:
-            joined = F.concat(F.lit(" "), F.array_join(words(F.coalesce(f, F.lit("")).cast("string")), " "), F.lit(" "))
-            one = one | F.contains(joined, F.lit(" " + " ".join(terms) + " "))
-        return one
-
-    rules = [says(f, [t]) for f, t in parsed["must"]] + [~says(f, [t]) for f, t in parsed["not"]]
-    rules += [says(f, ts) for f, ts in parsed["phrases"]] + [says(f, [t]) for f, t in parsed["any"] if f]
-    if rules:
-        allowed = docs
-        for r in rules:
-            allowed = allowed.where(r)
-        scored = scored.join(allowed.select(F.col(key).alias("key")), "key", "left_semi")
-    return scored.select("key", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "key").limit(limit)
+    terms = sorted({t for c in clauses for t in c.terms})
+    cut_up = docs.select(F.col(key).alias("key"), *[words(_text(f)).alias(f"w{i}") for i, f in enumerate(fields)])
+
+    def frequency(i: int, term: str) -> Column:
+        return F.size(F.filter(f"w{i}", lambda w: w == term))
+
+    def occurs(i: int, c: Clause) -> Column:
+        if c.field not in (None, fields[i]):
+            return F.lit(False)
+        if len(c.terms) == 1:
+            return F.array_contains(f"w{i}", c.terms[0])
+        return F.contains(F.concat(F.lit(" "), F.array_join(f"w{i}", " "), F.lit(" ")), F.lit(" " + " ".join(c.terms) + " "))
+
+    places = range(len(fields))
+    numbers = [F.size(f"w{i}").alias(f"dl{i}") for i in places]
+    numbers += [frequency(i, t).alias(f"tf{i}_{j}") for i in places for j, t in enumerate(terms)]
+    numbers += [occurs(i, c).alias(f"in{i}_{k}") for i in places for k, c in enumerate(clauses)]
+    rows = cut(cut_up.select("key", *numbers).distinct())
+    counts = [F.count_if(F.col(f"tf{i}_{j}") > 0).alias(f"df{i}_{j}") for i in places for j in range(len(terms))]
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"dl{i}").alias(f"a{i}") for i in places], *counts).first()  # one row
+
+    def weight(i: int, term: str) -> Column:
+        j = terms.index(term)
+        return _idf(F.lit(stats.n), F.lit(stats[f"df{i}_{j}"])) * _saturated(F.col(f"tf{i}_{j}"), F.col(f"dl{i}"), F.lit(stats[f"a{i}"] or 0.0))
+
+    def found(k: int) -> Column:
+        return F.greatest(*[F.col(f"in{i}_{k}") for i in places]) if len(fields) > 1 else F.col(f"in0_{k}")
+
+    must = [k for k, c in enumerate(clauses) if c.sign == "+"]
+    rules = [found(k) for k in must] + [~found(k) for k, c in enumerate(clauses) if c.sign == "-"]
+    if not must:
+        rules.append(sum((found(k).cast("int") for k, c in enumerate(clauses) if not c.sign), F.lit(0)) > 0)
+    for rule in rules:
+        rows = rows.where(rule)
+    parts = [F.when(F.col(f"in{i}_{k}"), sum((weight(i, t) for t in c.terms), F.lit(0.0))).otherwise(0.0) for k, c in enumerate(clauses) if c.sign != "-" for i in places]
+    return rows.select("key", F.round(sum(parts, F.lit(0.0)), 6).alias("score")).orderBy(F.desc("score"), "key").limit(limit)

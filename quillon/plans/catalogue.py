@@ -204,24 +204,46 @@ _ONE = "SELECT 1 AS query_id, 'stale queue shuffle' AS query"
 
 @query(f"WITH {_bm25_sql(['content'], _ONE)} SELECT id, score FROM r WHERE rank <= 100")
 def bm25_single_field(spark, folder):
-    return bm25.search(chunks(spark, folder, "content"), "stale queue shuffle", fields=("content",), limit=100).select(F.col("key").alias("id"), "score")
+    return bm25.search(table(spark, folder, "chunks"), "stale queue shuffle", fields=("content",), limit=100).select(F.col("key").alias("id"), "score")
 
 
 @query(f"WITH {_bm25_sql(['content', 'symbol_name'], _ONE)} SELECT id, score FROM r WHERE rank <= 100")
 def bm25_two_field(spark, folder):
-    return bm25.search(chunks(spark, folder, "content", "symbol_name"), "stale queue shuffle", limit=100).select(F.col("key").alias("id"), "score")
+    return bm25.search(table(spark, folder, "chunks"), "stale queue shuffle", limit=100).select(F.col("key").alias("id"), "score")
 
 
 @query(f"WITH {_bm25_sql(['content', 'symbol_name'], 'SELECT DISTINCT query_id, query FROM search_queries')} SELECT query_id, id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10")
 def bm25_batch(spark, folder):
     asked = table(spark, folder, "search_queries").select("query_id", "query").distinct()
-    return _ranked(bm25.score_queries(chunks(spark, folder, "content", "symbol_name"), asked, "id", ["content", "symbol_name"]), 10)
+    return _ranked(bm25.score_queries(table(spark, folder, "chunks"), asked, "id", ["content", "symbol_name"]), 10)
 
 
-@query()
+def _clauses_sql(phrase: str, rule: str) -> str:
+    """BM25 of the words of a phrase of two words in the fields that hold it, of the word queue in those that hold that; rule tells which chunks are found."""
+    return f"""
+WITH {_bm25_sql(["content", "symbol_name"], "SELECT 1 AS query_id, 'queue stale shard' AS query")},
+o AS (SELECT id, field, ' ' || array_to_string(t, ' ') || ' ' AS s FROM d),
+x AS (SELECT id, field, w, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av)) AS y FROM p JOIN df USING (field, w) JOIN tot USING (field) WHERE w IN ('queue', 'stale')),
+z AS (SELECT id, sum(y * (CAST(w = 'queue' AS INT) + CAST(contains(s, ' {phrase} ') AS INT))) AS score FROM x JOIN o USING (id, field) GROUP BY id),
+h AS (SELECT id, bool_or(contains(s, ' queue ')) AS queue, bool_or(contains(s, ' shard ')) AS shard, bool_or(contains(s, ' {phrase} ')) AS phrase FROM o GROUP BY id)
+SELECT id, round(score, 6) AS score FROM z JOIN h USING (id) WHERE {rule} ORDER BY 2 DESC, 1 LIMIT 50"""
+
+
+@query(_clauses_sql("stale queue", "queue AND NOT shard"))
 def bm25_query_language(spark, folder):
-    """A phrase, a required and an excluded word; checked against brute force in the tests."""
-    return bm25.search(chunks(spark, folder, "content", "symbol_name"), '+queue -shard "stale queue"', limit=50).select(F.col("key").alias("id"), "score")
+    """A required and an excluded word and an optional phrase."""
+    return bm25.search(table(spark, folder, "chunks"), '+queue -shard "stale queue"', limit=50).select(F.col("key").alias("id"), "score")
+
+
+@query(_clauses_sql("-", "queue AND NOT id IN (SELECT id FROM o WHERE contains(s, ' stale queue '))"))
+def bm25_excluded_phrase(spark, folder):
+    return bm25.search(table(spark, folder, "chunks"), 'queue -"stale queue"', limit=50).select(F.col("key").alias("id"), "score")
+
+
+@query(_clauses_sql("stale queue", "queue OR phrase"))
+def bm25_word_of_parts(spark, folder):
+    """A word of two parts is an optional phrase."""
+    return bm25.search(table(spark, folder, "chunks"), "stale_queue queue", limit=50).select(F.col("key").alias("id"), "score")
 
 
 # Vectors

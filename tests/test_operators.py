@@ -70,7 +70,13 @@ def test_bm25_exact_name_first_and_bad_queries(corpus):
     for bad in ("", "   ", '"open', "!!!"):
         assert bm25.search(corpus, bad).count() == 0
     assert bm25.search(corpus, "sort", limit=0).count() == 0
-    assert [r.key.split("/")[0] for r in bm25.search(corpus, '+password -token "verify password"').collect()] == ["auth"]
+    keys = lambda q: [r.key.split(":")[0] for r in bm25.search(corpus, q).collect()]
+    assert keys('+password -token +"verify password"') == ["auth/login.rs"]
+    assert keys('+password -token "verify password"') == ["auth/login.rs", "auth/hash.rs"]  # the phrase only adds to the score
+    assert keys('password -"verify password"') == ["auth/hash.rs"] and keys("password -verify_password") == ["auth/hash.rs"]
+    assert set(keys("no_such sort")) == {"sort/quick.rs"} and keys("no::such") == [] and keys("symbol_name:pong content:pong") != []
+    assert keys("symbol_name:pong") == ["loop/b.rs"] and keys("-password") == []
+    assert [r.key for r in bm25.search(corpus.union(corpus), "quick sort").collect()] == [r.key for r in bm25.search(corpus, "quick sort").collect()]
 
 
 def test_search_predicates(spark, corpus):
