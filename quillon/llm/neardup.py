@@ -5,14 +5,14 @@ A record is its set of words. Records with equal sets form a class, and classes
 * A class's signature has COORDINATES min-hashes. Sets of Jaccard similarity J agree in a coordinate with probability J, so
   two sets of at least ``threshold`` agree in ``need`` coordinates but for about one pair in 10,000 that lie exactly at it,
   and far fewer above.
-* Posting: a class is posted under (coordinate, value). Two classes that agree in ``need`` coordinates share at least MATCHES of
-  the first COORDINATES - need + MATCHES in any common order, so only that prefix is posted. The order puts coordinates first whose
+* Posting: a class is posted under (coordinate, value). Two classes that agree in ``need`` coordinates share at least one of
+  the first COORDINATES - need + 1 in any common order, so only that prefix is posted. The order puts coordinates first whose
   minimum is a rare word, which keeps lists short however frequent some words are. Frequent words are known from a
   bounded sample; that touches the order only, never the result.
 * Skipping: a collision is dropped at once, inside the join, if the sizes rule the similarity out or if 192 further min-hashes
   of one bit, carried in the posting, agree in too few places.
-* Merging: collisions are counted by pair, and pairs of MATCHES or more are retained; every one is then decided by the exact
-  similarity of its sets.
+* Merging: the matches of a pair are counted over its whole signatures, pairs of ``need`` or more are retained, and every one is
+  decided by the exact similarity of its sets.
 
 ``exact`` is the way without a loss: it posts the rarest words of a set themselves, so many that alike sets share one for certain, and
 skips by size alone. It costs more; ``p2_recall`` measures the first way by it.
@@ -36,8 +36,8 @@ from quillon.sources.tables import table
 COORDINATES = 32
 BITS = 192
 SEED = 20_231
-#: Collisions a pair needs, and rows of one list or class that a task may meet on one side.
-MATCHES, SPLIT = 3, 1024
+#: Rows of one list or class that a task may meet on one side, and rows of postings in a task.
+SPLIT, TASK_ROWS = 8192, 250_000
 #: Largest table of groups to be split that is broadcast.
 HOT_ROWS = 1 << 16
 #: Size of the table of frequent words, and rows of the sample it is counted on.
@@ -97,7 +97,7 @@ def _with(batch: pa.RecordBatch, posted: pa.Array, bits: np.ndarray) -> pa.Recor
     return pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, "_tokens", *(f"_b{j}" for j in range(BITS // 64))])
 
 
-def _signer(frequent: dict[int, int], prefix: int):
+def _signer(frequent: dict[int, int]):
     rng = np.random.default_rng(SEED)
     odd = rng.integers(0, 1 << 62, COORDINATES + BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     salt = rng.integers(0, 1 << 62, COORDINATES + BITS, dtype=np.uint64)
@@ -121,12 +121,12 @@ def _signer(frequent: dict[int, int], prefix: int):
             mins = np.stack([least(h, starts, i, tag) for i in range(COORDINATES)], 1)
             order = mins & low
             tokens = (mins >> np.uint64(12)) * np.uint64(64) + np.arange(COORDINATES, dtype=np.uint64)
-            first = np.lexsort((tokens, order), axis=1)[:, :prefix]
+            first = np.lexsort((tokens, order), axis=1)
             posted = np.take_along_axis(tokens, first, 1).view(np.int64)
             bits = np.zeros((n, BITS // 64), np.uint64)
             for i in range(BITS):
                 bits[:, i // 64] |= ((least(h, starts, COORDINATES + i, None) >> np.uint64(40)) & np.uint64(1)) << np.uint64(i % 64)
-            yield _with(batch, pa.ListArray.from_arrays(np.arange(0, n * prefix + 1, prefix, dtype=np.int32), posted.ravel()), bits)
+            yield _with(batch, pa.ListArray.from_arrays(np.arange(0, posted.size + 1, COORDINATES, dtype=np.int32), posted.ravel()), bits)
 
     return sign
 
@@ -152,33 +152,46 @@ def _exact_signer(frequent: dict[int, int], threshold: float):
     return sign
 
 
-def _split(rows: DataFrame, group: str, key: str) -> tuple[DataFrame, DataFrame]:
-    """rows twice, for a join of each group with itself on (group, _part): groups beyond SPLIT rows are parted by key on one side and repeated on the other."""
+def _hot(rows: DataFrame, group: str) -> DataFrame | None:
+    """(group, _parts) of the groups beyond SPLIT rows, None without any."""
     hot = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > SPLIT)
     hot = cut(hot.select(group, F.ceil(F.col("_size") / SPLIT).cast("int").alias("_parts")))
-    hot = F.broadcast(hot) if hot.count() <= HOT_ROWS else hot
-    parted = rows.join(hot, group, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
-    one = parted.withColumn("_part", F.pmod(F.xxhash64(key), F.col("_parts")).cast("int"))
-    return one.drop("_parts"), parted.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
-
-
-def _candidates(classes: DataFrame, threshold: float, matches: int, asked: DataFrame | None = None) -> DataFrame:
-    """Pairs (_a, _b) of classes, _a < _b, that collide at least ``matches`` times; asked: only pairs with one of these classes(_k)."""
+    n = hot.count()
+    return None if n == 0 else F.broadcast(hot) if n <= HOT_ROWS else hot
+
+
+def _self_join(rows: DataFrame, group: str, key: str, join, tasks: int | None = None) -> DataFrame:
+    """join(one, other, on) of the rows of each group with themselves. Groups beyond SPLIT rows are parted by key on one side and repeated on the other."""
+    hot = _hot(rows, group)
+    cold = rows if hot is None else rows.join(hot, group, "left_anti")
+    cold = cold.repartition(tasks, group) if tasks else cold
+    met = join(cold, cold, [group])
+    if hot is None:
+        return met
+    parted = rows.join(hot, group)
+    one = parted.withColumn("_part", F.pmod(F.xxhash64(key), F.col("_parts")).cast("int")).drop("_parts")
+    other = parted.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return met.union(join(one, other, [group, "_part"]))
+
+
+def _candidates(classes: DataFrame, threshold: float, prefix: int, tasks: int, asked: DataFrame | None = None) -> DataFrame:
+    """Pairs (_a, _b) of classes, _a < _b, that collide in the first prefix tokens; asked: only pairs with one of these classes(_k)."""
     least = F.ceil(F.col("_n") * F.lit(threshold) - 1e-9).cast("int").alias("_least")  # size of the smallest set that can be alike
     columns = ("_k", "_n", "_least", "_b0", "_b1", "_b2")
-    postings = classes.select("_k", "_n", least, "_b0", "_b1", "_b2", F.explode("_tokens").alias("_t"))
-    one, other = _split(postings, "_t", "_k")
-    if asked is not None:
-        one = one.join(asked, "_k", "left_semi")
-    a = one.select("_t", "_part", *[F.col(c).alias(f"a{c}") for c in columns])
-    b = other.select("_t", "_part", *[F.col(c).alias(f"b{c}") for c in columns])
-    differ = sum((F.bit_count(F.col(f"a_b{j}").bitwiseXOR(F.col(f"b_b{j}"))) for j in range(3)), F.lit(0))
+    postings = classes.select("_k", "_n", least, "_b0", "_b1", "_b2", F.explode(F.slice("_tokens", 1, prefix)).alias("_t"))
     most = BITS - below(BITS, (1 + threshold) / 2, 2e-4)
-    sizes = (F.col("a_n") >= F.col("b_least")) & (F.col("b_n") >= F.col("a_least"))
-    once = F.col("a_k") < F.col("b_k") if asked is None else F.col("a_k") != F.col("b_k")
-    met = a.join(b, ["_t", "_part"]).where(once & sizes & (differ <= most))
-    counted = met.groupBy(F.least("a_k", "b_k").alias("_a"), F.greatest("a_k", "b_k").alias("_b")).agg(F.count(F.lit(1)).alias("_collisions"))
-    return counted.where(F.col("_collisions") >= matches).select("_a", "_b")
+
+    def join(one: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
+        if asked is not None:
+            one = one.join(asked, "_k", "left_semi")
+        a = one.select(*on, *[F.col(c).alias(f"a{c}") for c in columns])
+        b = other.select(*on, *[F.col(c).alias(f"b{c}") for c in columns])
+        differ = sum((F.bit_count(F.col(f"a_b{j}").bitwiseXOR(F.col(f"b_b{j}"))) for j in range(3)), F.lit(0))
+        sizes = (F.col("a_n") >= F.col("b_least")) & (F.col("b_n") >= F.col("a_least"))
+        once = F.col("a_k") < F.col("b_k") if asked is None else F.col("a_k") != F.col("b_k")
+        return a.join(b, on).where(once & sizes & (differ <= most)).select(F.least("a_k", "b_k").alias("_a"), F.greatest("a_k", "b_k").alias("_b"))
+
+    return _self_join(postings, "_t", "_k", join, tasks).distinct()
 
 
 def _bit_filter(keys: DataFrame, column: str) -> Column:
@@ -204,18 +217,24 @@ def similar_sets(records: DataFrame, key: str, text: str, threshold: float = 0.7
     sets = sets.where(F.size("_h") >= min_words).select("_id", F.xxhash64("_h").alias("_k"), F.size("_h").alias("_n"), "_h")
     step = max(1, records.count() // SAMPLE_ROWS)
     frequent = _frequent(records.where(F.pmod(F.xxhash64(key), F.lit(step)) == 0), text)
-    prefix = COORDINATES - below(COORDINATES, threshold, 1e-4) + MATCHES
-    signer = _exact_signer(frequent, threshold) if exact else _signer(frequent, prefix)
+    need = below(COORDINATES, threshold, 1e-4)
+    signer = _exact_signer(frequent, threshold) if exact else _signer(frequent)
     signed = cut(sets.mapInArrow(signer, f"_id {dict(sets.dtypes)['_id']}, _k long, _n int, _h array<bigint>, _tokens array<bigint>, _b0 long, _b1 long, _b2 long"))
     members = signed.select(F.col("_id").alias(key), F.col("_k").alias("class")).distinct()
     columns = ["_n", "_tokens", "_b0", "_b1", "_b2"]
     classes = signed.groupBy("_k").agg(F.first(F.struct(*columns)).alias("_s")).select("_k", "_s.*")
     wanted = members.where(asked).select(F.col("class").alias("_k")).distinct() if asked is not None else None
-    pairs = cut(_candidates(classes, threshold, 1 if exact else MATCHES, wanted))
+    prefix = 1 << 30 if exact else COORDINATES - need + 1
+    tasks = max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), signed.count() * (COORDINATES - need + 1) // TASK_ROWS)
+    pairs = cut(_candidates(classes, threshold, prefix, tasks, wanted))
     ends = pairs.select(F.col("_a").alias("_k")).union(pairs.select("_b"))
-    words = signed.select("_k", "_h").where(_bit_filter(ends, "_k")).groupBy("_k").agg(F.first("_h").alias("_h"))
-    words = cut(words.join(ends, "_k", "left_semi"))
-    both = pairs.join(words.select(F.col("_k").alias("_a"), F.col("_h").alias("_ha")), "_a").join(words.select(F.col("_k").alias("_b"), F.col("_h").alias("_hb")), "_b")
+    whole = signed.select("_k", "_h", "_tokens").where(_bit_filter(ends, "_k")).groupBy("_k").agg(F.first(F.struct("_h", "_tokens")).alias("_s"))
+    whole = cut(whole.join(ends, "_k", "left_semi").select("_k", "_s.*"))
+    both = pairs
+    for x in "ab":
+        both = both.join(whole.select(F.col("_k").alias(f"_{x}"), F.col("_h").alias(f"_h{x}"), F.col("_tokens").alias(f"_t{x}")), f"_{x}")
+    if not exact:
+        both = both.where(F.size(F.array_intersect("_ta", "_tb")) >= need)
     common = both.select("_a", "_b", (F.size("_ha") + F.size("_hb")).alias("_all"), F.size(F.array_intersect("_ha", "_hb")).alias("_common"))
     links = common.select(F.col("_a").alias("class_a"), F.col("_b").alias("class_b"), (F.col("_common") / (F.col("_all") - F.col("_common"))).alias("similarity"))
     return members, links.where(F.col("similarity") >= threshold)
@@ -236,10 +255,14 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
         return rows.select(*[F.col(c).alias(f"{c}_{x}") for c in rows.columns])
 
     across = links.select("class_a", "class_b").join(side(members, "a"), "class_a").join(side(members, "b"), "class_b")
-    one, other = _split(members, "class", "id")
-    within = side(one, "a").join(side(other, "b"), (F.col("class_a") == F.col("class_b")) & (F.col("_part_a") == F.col("_part_b"))).where("id_a < id_b")
     columns = ["id_a", "id_b", "relative_path_a", "relative_path_b", "start_line_a", "start_line_b", "end_line_a", "end_line_b"]
-    pairs = across.select(*columns).union(within.select(*columns))
+
+    def copies(one: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
+        a, b = side(one, "a"), side(other, "b")
+        same = [F.col(f"{c}_a") == F.col(f"{c}_b") for c in on]
+        return a.join(b, same).where("id_a < id_b").select(*columns)
+
+    pairs = across.select(*columns).union(_self_join(members, "class", "id", copies))
     apart = F.expr("coalesce(NOT (relative_path_a = relative_path_b AND start_line_a <= end_line_b AND start_line_b <= end_line_a), true)")
     return pairs.where(apart & (F.col("id_a") != F.col("id_b"))).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
 
