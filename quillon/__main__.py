@@ -45,7 +45,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "search":
         chunks = store.read("chunks")
         vector = [float(x) for x in vectors.embed_text(a.query, store.width)]
-        found = fusion.hybrid_search(chunks, a.query, limit, vector_rows=store.read("vectors"), query_vector=vector, edges=store.read("edges"))
+        found = fusion.hybrid_search(chunks, a.query, limit, vector_rows=store.read("vectors"), query_vector=vector, edges=store.read("edges"), index=store.bm25_index())
         print(render.hits(found.orderBy("rank")))
     elif a.command == "grep":
         print(render.grouped_lines(search.grep(read_files(spark, a.root), a.query).limit(limit)))

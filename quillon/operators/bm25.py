@@ -89,16 +89,21 @@ def score_queries(docs: DataFrame, queries: DataFrame, key: str, fields: list[st
     return weighted.join(small(asked) if asked.count() <= BROADCAST_TERMS else asked, "term").groupBy("query_id", "key").agg(F.sum(F.col("w") * F.col("qf")).alias("score"))
 
 
-def search(docs: DataFrame, query: str, key: str = "id", fields: tuple[str, ...] = ("content", "symbol_name"), limit: int = 20) -> DataFrame:
+def search(docs: DataFrame, query: str, key: str = "id", fields: tuple[str, ...] = ("content", "symbol_name"), limit: int = 20, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """The best limit keys of one query in the query language; blank or unreadable queries and limit 0 find nothing.
 
     A document is found if every required clause occurs in it, no excluded one does and, without a required one, some optional clause does.
     Its score is the sum over the clauses and fields in which they occur of the BM25 weights of their words. One pass over the texts
-    leaves a row of numbers per document; repeated documents count once.
+    leaves a row of numbers per document; repeated documents count once. Queries of single optional words are answered from an index of stored
+    (postings, lengths), where one is given.
     """
     clauses = parse_query(query, fields)
     if clauses is None or limit < 1 or all(c.sign == "-" for c in clauses):
         return docs.select(F.col(key).alias("key"), F.lit(0.0).alias("score")).limit(0)
+    if index and all(not c.sign and c.field is None and len(c.terms) == 1 for c in clauses):
+        asked = docs.sparkSession.createDataFrame([(0, " ".join(c.terms[0] for c in clauses))], "query_id int, query string")
+        scored = score_queries(docs, asked, key, list(fields), index)
+        return scored.select("key", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "key").limit(limit)
     terms = sorted({t for c in clauses for t in c.terms})
     cut_up = docs.select(F.col(key).alias("key"), *[words(_text(f)).alias(f"w{i}") for i, f in enumerate(fields)])
 

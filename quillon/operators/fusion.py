@@ -19,6 +19,10 @@ def _signal(rows: DataFrame, slot: str, source: str, score: Column) -> DataFrame
     return rows.select("chunk_id", F.lit(slot).alias("slot"), F.lit(source).alias("source"), score.alias("score"))
 
 
+def _named(chunks: DataFrame) -> DataFrame:
+    return chunks.select(F.col("id").alias("chunk_id"), "relative_path", "symbol_name", "start_line")
+
+
 def merge_signals(signals: DataFrame, limit: int) -> DataFrame:
     """(chunk_id, slot, source, score) -> ranked hits: the maximum per slot, at least 0; slots are summed; sources in a fixed order."""
     slots = [F.greatest(F.lit(0.0), F.max(F.when(F.col("slot") == s, F.col("score")))).alias(f"{s}_score") for s in WEIGHTS]
@@ -31,7 +35,7 @@ def merge_signals(signals: DataFrame, limit: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(F.desc("score"), "chunk_id")))  # over at most limit rows
 
 
-def hybrid_signals(chunks: DataFrame, query: str, limit: int, vector_rows: DataFrame | None = None, query_vector: list[float] | None = None, edges: DataFrame | None = None, frecency: DataFrame | None = None) -> DataFrame:
+def hybrid_signals(chunks: DataFrame, query: str, limit: int, vector_rows: DataFrame | None = None, query_vector: list[float] | None = None, edges: DataFrame | None = None, frecency: DataFrame | None = None, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """All candidates of a query with their weighted scores by slot."""
     w = WEIGHTS
     keyed = chunks.withColumn("chunk_id", F.col("id"))
@@ -39,7 +43,7 @@ def hybrid_signals(chunks: DataFrame, query: str, limit: int, vector_rows: DataF
     by_file = keyed.join(files.select(F.col("path").alias("relative_path"), "rank", "n"), "relative_path")
     parts = [_signal(by_file, "fff", "fff", (1 - F.col("rank") / F.col("n")) * w["fff"])]
     parts.append(_signal(substring_chunks(keyed, query), "fff", "text", F.lit(0.5 * w["fff"])))
-    texts = bm25.search(chunks, query, limit=limit * 5).withColumnRenamed("key", "chunk_id")
+    texts = bm25.search(chunks, query, limit=limit * 5, index=index).withColumnRenamed("key", "chunk_id")
     most = F.greatest(F.max("score").over(Window.partitionBy()), F.lit(1.1920929e-7))  # over at most 5 x limit rows
     parts.append(_signal(texts.withColumn("score", F.col("score") / most), "bm25", "bm25", F.col("score") * w["bm25"]))
     if vector_rows is not None and query_vector is not None:
@@ -57,7 +61,7 @@ def hybrid_signals(chunks: DataFrame, query: str, limit: int, vector_rows: DataF
 
 
 def hybrid_search(chunks: DataFrame, query: str, limit: int = 20, path: str | None = None, prefilter: bool = False, **sources) -> DataFrame:
-    """Ranked hits of a query over chunks(id, relative_path, symbol_name, content, ...).
+    """Ranked hits of a query over chunks(id, relative_path, symbol_name, content, ...), which may repeat rows.
 
     path keeps hits whose path contains it, after ranking (fewer than limit may be left) or, with prefilter, before. Vectors of unknown
     chunks stay, without chunk columns.
@@ -65,11 +69,11 @@ def hybrid_search(chunks: DataFrame, query: str, limit: int = 20, path: str | No
     if path and prefilter:
         chunks = chunks.where(F.contains("relative_path", F.lit(path)))
     hits = merge_signals(hybrid_signals(chunks, query, limit, **sources), limit)
-    shown = hits.join(chunks.select(F.col("id").alias("chunk_id"), "relative_path", "symbol_name", "start_line"), "chunk_id", "left")
+    shown = hits.join(_named(chunks), "chunk_id", "left").distinct()  # limit rows, and their repetitions
     return shown.where(F.contains("relative_path", F.lit(path))) if path and not prefilter else shown
 
 
 def semantic_search(chunks: DataFrame, vector_rows: DataFrame, query_vector: list[float], limit: int = 20) -> DataFrame:
     """The nearest vectors with their chunks where known; the score is the plain cosine."""
     near = vectors.top_k(vector_rows, "chunk_id", query_vector, limit)
-    return near.join(chunks.select(F.col("id").alias("chunk_id"), "relative_path", "symbol_name", "start_line"), "chunk_id", "left")
+    return near.join(_named(chunks), "chunk_id", "left").distinct()

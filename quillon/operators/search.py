@@ -51,12 +51,15 @@ def line_predicate(line: Column, query: str) -> Column:
     return F.contains(F.lower(line) if insensitive else line, F.lit(query))
 
 
-def grep(files: DataFrame, query: str, per_file: int = 10, max_bytes: int = 10 << 20) -> DataFrame:
-    """path, line_number, line of matching lines, trimmed, at most per_file of each file; larger files are left out."""
-    lines = files.where(F.octet_length("content") <= max_bytes).select("path", F.posexplode(lines_of(F.col("content"))).alias("at", "raw"))
-    hits = lines.where(line_predicate(F.col("raw"), query))
-    ranked = hits.withColumn("nth", F.row_number().over(Window.partitionBy("path").orderBy("at"))).where(F.col("nth") <= per_file)
-    return ranked.select("path", (F.col("at") + 1).alias("line_number"), F.trim(F.col("raw"), F.lit(" \t\r")).alias("line"))
+def grep(files: DataFrame, query: str, per_file: int = 10, max_bytes: int = 10 << 20, keep: tuple[str, ...] = ()) -> DataFrame:
+    """path, line_number, line of matching lines, trimmed, the first per_file of each row of files; larger files are left out.
+
+    Lines are matched and cut within a row, so nothing is moved. keep: further columns of files to carry along.
+    """
+    lines = F.transform(lines_of(F.col("content")), lambda x, i: F.struct((i + 1).alias("line_number"), x.alias("raw")))
+    hits = F.filter(lines, lambda x: line_predicate(x.raw, query))
+    found = files.where(F.octet_length("content") <= max_bytes).select("path", *keep, F.inline(F.slice(hits, 1, per_file)))
+    return found.select("path", *keep, "line_number", F.trim(F.col("raw"), F.lit(" \t\r")).alias("line"))
 
 
 def fuzzy_score(path: Column, query: str) -> Column:

@@ -13,7 +13,7 @@ from quillon.operators.context import within_budget
 from quillon.session import spread
 from quillon.sources import markdown
 from quillon.sources.language import detect_language
-from quillon.sources.tables import chunks, files_in_force, table
+from quillon.sources.tables import chunks, files_in_force, latest, table, versioned
 
 NOW = "2025-08-28 00:00:00"
 WIDTH = 64
@@ -53,8 +53,9 @@ s AS (SELECT path, l, unnest(range(0, len(l), 80)) AS a FROM l WHERE len(l) > 0)
 SELECT path || ':block@L' || (a + 1) || ':' || (a + 1) || '-' || least(a + 80, len(l)) AS id, CAST(a + 1 AS INT) AS start_line, CAST(least(a + 80, len(l)) AS INT) AS end_line,
        md5(array_to_string(l[a + 1 : a + 80], chr(10))) AS content_md5 FROM s""")
 def chunk_blocks(spark, folder):
-    files = files_in_force(table(spark, folder, "files"), "content").withColumn("language", F.lit(None).cast("string"))
-    return chunking.block_chunks(files).select("id", "start_line", "end_line", F.md5("content").alias("content_md5"))
+    files = table(spark, folder, "files").withColumn("language", F.lit(None).cast("string"))
+    blocks = chunking.block_chunks(versioned(files), keep=("_at",)).select("relative_path", "_at", "id", "start_line", "end_line", F.md5("content").alias("content_md5"))
+    return latest(blocks, files, "relative_path").drop("relative_path")
 
 
 @query(f"WITH c AS ({_CHUNKS}) SELECT count(DISTINCT relative_path) AS files, count(*) AS chunks, count(DISTINCT lower(symbol_name)) AS symbols FROM c")
@@ -128,23 +129,24 @@ h AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line_number) AS i
 SELECT path, CAST(line_number AS INT) AS line_number, trim(raw, ' ' || chr(9) || chr(13)) AS line FROM h WHERE i <= 10"""
 
 
-def _files(spark, folder):
-    return files_in_force(table(spark, folder, "files"), "content")
+def _grep(spark, folder, query):
+    files = table(spark, folder, "files")
+    return latest(search.grep(versioned(files), query, keep=("_at",)), files)
 
 
 @query(_grep_sql("contains(lower(raw), 'cache')"))
 def grep_smart_case(spark, folder):
-    return search.grep(_files(spark, folder), "cache")
+    return _grep(spark, folder, "cache")
 
 
 @query(_grep_sql("contains(raw, 'TODO')"))
 def grep_literal(spark, folder):
-    return search.grep(_files(spark, folder), "TODO")
+    return _grep(spark, folder, "TODO")
 
 
 @query(_grep_sql("regexp_matches(lower(raw), 'retry\\s+\\w+|queue[0-9]')"))
 def grep_regex(spark, folder):
-    return search.grep(_files(spark, folder), r"retry\s+\w+|queue[0-9]")
+    return _grep(spark, folder, r"retry\s+\w+|queue[0-9]")
 
 
 _FRECENCY = f"""SELECT path, round(sum(pow(0.5, greatest(epoch_us(TIMESTAMP '{NOW}') - epoch_us(ts), 0) / 86400000000.0 / 14.0)), 6) AS frecency
@@ -321,7 +323,7 @@ pairs AS (SELECT DISTINCT lower(caller_name) AS src, callee_lc AS dst FROM edges
 
 
 def _edges(spark, folder):
-    return chunking.call_edges(table(spark, folder, "chunks").distinct())
+    return chunking.call_edges(table(spark, folder, "chunks"))
 
 
 @query(f"WITH {_EDGES} SELECT caller_name, caller_file, caller_line, callee_name, count(*) AS calls FROM edges GROUP BY ALL")
@@ -408,8 +410,7 @@ top AS (SELECT chunk_id, round(f + v + g + bb, 6) AS score, round(f, 6) AS fff_s
 
 
 def _hybrid(spark, folder, **options):
-    c = chunks(spark, folder, "relative_path", "symbol_name", "symbol_kind", "start_line", "content")
-    return fusion.hybrid_search(c, "shard", 20, vector_rows=_own(spark, folder, "chunk_vectors", "chunk_id"), query_vector=_first_vector(spark, folder), edges=_edges(spark, folder), **options)
+    return fusion.hybrid_search(table(spark, folder, "chunks"), "shard", 20, vector_rows=_own(spark, folder, "chunk_vectors", "chunk_id"), query_vector=_first_vector(spark, folder), edges=_edges(spark, folder), **options)
 
 
 @query(f"WITH {_hybrid_parts(20)} SELECT rank, chunk_id, score, fff_score, vector_score, graph_score, bm25_score, sources FROM top")
@@ -594,8 +595,22 @@ def front_matter_round_trip(spark, folder):
     return markdown.parse_front_matter(markdown.render_front_matter(_wiki(spark, folder).distinct())).select("slug", "title", "entry_type", "tags", "sources", "created", "updated", "content")
 
 
+@query(f"""
+WITH f AS ({_FILES}), l AS (SELECT path, {_LINES} AS l FROM f WHERE path LIKE '%.json'), s AS (SELECT path, l, unnest(range(0, len(l), 80)) AS a FROM l WHERE len(l) > 0)
+SELECT path || ':block@L' || (a + 1) || ':' || (a + 1) || '-' || least(a + 80, len(l)) AS id, 'block' AS symbol_kind, CAST(least(80, len(l) - a) AS INT) AS line_count FROM s""")
+def structure_chunks_of_data(spark, folder):
+    """Chunks of files whose language has no items: all are blocks."""
+    return _structure(spark, folder).where("relative_path LIKE '%.json'").select("id", "symbol_kind", "line_count")
+
+
+def _structure(spark, folder):
+    files = table(spark, folder, "files").withColumn("language", detect_language(F.col("path"), F.col("content")))
+    made = chunking.structure_chunks(spread(versioned(files).select("path", "language", "content", "_at")), "_at")
+    narrow = made.select("relative_path", "_at", "id", "symbol_name", "symbol_kind", "line_count", F.md5("content").alias("content_md5"))
+    return latest(narrow, files, "relative_path")
+
+
 @query()
 def structure_chunks(spark, folder):
     """Items of all files in force; checked on small files in the tests."""
-    files = files_in_force(table(spark, folder, "files").withColumn("language", detect_language(F.col("path"), F.col("content"))), "language", "content")
-    return chunking.structure_chunks(spread(files)).select("id", "symbol_kind", "line_count")
+    return _structure(spark, folder).select("id", "symbol_kind", "line_count", "content_md5")

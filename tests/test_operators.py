@@ -272,6 +272,43 @@ def test_store_upsert_is_incremental(spark, tmp_path):
     assert store.read("chunks").count() == 0
 
 
+def test_store_parts_and_index(spark, tmp_path, monkeypatch):
+    from quillon.sources import store as module
+
+    schema = "path string, language string, content string"
+    made = lambda *rows: with_hash(spark.createDataFrame([(p, "python", c) for p, c in rows], schema))
+    store = IndexStore(spark, str(tmp_path / "index"), 64)
+    first = [(f"f{i}.py", f"def f{i}():\n    return token{i % 3}(shared)\n") for i in range(6)]
+    store.upsert(made(*first))
+    store.upsert(made(("f1.py", "def g():\n    return other()\n"), ("f2.py", "")), complete=False)
+    assert len(store._pointer()["parts"]) == 2
+    assert spark.read.parquet(store.folder.at(store._pointer()["parts"][1] + "/vectors")).count() == 1  # only what changed is embedded
+    names = lambda: sorted(r.symbol_name for r in store.read("chunks").collect())
+    assert names() == ["f0", "f3", "f4", "f5", "g"]
+    for q in ("token0", "shared other", "absent"):
+        scan, stored_ = (bm25.search(store.read("chunks"), q, index=i).collect() for i in (None, store.bm25_index()))
+        assert scan == stored_
+    monkeypatch.setattr(module, "COMPACT", 2)
+    store.remove_file("f0.py")
+    assert len(store._pointer()["parts"]) == 1 and names() == ["f3", "f4", "f5", "g"]
+    assert store.read("postings").where("term = 'token0'").count() == 1 and store.read("edges").count() == 4
+    wider = IndexStore(spark, str(tmp_path / "index"), 32)
+    wider.upsert(made(("f3.py", first[3][1])))
+    assert {len(r.vector) for r in wider.read("vectors").collect()} == {32} and wider.read("chunks").count() == 1
+
+
+def test_chunks_of_more_languages():
+    rows = lambda language, text: [r[2:6] for r in chunking._rows_of("p", language, text)]
+    typescript = "export class A {\n  private x(a: number): void {\n    if (a) { go(); }\n  }\n  get y() { return 1; }\n}\nnamespace N.M {\n  function q() {}\n}\n"
+    assert rows("typescript", typescript) == [("A", "class", 1, 6), ("x", "method", 2, 4), ("y", "method", 5, 5), ("N.M", "module", 7, 9), ("q", "function", 8, 8)]
+    assert rows("c", "static int add(int a, int b) {\n  if (a) { return b; }\n  return a;\n}\nstruct P { int x; };\n") == [("add", "function", 1, 4), ("P", "struct", 5, 5)]
+    assert rows("java", "class Foo {\n  int size() { return n; }\n  void run() {\n    while (x) { y(); }\n  }\n}\n") == [("Foo", "class", 1, 6), ("size", "method", 2, 2), ("run", "method", 3, 5)]
+    assert rows("kotlin", "data class P(val x: Int) {\n  fun sum(): Int {\n    return x\n  }\n}\n") == [("P", "class", 1, 5), ("sum", "function", 2, 4)]
+    assert rows("csharp", "namespace A.B {\n  public class C {\n    public int F(int x) { return x; }\n  }\n}\n") == [("A.B", "module", 1, 5), ("C", "class", 2, 4), ("F", "method", 3, 3)]
+    assert rows("php", "class A {\n  public function f() { return 1; }\n}\n") == [("A", "class", 1, 3), ("f", "function", 2, 2)]
+    assert rows("go", "no items here\n") == [("block@L1", "block", 1, 1)]
+
+
 def test_stream_upsert(spark, tmp_path):
     src, store = str(tmp_path / "in"), IndexStore(spark, str(tmp_path / "index"), 64)
     batch = lambda rows: spark.createDataFrame(rows, "path string, language string, content string, indexed_at string").withColumn("indexed_at", F.to_timestamp("indexed_at")).write.mode("append").parquet(src)
