@@ -7,9 +7,10 @@ its matching braces (Python: by indentation), and attaches the documentation tha
 * Python: the string that is the body's first statement (plain, raw or unicode; no bytes, no formatted string);
 * Rust: ``///`` lines, ``/** */`` blocks and ``#[doc = "..."]`` right before the item, attributes in between;
 * Go: a ``//`` or ``/* */`` comment right before ``func``, directives aside;
-* Java, JavaScript, TypeScript: a ``/** */`` block right before the header, annotations in between.
+* Java, JavaScript, TypeScript: a ``/** */`` block right before the header, annotations in between. In JavaScript and TypeScript
+  functions and arrow functions that are assigned to a name count as well, in Java constructors.
 
-Comments inside the body count for nothing.
+Comments inside the body count for nothing, Rust's ``//!`` and ``/*! */`` at its head excepted, which are documentation.
 """
 
 from __future__ import annotations
@@ -44,6 +45,9 @@ SECTION_HEADS = frozenset(
     safety see throws todo usage warning warnings yields""".split()
 )
 
+#: name, raw documentation, start, end, and where documentation stands inside.
+Found = tuple[str, str, int, int, tuple[int, int] | None]
+
 _TOKEN = {
     "brace": re.compile(
         r"""(?P<doc>///(?!/)[^\n]*|/\*\*(?![*/]).*?\*/)|(?P<note>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<raw>r(?P<h>\#*)"(?:.*?)"(?P=h))|(?P<str>"(?:[^"\\\n]|\\.)*"|`(?:[^`\\]|\\.)*`|'(?:[^'\\\n]|\\.)'|'(?:[^'\\\n]|\\.)*')"""
@@ -56,6 +60,11 @@ _TOKEN = {
     ),
 }
 _RUST_LIFETIME = re.compile(r"'[A-Za-z_]\w*(?!')")
+#: Words before a name that is declared.
+_MODIFIERS = frozenset("export default const let var public private protected static readonly declare override".split())
+_FUNCTION_VALUE = re.compile(r"\s*(?:async\b\s*)?(?:(?P<function>function\b\s*\*?\s*[\w$]*\s*(?:<[^<>()]*>\s*)?\()|(?:<[^<>()]*>\s*)?\(|(?P<bare>[A-Za-z_$][\w$]*\s*=>\s*))")
+_ARROW = re.compile(r"\s*(?::[^=;{}]*(?:\{[^{}]*\}[^=;{}]*)?)?=>\s*")
+_INNER_DOC = re.compile(r"\s*((?://![^\n]*(?:\n\s*|$))+|/\*!.*?\*/)", re.S)
 _NOT_NAMES = frozenset("if for while switch catch return match loop else do try new await async unsafe super this constructor_ function func fn with synchronized throw typeof".split())
 
 
@@ -74,7 +83,7 @@ def _skip(text: str, at: int, scan: re.Pattern, ends: str) -> int:
     return len(text)
 
 
-def _python_functions(text: str, first_only: bool) -> Iterator[tuple[str, str, int, int]]:
+def _python_functions(text: str, first_only: bool) -> Iterator[Found]:
     scan = _TOKEN["python"]
     depth, header, name, fresh, start = 0, False, None, True, 0
     for m in scan.finditer(text):
@@ -85,7 +94,8 @@ def _python_functions(text: str, first_only: bool) -> Iterator[tuple[str, str, i
             elif t in ")]}":
                 depth = max(0, depth - 1)
             elif t == ":" and depth == 0 and header and name:
-                yield name, _python_doc(text, m.end()), start, _python_end(text, start, m.end()) if not first_only else len(text)
+                doc, inner = _python_doc(text, m.end())
+                yield name, doc, start, _python_end(text, start, m.end()), inner
                 if first_only:
                     return
                 header, name = False, None
@@ -104,10 +114,12 @@ def _python_functions(text: str, first_only: bool) -> Iterator[tuple[str, str, i
             fresh = False
 
 
-def _python_doc(text: str, at: int) -> str:
-    docs, scan = [], _TOKEN["python"]
+def _python_doc(text: str, at: int) -> tuple[str, tuple[int, int] | None]:
+    """The string that stands first behind position at, and where it stands."""
+    docs, scan, span = [], _TOKEN["python"], None
     for m in scan.finditer(text, at):
-        if text[at : m.start()].strip(" \t\r;"):
+        between = text[at : m.start()]
+        if between.strip(" \t\r;") or (docs and ";" in between):
             break
         at = m.end()
         if m.lastgroup == "str":
@@ -115,18 +127,19 @@ def _python_doc(text: str, at: int) -> str:
             if not body:
                 break
             docs.append(body.group(3))
+            span = (span[0] if span else m.start(), m.end())
         elif m.lastgroup == "nl":
             if docs:
                 break
         elif m.lastgroup != "note":
             if docs:
-                return ""
+                return "", None
             break
     else:
-        return "".join(docs)
+        return "".join(docs), span
     if docs and text[at - 1 : at] != "\n" and re.match(r"[ \t]*[^\s;#]", text[at:]):
-        return ""  # the string is part of an expression
-    return "".join(docs)
+        return "", None  # the string is part of an expression
+    return "".join(docs), span
 
 
 def _python_end(text: str, start: int, body: int) -> int:
@@ -139,7 +152,7 @@ def _python_end(text: str, start: int, body: int) -> int:
     return max(end, body) if depth == 0 else len(text)
 
 
-def _brace_functions(text: str, language: str, first_only: bool) -> Iterator[tuple[str, str, int, int]]:
+def _brace_functions(text: str, language: str, first_only: bool) -> Iterator[Found]:
     if language == "rust":
         text = _RUST_LIFETIME.sub(lambda m: "_" * len(m.group()), text)
     scan = _TOKEN["brace"]
@@ -198,8 +211,10 @@ def _brace_functions(text: str, language: str, first_only: bool) -> Iterator[tup
                     name, close = got.group(1), _skip(text, close + got.end() - 1, scan, ")")
                     rest = _body(text, close)
             if name and rest is not None:
-                end = len(text) if first_only else _skip(text, rest, scan, "}") if text[rest : rest + 1] == "{" else rest + 1
-                yield name, "\n".join(docs), first if first is not None else m.start(), end
+                end = _skip(text, rest, scan, "}") if text[rest : rest + 1] == "{" else rest + 1
+                inner = _INNER_DOC.match(text, rest + 1) if language == "rust" and text[rest : rest + 1] == "{" else None
+                told = docs + re.sub(r"(?m)^\s*//!", "///", inner.group(1)).replace("/*!", "/**").split("\n") if inner else docs
+                yield name, "\n".join(told), first if first is not None else m.start(), end, inner.span(1) if inner else None
                 if first_only:
                     return
                 inner = rest + 1
@@ -207,9 +222,56 @@ def _brace_functions(text: str, language: str, first_only: bool) -> Iterator[tup
                 reset()
             else:
                 pos = close
-        elif t in (";", "{", "}", "="):
-            reset() if t != "=" else None
-    return
+        elif t == "=" and words and language in ("javascript", "typescript"):
+            body = _function_value(text, pos, scan)
+            if body is not None:
+                end = _skip(text, body, scan, "}") if text[body : body + 1] == "{" else _expression_end(text, body, scan)
+                yield _assigned(text[first:pos], words), "\n".join(docs), first, end, None
+                if first_only:
+                    return
+                pos = body + 1
+                reset()
+        elif t in (";", "{", "}"):
+            reset()
+
+
+def _function_value(text: str, at: int, scan: re.Pattern) -> int | None:
+    """Position of the body of the function or arrow function that is the value at this place."""
+    m = _FUNCTION_VALUE.match(text, at)
+    if not m:
+        return None
+    if m["bare"]:
+        return m.end()
+    close = _skip(text, m.end() - 1, scan, ")")
+    if m["function"]:
+        body = _body(text, close)
+        return body if body is not None and text[body] == "{" else None
+    arrow = _ARROW.match(text, close)
+    return arrow.end() if arrow else None
+
+
+def _expression_end(text: str, at: int, scan: re.Pattern) -> int:
+    """Where an arrow function's expression ends: before a semicolon, a comma, a closing bracket or a line's end outside brackets."""
+    depth = 0
+    for m in scan.finditer(text, at):
+        t = m.group()
+        if m.lastgroup == "nl" or (m.lastgroup == "op" and t in (";", ",")):
+            if depth == 0 and text[at : m.start()].strip():
+                return m.start()
+        elif m.lastgroup == "op" and t in ("(", "{", "["):
+            depth += 1
+        elif m.lastgroup == "op" and t in (")", "}", "]"):
+            depth -= 1
+            if depth < 0:
+                return m.start()
+    return len(text)
+
+
+def _assigned(target: str, words: list[str]) -> str:
+    """The name that gets a value: of a member the last part, else the first word that is no modifier (types follow it)."""
+    if re.search(r"[\w$]\.[\w$]+\s*=$", target):
+        return words[-1]
+    return next((w for w in words if w not in _MODIFIERS), words[-1])
 
 
 def _body(text: str, at: int) -> int | None:
@@ -236,7 +298,8 @@ def _header(text: str, close: int, words: list[str], language: str) -> tuple[str
     rest = _body(text, close)
     if rest is None or (text[rest] == ";" and language != "java"):
         return None, None
-    if "function" in words or (language == "java" and len(words) > 1 and "new" not in words) or (language != "java" and not re.search(r"[=.]\s*$", text[: text.rfind(name, 0, close)])):
+    constructor = len(words) == 1 and name[0].isupper() and not name.isupper() and text[rest] == "{"
+    if "function" in words or (language == "java" and (len(words) > 1 or constructor) and "new" not in words) or (language != "java" and not re.search(r"[=.]\s*$", text[: text.rfind(name, 0, close)])):
         between = text[close:rest]
         if language != "java" and between.strip() and not between.strip().startswith(":"):
             return None, None
@@ -244,15 +307,27 @@ def _header(text: str, close: int, words: list[str], language: str) -> tuple[str
     return None, None
 
 
-def functions_of(text: str, language: str | None, first_only: bool = False) -> Iterator[tuple[str, str, int, int]]:
-    """(name, raw documentation, start, end) of the functions of a text. first_only: the text is one function already delimited."""
+def functions_of(text: str, language: str | None, first_only: bool = False) -> Iterator[Found]:
+    """(name, raw documentation, start, end, place of documentation inside or None) of the functions of a text; first_only stops at the first."""
     if language == "python":
         yield from _python_functions(text, first_only)
     elif language in ("rust", "go", "java", "javascript", "typescript"):
         yield from _brace_functions(text, language, first_only)
 
 
-_MARK = re.compile(r"^\s*(?:///?!?|/\*\*?|\*(?!\*)|\*/)?\s?|\s*\*+/\s*$")
+def code_of(text: str, start: int, end: int, inner: tuple[int, int] | None) -> str:
+    """The function without its documentation; a line that held nothing else goes as a whole."""
+    if inner is None:
+        return text[start:end].strip("\n")
+    a, b = inner
+    line = text.rfind("\n", 0, a) + 1
+    rest = re.match(r"[ \t]*;?[ \t]*\r?(?:\n|\Z)", text[b:])
+    if rest and not text[line:a].strip():
+        a, b = line, b + rest.end()
+    return (text[start:a] + text[b:end]).strip("\n")
+
+
+_MARK = re.compile(r"^\s*(?:///?!?|/\*[*!]?|\*(?!\*)|\*/)?\s?|\s*\*+/\s*$")
 _TAG = re.compile(r"^\s*[@\\:](?:param|arg|argument|type|tparam|typeparam|return|returns|rtype|throws|raises|exception|see|since|deprecated|yields?)\b:?\s*(?:\{[^}]*\}\s*)?", re.I)
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 
@@ -296,50 +371,60 @@ def is_trivial(description: str, name: str) -> bool:
 
 def _describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        out = {"id": [], "name": [], "description": []}
+        out = {"id": [], "name": [], "description": [], "code": []}
         for key, path, language, content in zip(f["id"], f["relative_path"], f["language"], f["content"], strict=True):
             spoken = language_of(path) or (language or "").lower() or None
             if "." not in (path or "").rsplit("/", 1)[-1]:
                 spoken = spoken or "python"
             got = next(functions_of(content, spoken, first_only=True), None)
             if got and got[1]:
-                text = clean_description(got[1])
-                if not is_trivial(text, got[0]):
+                name, raw, *place = got
+                text = clean_description(raw)
+                if not is_trivial(text, name):
                     out["id"].append(key)
-                    out["name"].append(got[0])
+                    out["name"].append(name)
                     out["description"].append(text)
+                    out["code"].append(code_of(content, *place))
         yield frame(out)
 
 
 def described_chunks(chunks: DataFrame) -> DataFrame:
-    """id, name, description of every function or method chunk with real documentation.
+    """id, name, description, code of every function or method chunk with real documentation, the code without it.
 
     The language is that of the path's extension, else the column's, else, for paths without an extension, Python. Null or empty
     content, null ids and other kinds give no row; repeated chunks give one row per repetition. Other columns are ignored.
     """
     kept = chunks.where(F.col("symbol_kind").isin("function", "fn", "method") & F.col("content").isNotNull() & F.col("id").isNotNull())
-    return kept.select("id", "relative_path", "language", "content").mapInPandas(_describe, "id string, name string, description string")
+    return kept.select("id", "relative_path", "language", "content").mapInPandas(_describe, "id string, name string, description string, code string")
 
 
 def _pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        out = {"path": [], "name": [], "first_line": [], "description": [], "code": []}
-        for path, content in zip(f["path"], f["content"], strict=True):
-            for name, raw, start, end in functions_of(content, language_of(path, content)):
+        out = {"path": [], "indexed_at": [], "name": [], "first_line": [], "description": [], "code": []}
+        for path, at, content in zip(f["path"], f["indexed_at"], f["content"], strict=True):
+            for name, raw, start, end, inner in functions_of(content, language_of(path, content)):
                 text = clean_description(raw) if raw else ""
                 if not is_trivial(text, name):
                     out["path"].append(path)
+                    out["indexed_at"].append(at)
                     out["name"].append(name)
                     out["first_line"].append(content.count("\n", 0, start) + 1)
                     out["description"].append(text)
-                    out["code"].append(content[start:end].strip("\n"))
+                    out["code"].append(code_of(content, start, end, inner))
         yield frame(out)
 
 
 def described_functions(files: DataFrame) -> DataFrame:
-    """path, name, first_line, description, code of every function of whole source files with real documentation."""
-    kept = files.where(F.col("content").isNotNull() & F.col("path").isNotNull()).select("path", "content")
-    return kept.mapInPandas(_pairs, "path string, name string, first_line int, description string, code string")
+    """path, name, first_line, description, code of every function of whole source files with real documentation.
+
+    Of several rows of a path the one with the latest indexed_at counts; a null time is earlier than any. Functions are found before these are
+    told apart, so that texts stay where they are read.
+    """
+    at = F.coalesce(F.unix_micros(F.col("indexed_at").cast("timestamp")), F.lit(-(1 << 62))).alias("indexed_at")
+    kept = files.where(F.col("path").isNotNull()).select("path", at, "content")
+    found = kept.where(F.col("content").isNotNull()).mapInPandas(_pairs, "path string, indexed_at bigint, name string, first_line int, description string, code string")
+    latest = kept.groupBy("path").agg(F.max("indexed_at").alias("indexed_at"))
+    return found.join(latest, ["path", "indexed_at"]).drop("indexed_at").distinct()
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -348,11 +433,9 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Code and description of every documented chunk."""
-    chunks = table(spark, folder, "chunks")
-    told = described_chunks(chunks).distinct()
-    return told.join(chunks.select("id", F.col("content").alias("code")).distinct(), "id")
+    return described_chunks(spread(table(spark, folder, "chunks"))).distinct()
 
 
 def p5_pairs_of_files(spark: SparkSession, folder: str) -> DataFrame:
     """The same from whole files: functions are found and delimited by the state machine."""
-    return described_functions(table(spark, folder, "files").select("path", "content").distinct())
+    return described_functions(table(spark, folder, "files").select("path", "content", "indexed_at"))
