@@ -59,11 +59,11 @@ def _look_up(table: Column, key: Column) -> Column:
 
 
 def _rank(table: Column, piece: Column) -> Column:
-    return F.coalesce(F.get(_look_up(table, piece), 0), F.lit(NO_RANK))
+    return F.coalesce(_look_up(table, piece), F.lit(NO_RANK))
 
 
 def fold_word(word: Column, table: Column) -> Column:
-    """The ids of one word (its bytes), by ranked merges."""
+    """The ids of one word (its bytes), by ranked merges; table has the ranks."""
     return F.when(F.octet_length(word) <= LONG, _fold(word, table)).otherwise(_fold_long(word, table))
 
 
@@ -95,7 +95,7 @@ def _fold(word: Column, table: Column) -> Column:
         return F.when(F.size(state.ranks) > 0, let(let(F.array_min(state.ranks), lowest), joined)).otherwise(state)
 
     n = F.octet_length(word)
-    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: rank(i, i + 2))).otherwise(none)
+    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: _rank(table, F.substring(word, i + 1, F.lit(2))))).otherwise(none)
     start = F.struct(F.sequence(F.lit(0), n).alias("ends"), pairs.alias("ranks"))
     ends = F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), start, step, lambda state: state.ends)
     return let(ends, lambda e: F.transform(F.slice(e, F.lit(1), F.size(e) - 1), lambda at, i: rank(at, F.get(e, i + 1))))
@@ -139,16 +139,16 @@ class Encoder:
 
     def __init__(self, spark: SparkSession, path: str = VOCABULARY, max_words: int = MAX_WORDS, sample_rows: int = SAMPLE_ROWS):
         self.spark, self.max_words, self.sample_rows = spark, max_words, sample_rows
-        self.ranks = {token: [rank] for token, rank in load_ranks(path).items()}
+        self.ranks = load_ranks(path)
 
-    def _map(self, entries: dict[bytes, list[int]]) -> Column:
+    def _map(self, entries: dict, kind: pa.DataType) -> Column:
         """entries as an array of maps; the entry of key k lies in map crc32(k) mod BUCKETS."""
         maps: list[list] = [[] for _ in range(BUCKETS)]
         for entry in entries.items():
             maps[zlib.crc32(entry[0]) % BUCKETS].append(entry)
-        return self.spark.createDataFrame(pa.table({"maps": pa.array([maps], pa.list_(pa.map_(pa.binary(), pa.list_(pa.int32()))))})).scalar()
+        return self.spark.createDataFrame(pa.table({"maps": pa.array([maps], pa.list_(pa.map_(pa.binary(), kind)))})).scalar()
 
-    def _looked_up(self, texts: DataFrame, text: str, entries: dict[bytes, list[int]], body) -> DataFrame:
+    def _looked_up(self, texts: DataFrame, text: str, frequent: dict[bytes, list[int]], body) -> DataFrame:
         """texts with _looked = body(words, found, open): the words of the text, the ids of each (null for words that are no key) and the places of these, from 1."""
 
         def found(maps: Column, words: Column) -> Column:
@@ -158,11 +158,12 @@ class Encoder:
             return F.when(F.size(found) == 0, F.array().cast("array<int>")).otherwise(F.filter(F.sequence(F.lit(1), F.size(found)), lambda i: F.get(found, i - 1).isNull()))
 
         looked = let(F.col("_maps"), lambda m: let(split_words(F.col(text)), lambda w: let(found(m, w), lambda f: let(places(f), lambda o: body(w, f, o)))))
-        return texts.withColumn("_maps", self._map(entries)).withColumn("_looked", looked).drop("_maps")
+        ids = {token: [rank] for token, rank in self.ranks.items()} | frequent
+        return texts.withColumn("_maps", self._map(ids, pa.list_(pa.int32()))).withColumn("_looked", looked).drop("_maps")
 
     def fold(self, words: DataFrame, word: str) -> DataFrame:
         """words with a column ids: the ids of each row's word."""
-        folded = words.withColumn("_maps", self._map(self.ranks))
+        folded = words.withColumn("_maps", self._map(self.ranks, pa.int32()))
         return folded.withColumn("ids", let(F.col("_maps"), lambda m: let(F.col(word).cast("binary"), lambda w: fold_word(w, m)))).drop("_maps")
 
     def frequent(self, texts: DataFrame, text: str) -> dict[bytes, list[int]]:
@@ -170,7 +171,7 @@ class Encoder:
         if self.max_words < 1:
             return {}
         step = max(1, texts.count() // self.sample_rows)
-        sample = self._looked_up(texts.where(F.pmod(F.xxhash64(text), F.lit(step)) == 0).select(text), text, self.ranks, _unknown)
+        sample = self._looked_up(texts.where(F.pmod(F.xxhash64(text), F.lit(step)) == 0).select(text), text, {}, _unknown)
         unknown = sample.select(F.explode("_looked").alias("_word")).groupBy("_word").agg(F.count(F.lit(1)).alias("_n"))
         top = unknown.where("_n > 1").orderBy(F.desc("_n"), "_word").limit(self.max_words)
         rows = self.fold(top.select("_word").repartition(self.spark.sparkContext.defaultParallelism), "_word").toArrow()
@@ -187,12 +188,12 @@ class Encoder:
             runs = F.transform(F.array_append(places, F.size(found) + 1), run)
             return F.struct(runs.alias("_runs"), _unknown(words, found, places).alias("_open"))
 
-        looked = self._looked_up(texts, text, self.ranks | frequent, parts)
+        looked = self._looked_up(texts, text, frequent, parts)
         return looked.select(*texts.columns, "_looked.*")
 
     def folded(self, rows: DataFrame, word: str) -> DataFrame:
         """rows with the column ids of their word; every distinct word is folded once."""
-        return rows.join(self.fold(rows.select(word).distinct(), word), word)
+        return rows.join(self.fold(rows.select(word).distinct(), word).hint("shuffle_hash"), word)
 
 
 def _unknown(words: Column, found: Column, places: Column) -> Column:
@@ -210,7 +211,8 @@ def encode_table(texts: DataFrame, column: str = "text", out: str = "ids", path:
     numbered = renamed.withColumn("_row", F.monotonically_increasing_id())
     rows = stored(encoder.looked_up(numbered, "_text", encoder.frequent(renamed, "_text")).drop("_text"))
     words = encoder.folded(rows.select("_row", F.posexplode("_open").alias("_at", "_word")), "_word")
-    lists = words.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", "ids"))).alias("_lists"))
+    # gathered where they are needed, and met by hash: neither texts' ids nor words are sorted
+    lists = words.repartition("_row").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", "ids"))).alias("_lists")).hint("shuffle_hash")
     filled = F.flatten(F.transform("_runs", lambda run, i: F.concat(run, F.coalesce(F.get("_lists.ids", i), F.array().cast("array<int>")))))
     return rows.join(lists, "_row", "left").select(*(["_kept.*"] if kept else []), filled.alias(out))
 
