@@ -34,7 +34,7 @@ _LANGUAGES: dict[str, dict] = {
             "K": "if while with", "F": "for", "D": "def", "C": "class", "B": "elif else except finally", "T": "try", "A": "async", "m": "match case type",
             "r": "return yield raise", "Z": "assert del global nonlocal", "e": "pass break continue", "I": "import", "J": "from", "o": "and or in is", "w": "as", "x": "not", "l": "lambda", "t": "await", "c": "None True False",
         },
-        "operators": {"b": "// << >> <= >= == != % & | ^ < >", "d": "+ - * ** /", "u": "~", "=": "= := += -= *= /= //= %= @= &= |= ^= <<= >>= **=", "a": "->", "c": "...", "@": "@"},
+        "operators": {"b": "// << >> <= >= == != % & | ^ < > :=", "d": "+ - * ** /", "u": "~", "=": "= += -= *= /= //= %= @= &= |= ^= <<= >>= **=", "a": "->", "c": "...", "@": "@"},
     },
     "javascript": {
         "tokens": [
@@ -42,7 +42,7 @@ _LANGUAGES: dict[str, dict] = {
             _NUMBER, r"\#?[A-Za-z_$][\w$]*|" + _NAME, r">>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.|\+\+|--|\*\*|[+\-*/%&|^]=|<<|>>",
         ],
         "words": {
-            "D": "var const", "F": "function", "C": "class", "E": "extends", "K": "if while switch catch", "f": "for", "B": "else try finally do", "r": "return throw", "y": "yield await", "k": "case", "g": "default", "e": "break continue debugger",
+            "D": "const", "v": "var", "F": "function", "C": "class", "E": "extends", "K": "if while switch", "H": "catch", "f": "for", "B": "else finally", "T": "try", "Q": "do", "r": "return throw", "y": "yield await", "k": "case", "g": "default", "e": "break continue debugger",
             "I": "import", "X": "export", "o": "in instanceof", "x": "typeof void delete", "w": "new", "c": "this super null true false", "h": "of from as async get set static let",
         },
         "operators": {"b": "=== !== == != <= >= && || ?? ** << >> >>> / % * & | ^ < >", "d": "+ -", "u": "! ~", "p": "++ --", "=": "= += -= *= /= %= **= <<= >>= >>>= &= |= ^= &&= ||= ??=", "a": "=>", "q": "?", ".": "?.", "z": "..."},
@@ -64,7 +64,7 @@ _LANGUAGES: dict[str, dict] = {
             r"0[xX][0-9a-fA-F_]+\w*|\d[\d_]*(?:\.\d[\d_]*|\.(?![.\w]))?(?:[eE][+-]?\d+)?\w*", r"r\#[A-Za-z_]\w*|" + _NAME, r"<<=|>>=|\.\.=|\.\.\.|\.\.|=>|->|::|==|!=|<=|>=|&&|\|\||[+\-*/%&|^]=|<<",
         ],
         "words": {
-            "F": "fn", "D": "let const static", "M": "mut ref dyn move", "T": "struct enum union trait mod", "L": "impl", "U": "use", "V_": "", "P": "pub unsafe async extern crate_", "K": "if while match", "f": "for", "o": "in", "w": "as where", "B": "else loop",
+            "F": "fn", "D": "let const static", "M": "mut ref dyn move", "T": "struct enum union trait mod", "L": "impl", "U": "use", "V_": "", "P": "pub unsafe async extern crate_", "K": "if while match", "f": "for", "o": "in", "w": "as where", "B": "else", "Q": "loop",
             "r": "return break", "e": "continue", "y": "type",
         },
         "operators": {"b": "== != <= >= / % ^ << + > =>", "d": "- * & && | || < .. ..=", "u": "!", "=": "= += -= *= /= %= &= |= ^= <<= >>=", "a": "-> =>", "p": "?", "h": "::", "#": "#", "$": "$", "@": "@"},
@@ -74,7 +74,7 @@ _LANGUAGES: dict[str, dict] = {
             _LINE_COMMENT, _BLOCK_COMMENT, r'"""[^"\\]*(?:(?:\\.|"(?!""))[^"\\]*)*"""', _DQ, r"'(?:[^'\\\n]|\\[^\n]{1,6}?)'", _NUMBER, r"[A-Za-z_$][\w$]*|" + _NAME, r"<<=|>>=|\.\.\.|->|::|==|!=|<=|>=|&&|\|\||\+\+|--|[+\-*/%&|^]=|<<",
         ],
         "words": {
-            "P": "package", "I": "import", "m": "public private protected static final abstract native synchronized transient volatile strictfp default sealed", "C": "class interface enum", "E": "extends implements throws permits", "K": "if while switch catch", "f": "for", "B": "else try finally do", "r": "return throw assert", "k": "case",
+            "P": "package", "I": "import", "m": "public private protected static final abstract native synchronized transient volatile strictfp default sealed", "C": "class interface enum", "E": "extends implements throws permits", "K": "if while switch", "H": "catch", "f": "for", "B": "else finally", "T": "try", "Q": "do", "r": "return throw assert", "k": "case",
             "y": "boolean byte char double float int long short void", "w": "new", "o": "instanceof", "e": "break continue", "c": "this super null true false", "R": "record module open",
         },
         "operators": {"b": "== != <= >= && || / % * & | ^ << < >", "d": "+ -", "u": "! ~", "p": "++ --", "=": "= += -= *= /= %= &= |= ^= <<= >>=", "a": "->", "q": "?", "h": "::", "z": "...", "@": "@"},
@@ -139,6 +139,11 @@ class Classes(dict):
         return k
 
 
+#: Classes of words that stand wherever those of another class do.
+_LIKE = {"javascript": {"v": "D", "H": "K", "T": "B", "Q": "B"}, "java": {"H": "K", "T": "B", "Q": "B"}, "rust": {"Q": "B"}}
+_LIKE["typescript"] = _LIKE["javascript"]
+
+
 def _cross(left: str, right: str) -> set[str]:
     return {a + b for a in left for b in right}
 
@@ -146,6 +151,13 @@ def _cross(left: str, right: str) -> set[str]:
 @cache
 def permissible_pairs(language: str) -> frozenset[str]:
     """Pairs of adjacent classes that some sentence of the language has."""
+    pairs = _pairs(language)
+    for new, old in _LIKE.get(language, {}).items():
+        pairs |= {new + x[1] for x in pairs if x[0] == old} | {x[0] + new for x in pairs if x[1] == old}
+    return pairs
+
+
+def _pairs(language: str) -> frozenset[str]:
     if language == "json":
         ends = "snv]}"
         return frozenset(_cross("^[,:", "snv[{") | _cross(ends, ",]}$") | {"[]", "{}", "{s", "s:"})
@@ -192,14 +204,14 @@ def permissible_pairs(language: str) -> frozenset[str]:
         pairs = _cross("bd=,([{:;uoraM", start + "LyTh$#Ff") | _cross(end, "bd=,;:.)]}[({powa") - _cross("ns", "([{") | _cross(".", "in") | _cross("F", "i(dP" ) | _cross("D", "iM(d{l[") | _cross("M", "iMld|(u[{") | _cross("T", "i{F") | _cross("L", "idub(M") | _cross("U", "ih{dD") | _cross("P", "FDTULPyi(sMf{B")
         pairs |= _cross("K", start + "D") | _cross("f", "id(M") | {"f" + "b"} | _cross("o", start) | _cross("w", "idl([MLfhuF") | _cross("B", "{K") | _cross("r", start + ";,}lb)") | _cross("e", ";,}l)") | _cross("y", "i") | _cross("h", "id{bT(UF") | _cross("ib)]>d", "hla") | _cross("#", "[u") | {"u["}
         items = "FDTLUPy#"
-        pairs |= _cross(";{},)]", items + start + "#@w") | _cross("]", "i") | _cross("([{", ")]}") | _cross(",", ")]}bdp") | _cross("b", ",;)]}({[bdha=.:wa" + "fP") | _cross("d", "b,)]}{;=:lTFLd.") | _cross("i", "u@LfK") - _cross("i", "K") - {"iK"} | _cross("]", "#") | {"iu", "}B", ")B", "i$", "$i", "$(", ":l", "li", "l>", "lb", "l,", "l:", "ld", "lM", "pp", "p.", "i@"}
+        pairs |= _cross(";{},)]", items + start + "#@w") | _cross("]", "i") | _cross("([{", ")]}") | _cross(",", ")]}bdp") | _cross("b", ",;)]}({[bdha=.:wa" + "fP") | _cross("d", "b,)]}{;=:lTFLd.") | _cross("i", "u@LfK") - _cross("i", "K") - {"iK"} | _cross("]", "#") | {"iu", "}B", ")B", "iB", "i$", "$i", "$(", ":l", "li", "l>", "lb", "l,", "l:", "ld", "lM", "pp", "p.", "i@"}
         pairs |= _cross("^", items + "iM;{$"[:3] + "$") | _cross("^};)]", "$") - {"]$"}
         pairs |= {";}", "n{", ";]", "b}"} | _cross("ins)]}lp", "K") | _cross("@", start) | _cross("a", start + items + "bF") | _cross("u", "{([;,=") | _cross("}", "iKfBnsl(d#.:;=p" + items) | _cross(")", "aw") | _cross("s", "s") - _cross("s", "s") | _cross("i", "fw") | _cross("bdi", "w") | _cross("w", "i") | _cross("M", "FL") | _cross(".", "t") | _cross("T", "M") | {"iM"} - {"iM"} | _cross("$", ":") | _cross(":", "i$") | _cross("nl", ":") | _cross("P", "l") | _cross("s", "{") | _cross("p", "i")-_cross("p","i") | _cross("y", "i")
         return frozenset(pairs)
     start, end = "insc([{duwpyCa", "insc)]}p"
     pairs = _cross("bd=,([{:;uaqrkoB", start) | _cross(end, "bd=,;:.)]}[({poqah") - _cross("ns", "([{") | _cross(".", "iwCcb") | {"P" + "i"} | _cross("I", "im") | _cross("m", "miCyb@({") | _cross("C", "i") | _cross("E", "i@") | _cross("Kf", "(") | _cross("B", "{iKfcrwymB(ep") | _cross("r", start + ";") | _cross("e", ";i") | _cross("w", "iy")
     pairs |= _cross("y", "i[.z)>,h(b") | _cross("i]bq)", "i@") | _cross(";{})(,:", "mPICKfBrkye@}i;c" + start) | _cross("@", "iC") | _cross("i", "EmCyKfk@z") - _cross("i", "Kfk") | _cross(")", "E{imyC@;") | _cross("E", "y") | _cross("b", "(.,){;i[E=qy@b>hm") | _cross("([{", ")]}") | _cross(",", "}q") | _cross("q", ",b:.Ei") | _cross("h", "iw") | _cross("o", "im") | _cross("m", ":a") | _cross("z", "i") | _cross("d", "b") - _cross("d", "b") | _cross("k", start) | _cross("a", "{ir") | _cross("]", "iE") | _cross("c", "b") | _cross("i", "K") - _cross("i", "K")
-    pairs |= _cross("c", "iy@") | _cross("w", ";),")
+    pairs |= _cross("c", "iy@") | _cross("w", ";),") | {";)"}
     pairs |= {"R" + x[1] for x in pairs if x[0] == "i"} | {x[0] + "R" for x in pairs if x[1] == "i"} | {"RR"}
     pairs |= _cross("^", "PImC@;R$") | _cross("};", "$")
     return frozenset(pairs)
@@ -210,12 +222,12 @@ def permissible_pairs(language: str) -> frozenset[str]:
 #: braces of a Go struct or interface) or A (in parentheses or square brackets). In it 1, 2, 3 stand for groups in (), [], {}, 4 for a () that
 #: holds declarations (P for a statement in it) and 6 for one whose lines end without comma.
 BAD_STATEMENTS: dict[str, str] = {
-    "python": r"^J(?!.*I(?:[iGdm]))|^J.*,$|^A?[KFBT][^:]*$|^A?D(?!iG?G(?:a.*)?:)|^A?D?Dm|^C(?!iG?G?:)|^T(?!:$|:[^:])|^A?F(?!.*o.*:)|^Z.*,$|^[^KBAIJm].*w|(?<!I)d$|^[^I].*d$",
-    "javascript": r"\([ih]q?:|D[ih]:|^\{s:",
-    "typescript": r"^\{s:|^[TBLA](?!ii=)(?:.*[^b,])?ii|^[TBLA].*(?<![@.])i1[in]|^[TBLA].*\.i1[in]|^[TBLA](?:.*[^.])?F(?:i?3|[ih]:)|^[TBL].*[Dh]2[in]|^A(?!.*[FCa:]).*[ins]3|^A.*[ns][ins]|^[TBL].*=$",
-    "go": r"^T(?!$|Pi$|I(?:[146]|[i.]?s)$|F[14]?i2?[14][i.dMSF1234]*$|D)|^T?F.*i[iF]|^[BLA](?![DF])(?!.*F).*(?:ii|i2i)|^[TBL].*[=bu.]$|^[TBLSA](?:.*[^.])?F(?:i?3|$)|^[TBL](?![DF])(?!.*F).*4|^A(?!.*F).*[i2.]4|^[TBLA].*6|^[TBL]Di[^=]*ii|^[TBL]D[^=SF]*3|^A.*(?:[in1s]s|[ns]i)|^P.*iii",
-    "rust": r"^[TBLA](?:.*[^.h])?F(?![1$]|i[1d$])|^[TBL].*(?:[insp]|[^P]1|[^#u]2)D|^[TBL](?:#u?2)*P*L[^3]*$|^[TBL]K[^3]*$|^[TBL].*=K[^3]*$|^[TBL].*=$|^[TBLA].*[^P$]1[in]|^[TBL](?:.*3)?DM?1i|^[TBL]DM?i:[^=ML]*bi|^[TBL]DM?[^=3]*=[^3]*3(?:B[^3]*3)*[iDfKr#FTLPU]",
-    "java": r"^[TBLA][^k]*i1[iyscnrKfewm]|^[TBL][^k]*iii|^[TBLA][^ok]*[=r][^3oak]*(?:[insc2][iyscnrKfemw]|i4)|^[TBL].*ip[iyscnKfrem]|^[TBL](?:.*[^.])?e(?!i?$)|^[TBL].*(?:\.|w)i4(?!a)|^A.*4(?!a)|^[TBL]i4$|^[TBL]m*C[^3]*$|^[TBLA](?:.*[^.])?C(?!i)|^TI(?!m?i(?:\.[ib])*$)|^L.*[=re]|^L.*\.i1$|^[TBLA].*=w[i.b,2]*1[iyscnrKfemwC]|^P.*(?:iy|iii|yii|2ii)",
+    "python": r"^\(=,|^[nsc]=|^J(?!.*I(?:[iGdm]))|^J.*,$|^A?[KFBT][^:]*$|^A?D(?!iG?G(?:a.*)?:)|^A?D?Dm|^C(?!iG?G?:)|^T(?!:$|:[^:])|^A?F(?!.*o.*:)|^Z.*,$|^[^KBAIJm].*w|(?<!I)d$|^[^I].*d$",
+    "javascript": r"\([ih]q?:|[Dv][ih]:|^\{s:|^[TBL]Di(?:,i)*$|^[TBL](?:F13|B[3iK])|^Tk|^[TBL](?:.*[^.])?T3(?![HB])|^[TBLA].*(?<![@.])i1[in]|^[TBLA].*\.i1[in]|^[TBL].*=$",
+    "typescript": r"^\{s:|^[TBL]Di$|^[TBL](?:F13|B[3iK])|^Tk|^[TBL](?:.*[^.])?T3(?![HB])|^[TBLA](?!ii=)(?:.*[^b,])?ii|^[TBLA].*(?<![@.])i1[in]|^[TBLA].*\.i1[in]|^[TBLA](?:.*[^.])?F(?:i?3|[ih]:)|^[TBL].*[Dvh]2[in]|^A(?!.*[FCa:]).*[ins]3|^A.*[ns][ins]|^[TBL].*=$",
+    "go": r"^[TBL]B|^[BL]F[14][i.d]*3$|^T(?!$|Pi$|I(?:[146]|[i.]?s)$|F[14]?i2?[14][i.dMSF1234]*$|D)|^T?F.*i[iF]|^[BLA](?![DF])(?!.*F).*(?:ii|i2i)|^[TBL].*[=bud.]$|^[TBLSA](?:.*[^.])?F(?:i?3|$)|^[TBL](?![DF])(?!.*F).*4|^A(?!.*F).*[i2.]4|^[TBLA].*6|^[TBL]Di[^=]*ii|^[TBL]D[^=SF]*3|^A.*(?:[in1s]s|[ns]i)|^P.*iii",
+    "rust": r"^[TBL]B|^[TBL].*F[^3a]*1a3|^[TBLA](?:.*[^.h])?F(?![1$]|i[1d$])|^[TBL].*(?:[insp]|[^P]1|[^#u]2)D|^[TBL](?:#u?2)*P*L[^3]*$|^[TBL]K[^3]*$|^[TBL].*=K[^3]*$|^[TBL].*=$|^[TBLA].*[^P$]1[in]|^[TBL](?:.*3)?DM?1i|^[TBL]DM?i:[^=ML]*bi|^[TBL]DM?[^=3]*=[^3]*3(?:B[^3]*3)*[iDfKr#FTLPU]",
+    "java": r"^[TBLA][BH]|^[TBL](?:.*[^.])?T3(?![HB])|^P[^;]*;[^;=]*b[^;=]*$|^[TBLA][^k]*i1[iyscnrKfewm]|^[TBL][^k]*iii|^[TBLA][^ok]*[=r][^3oak]*(?:[insc2][iyscnrKfemw]|i4)|^[TBL].*ip[iyscnKfrem]|^[TBL](?:.*[^.])?e(?!i?$)|^[TBL].*(?:\.|w)i4(?!a)|^A.*4(?!a)|^[TBL]i4$|^[TBL]m*C[^3]*$|^[TBLA](?:.*[^.])?C(?!i)|^TI(?!m?i(?:\.[ib])*$)|^L.*[=re]|^L.*\.i1$|^[TBLA].*=w[i.b,2]*1[iyscnrKfemwC]|^P.*(?:iy|iii|yii|2ii)",
     "toml": r"^(?!(?:G|[isnv](?:\.[isnv])*=[snvG])$)",
     "json": r"^(?!(?:\{\}|\{s:[snv](?:,s:[snv])?\}|\[\]|\[[snv](?:,[snv])?\]|[snv])$)",
 }

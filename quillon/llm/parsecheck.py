@@ -27,6 +27,7 @@ from quillon.session import cut, spread
 from quillon.sources.tables import table
 
 _GROUP = re.compile(r"[(\[{][^()\[\]{}]*[)\]}]")
+_CALL, _NAMED = re.compile(r"\([^()\[\]{}]*=[^()\[\]{}]*\)"), re.compile(r"[im](?::[^=]*)?=")
 _NO_BRACKET = re.compile(r"[^()\[\]{}]+")
 _CLOSED = re.compile(r"\(\)|\[\]|\{\}")
 _LEAF = re.compile(r"\{[^{}\[\]]*\}|\[[^{}\[\]]*\]")
@@ -38,8 +39,23 @@ _ANNOTATION = re.compile(r"@i(?:\.i)*[14]?")
 _MORE_FIELDS, _MORE_ITEMS = re.compile(r"(?:,s:[snv])+"), re.compile(r"(?:,[snv])+")
 
 
-def _collapsed(statement: str) -> str:
+def _misplaced(group: str) -> bool:
+    """Whether a plain item follows one with a name and a value; items behind a star and lambdas aside."""
+    named = False
+    for item in group[1:-1].split(",") if "l" not in group else ():
+        if item[:1] == "d":
+            break
+        if _NAMED.match(item):
+            named = True
+        elif item and named:
+            return True
+    return False
+
+
+def _collapsed(statement: str, found: set[str] | None = None) -> str:
     while (shorter := _GROUP.sub("G", statement)) != statement:
+        if found is not None and any(map(_misplaced, _CALL.findall(statement))):
+            found.add("(=,")
         statement = shorter
     return statement
 
@@ -70,7 +86,7 @@ def _logical_lines(text: str, tokens: list[str], classes: str, statements: set[s
             out.append("V")
         if tries.pop(len(stack), False) and logical[0] != "B":
             out.append("V")
-        statements.add(_collapsed(logical))
+        statements.add(_collapsed(logical, statements))
         if logical[0] == "T":
             tries[len(stack)] = True
         out.append(logical + ("H" if logical[-1] == ":" and logical[0] in "KFDCBTAm" else "Y" if logical[0] == "@" else "N"))
@@ -88,7 +104,9 @@ def _nested_statements(s: str, language: str) -> set[str]:
         if re.search(r"R[i.]+\{", s):
             return out  # a module
         s = s.replace("R", "i")
-    ends = re.compile(r";|(?<=[ins1-6epr])N" if language == "go" else r"[;N]" if language == "typescript" else ";")
+    if language in ("java", "javascript", "typescript"):
+        s = re.sub("[;N]+(?=[HB])", "", s)  # else may follow a statement of its own
+    ends = re.compile(r";|(?<=[ins1-6epr])N" if language == "go" else r"[;N]" if language in ("javascript", "typescript") else ";")
 
     def braces(mark: str, inner: str) -> None:
         parts = ends.split(_VALUES.sub("n,", inner))
@@ -171,7 +189,7 @@ def lexed(text: str, language: str, classes: Classes) -> tuple[str, set[str]]:
         statements.update(x for x in re.split(r"[;}]|(?<=[){])", flat) if ":" in x)
         if flat[:3] == "{s:":
             statements.add("{s:")
-    if language in ("go", "rust", "java", "typescript"):
+    if language in ("go", "rust", "java", "javascript", "typescript"):
         statements |= _nested_statements(s, language)
     if language == "rust" and text.rstrip().rpartition("\n")[2].lstrip().startswith("///"):
         s += "V"

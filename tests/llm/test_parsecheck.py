@@ -57,6 +57,21 @@ STATEMENTS = {
     "last.java": "class A { void f() { x = g() } }", "args.go": "package x\n\nfunc g() {\n\tf(a b)\n}\n", "head.go": "package x\n\nfunc f {\n}\n", "name.go": "package x\n\nfunc {\n}\n", "equals.go": 'package x\n\nvar a []string{"b"}\n',
     "head.rs": "fn f {\n}\n", "let.rs": "fn f() {\n    let a = b()\n    let c = 1;\n}\n", "impl.rs": "struct A;\nimpl A;\n", "line.ts": "foo() bar()\n", "args.ts": "foo(a b);\n", "head.ts": "function f {\n}\n", "type.ts": "function f: void {\n}\n",
 }
+FRAGMENTS = {
+    "end.go": "package x\n\nfunc f() {\n\tx := 5 +\n}\n", "else.go": "package x\n\nfunc f() {\n\telse {\n\t}\n}\n", "func.go": "package x\n\nfunc f() {\n\tfunc () {\n\t}\n}\n", "top.go": "package x\n\nx := 5\n", "java.go": "package a.b;\npublic class X { void f() { } }\n",
+    "return.java": "class A { int f() { return 5 } }", "else.java": "class A { void f() { else { x(); } } }", "try.java": "class A { void f() { try { x(); } } }", "catch.java": "class A { void f() { catch (E e) { } } }", "for.java": "class A { void f() { for (int i = 0; i < 3) { } } }",
+    "const.js": "const x;\n", "line.js": "foo() bar()\n", "try.js": "try { x() }\ny()\n", "function.js": "function (a) {}\n", "case.js": "case 1: x()\n", "else.js": "else { x() }\n",
+    "const.ts": "const x;\n", "try.ts": "try { x() }\n", "function.ts": "function (a) {}\n", "case.ts": "case 1: x()\n", "python.ts": "class A:\n    def f(self):\n        return 1\n", "java.ts": "package a.b;\npublic class X { void f() { } }\n",
+    "arrow.rs": "fn f() -> {\n}\n", "else.rs": "fn f() {\n    else {\n    }\n}\n", "number.py": "1 = x\n", "args.py": "f(a=1, 2)\n", "defaults.py": "def f(a=1, b): pass\n",
+}
+WHOLE = {
+    "a.py": "f(a=1, *b, **c)\ndef g(a, *, b=1, c): pass\nh(key=lambda x, y: x, z=(w := 1, 2))\nif (n := f(1)) and n: pass\nprint(a := 1, 2) if x == 1 else y[1] == 2\n",
+    "a.js": "var x\nlet y, z\nfor (const a of b) c()\ntry { d() }\ncatch (e) { f() }\nfinally { g() }\nif (h) { i() }\nelse { j() }\ndo { k() } while (l)\nclass M { catch() { } finally() { } static n = 1 }\nexport default function () { }\nconst o = { p() { }, q: 1, try: 2 }\nswitch (r) { case 1: s(); break; default: t() }\n;(function () { })()\n",
+    "a.ts": "try { d() }\ncatch { f() }\ndeclare const x: number\nexport const enum A { B }\nconst c: D = e\nfor (const [f, g] of h) { }\nif (a) { b() }\nelse if (c) { d() }\n",
+    "a.java": "class A { void f() throws B { try { c(); } catch (D d) { } finally { e(); } try (var g = h(); var i = j()) { } catch (K k) { } do { l(); } while (m); if (n) { } else if (o) { } else { } for (int p = 0; p < 3; p++) { } for (;;) { } } }",
+    "a.go": "package x\n\nfunc f() {\n\tif a {\n\t} else if b {\n\t} else {\n\t}\n\tfunc() {\n\t}()\n\tx := y +\n\t\tz\n\tfor i := 0; i < 3; i++ {\n\t}\n}\n",
+    "a.rs": "fn f() -> u8 { let Some(x) = y else { return 1 }; if a { b() } else { loop { } } }\nfn g(h: fn(u8) -> u8) -> impl Fn(u8) -> u8 { move |x| { x } }\n",
+}
 SOUND = {
     "a.java": "@A(b = 1) class C { int d = (int) e; @F G h(I i, J<K> j) throws L { if (m) n(); for (O o : p) { q -> r(); } Object s = t instanceof U u ? (V) w : new X<>(y) { int z; }; return (a, b) -> c; } }",
     "b.java": "enum A { B(1), C(2); final int d; A(int e) { this.d = e; } record F(int g, H h) { } int i(J j) { switch (j) { case K k: break; default: return 1; } } }",
@@ -72,6 +87,12 @@ def test_statements_that_only_hold_permissible_pairs(spark):
     assert [p for p in SOUND if got[p]] == []
 
 
+def test_fragments_fail_and_their_like_pass(spark):
+    got = check(spark, FRAGMENTS | WHOLE)
+    assert [p for p in FRAGMENTS if not got[p]] == []
+    assert [p for p in WHOLE if got[p]] == []
+
+
 def test_row_in_force_nulls_and_empty_table(spark):
     rows = [("a.py", "x = (", "2025-01-01"), ("a.py", "x = 1", "2025-01-02"), ("a.py", "x = 1", "2025-01-02"), ("b.py", "x = 1", None), ("b.py", "(", "2025-01-01"), ("c.py", None, "2025-01-01"), (None, "(", "2025-01-01"), ("d.py", "", "2025-01-01"), ("e.rs", "fn f() { " + "g(); " * 200_000 + "}", "2025-01-01")]
     df = spark.createDataFrame(rows, "path string, content string, at string").selectExpr("path", "content", "cast(at as timestamp) indexed_at")
