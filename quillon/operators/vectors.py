@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from quillon.functions.frames import frame
 from quillon.functions.text import words
 
-BLOCKS = 16
+#: Rows of a block of vectors, and query vectors that are sent to every task rather than joined.
+BLOCK_ROWS, BROADCAST_QUERIES = 4096, 1 << 14
 
 
 def usable(rows: DataFrame, key: str, width: int, vector: str = "vector") -> DataFrame:
@@ -47,55 +48,78 @@ def _unit(v) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
-def _block_pairs(base: DataFrame, asked: DataFrame, find, schema: str) -> DataFrame:
-    """find(base rows, asked rows) for every block of base against every block of asked: each task holds two blocks."""
-    spread = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
-    left = base.select(F.col("id").alias("l"), F.col("v").alias("lv"), F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).cast("int").alias("lb"), spread.alias("la"))
-    right = asked.select(F.col("id").alias("r"), F.col("v").alias("rv"), spread.alias("rb"), F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).cast("int").alias("ra"))
-    return left.groupBy("lb", "la").cogroup(right.groupBy("rb", "ra")).applyInPandas(find, schema)
+def _blocks(rows: DataFrame) -> int:
+    return max(1, -(-rows.count() // BLOCK_ROWS))
+
+
+def _block_of(key: str, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
 
 
 def batch_top_k(base: DataFrame, queries: DataFrame, key: str, query_key: str, k: int) -> DataFrame:
-    """query_key, key, score, rank: exact top k of every query vector, by block-wise matrix products.
+    """query_key, key, score, rank: exact top k of every query vector by matrix products, cut to k within each task before anything moves.
 
-    A vector is never its own neighbour if both tables hold the same id. Ties are ordered by id.
+    Up to BROADCAST_QUERIES query vectors go to the tasks that scan base; more are met block by block, so that a task holds two blocks. A vector is
+    never its own neighbour if both tables hold the same id. Ties are ordered by id.
     """
-    kind = dict(base.dtypes)[key]
-    asked_kind = dict(queries.dtypes)[query_key]
+    kind, asked_kind = dict(base.dtypes)[key], dict(queries.dtypes)[query_key]
+    left = base.select(F.col(key).alias("l"), F.col("vector").alias("lv"))
+    right = queries.select(F.col(query_key).alias("r"), F.col("vector").alias("rv"))
 
-    def find(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def best(names: np.ndarray, x: np.ndarray, asked: np.ndarray, q: np.ndarray) -> pd.DataFrame:
         out: dict = {"q": [], "n": [], "score": []}
-        if len(a) and len(b):
-            names = a["l"].to_numpy()
-            cos = np.round(_unit(b["rv"]) @ _unit(a["lv"]).T, 6)
-            for i, me in enumerate(b["r"]):
-                row = np.where(names == me, -9.0, cos[i])
-                at = np.flatnonzero(row >= np.partition(row, -min(k, len(row)))[-min(k, len(row))])
-                best = sorted((-row[j], names[j]) for j in at if row[j] > -9)[:k]
-                out["q"] += [me] * len(best)
-                out["n"] += [x for _, x in best]
-                out["score"] += [-s for s, _ in best]
+        cos = np.round(q @ x.T, 6)
+        for i, me in enumerate(asked):
+            row = np.where(names == me, -9.0, cos[i])
+            at = np.flatnonzero(row >= np.partition(row, -min(k, len(row)))[-min(k, len(row))])
+            top = sorted((-row[j], names[j]) for j in at if row[j] > -9)[:k]
+            out["q"] += [me] * len(top)
+            out["n"] += [x for _, x in top]
+            out["score"] += [-s for s, _ in top]
         return frame(out)
 
-    near = _block_pairs(base.select(F.col(key).alias("id"), F.col("vector").alias("v")), queries.select(F.col(query_key).alias("id"), F.col("vector").alias("v")), find, f"q {asked_kind}, n {kind}, score double")
+    schema = f"q {asked_kind}, n {kind}, score double"
+    if queries.count() <= BROADCAST_QUERIES:
+        few = right.toPandas()
+        names, q = few["r"].to_numpy(), _unit(few["rv"]) if len(few) else None
+
+        def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                if len(f) and len(names):
+                    yield best(f["l"].to_numpy(), _unit(f["lv"]), names, q)
+
+        near = left.mapInPandas(scan, schema)
+    else:
+        n, m = _blocks(base), _blocks(queries)
+        one = left.withColumn("lb", _block_of("l", n)).withColumn("la", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+        other = right.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("ra", _block_of("r", m))
+        find = lambda a, b: best(a["l"].to_numpy(), _unit(a["lv"]), b["r"].to_numpy(), _unit(b["rv"])) if len(a) and len(b) else frame({"q": [], "n": [], "score": []})
+        near = one.groupBy("lb", "la").cogroup(other.groupBy("rb", "ra")).applyInPandas(find, schema)
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "n"))).where(F.col("rank") <= k)
     return ranked.select(F.col("q").alias(f"query_{query_key}"), F.col("n").alias(key), "score", "rank")
 
 
 def similar_pairs(vectors: DataFrame, key: str, least: float = 0.85) -> DataFrame:
-    """key_a < key_b, score of all pairs with a cosine above least, by block-wise matrix products."""
-    kind = dict(vectors.dtypes)[key]
+    """key_a < key_b, score of all pairs with a cosine above least, by products of blocks; two blocks meet once."""
+    kind, n = dict(vectors.dtypes)[key], _blocks(vectors)
 
     def find(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out: dict = {"a": [], "b": [], "score": []}
         if len(a) and len(b):
-            cos = np.round(_unit(a["lv"]) @ _unit(b["rv"]).T, 6)
-            i, j = np.nonzero((cos > least) & (a["l"].to_numpy()[:, None] < b["r"].to_numpy()[None, :]))
-            out = {"a": list(a["l"].to_numpy()[i]), "b": list(b["r"].to_numpy()[j]), "score": cos[i, j]}
+            names, others = a["id"].to_numpy(), b["id"].to_numpy()
+            cos = np.round(_unit(a["v"]) @ _unit(b["v"]).T, 6)
+            i, j = np.nonzero(cos > least)
+            kept = (names[i] < others[j]) if a["block"].iloc[0] == b["block"].iloc[0] else names[i] != others[j]
+            one, other = names[i[kept]], others[j[kept]]
+            swap = one > other
+            out = {"a": list(np.where(swap, other, one)), "b": list(np.where(swap, one, other)), "score": cos[i[kept], j[kept]]}
         return frame(out)
 
-    both = vectors.select(F.col(key).alias("id"), F.col("vector").alias("v"))
-    return _block_pairs(both, both, find, f"a {kind}, b {kind}, score double").select(F.col("a").alias(f"{key}_a"), F.col("b").alias(f"{key}_b"), "score")
+    rows = vectors.select(F.col(key).alias("id"), F.col("vector").alias("v"), _block_of(key, n).alias("block"))
+    low = rows.withColumn("with", F.explode(F.sequence(F.col("block"), F.lit(n - 1))))  # meets blocks from its own on
+    high = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("block"))))
+    met = low.groupBy("block", "with").cogroup(high.groupBy("with", "block")).applyInPandas(find, f"a {kind}, b {kind}, score double")
+    return met.select(F.col("a").alias(f"{key}_a"), F.col("b").alias(f"{key}_b"), "score")
 
 
 # Hashed embeddings. One rule gives the bucket and the sign of a feature in both forms below: of the MD5 of "salt feature" the first
