@@ -112,9 +112,14 @@ def search(wiki: DataFrame, ranked: DataFrame, tags: list[str] | None = None, en
     return best.where(F.col("entry_type") == entry_type) if entry_type and not prefilter else best
 
 
+def index_rows(wiki: DataFrame) -> DataFrame:
+    """area, ord, line: the rendered index line by line, an area's first one under its heading."""
+    return index_lines(wiki).select("area", "ord", F.concat(F.when(F.col("header"), F.concat(F.lit("\n## "), "area", F.lit("\n"))).otherwise(""), "line", F.lit("\n")).alias("line"))
+
+
 def index_text(wiki: DataFrame, limit: int = 4000) -> DataFrame:
     """One row, text: the first limit characters of the rendered index. Lines beyond the limit are not gathered."""
-    lines = index_lines(wiki).select("area", "ord", F.concat(F.when(F.col("header"), F.concat(F.lit("\n## "), "area", F.lit("\n"))).otherwise(""), "line", F.lit("\n")).alias("line"))
+    lines = index_rows(wiki)
     first = lines.orderBy("area", "ord").limit(limit)  # a line has a character at least
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("area", "ord", "line"))), lambda x: x.line), "")
     return first.agg(F.left(F.concat(F.lit("# Index\n"), text), F.lit(limit)).alias("text"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.text import split_csv
+from quillon.operators.wiki import index_rows
 
 KEYS = ["title", "type", "tags", "sources", "created", "updated"]
 
@@ -69,3 +72,36 @@ def migrate_legacy(wiki: DataFrame) -> DataFrame:
     moved = wiki.where(old).withColumn("_new", base).withColumn("_n", nth)
     moved = moved.withColumn("slug", F.when(F.col("_n") == 1, F.col("_new")).otherwise(F.concat("_new", F.lit("-"), F.col("_n").cast("string")))).drop("_new", "_n")
     return wiki.where(~old).unionByName(moved.withColumn("entry_type", F.coalesce("entry_type", F.lit("concept"))))
+
+
+class WikiFolder:
+    """A folder of Markdown entries on the driver's machine, as people edit it; index.md and log.md follow every write."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, os.path.abspath(root)
+        os.makedirs(self.root, exist_ok=True)
+
+    def entries(self) -> DataFrame:
+        return read_wiki(self.spark, self.root)
+
+    def _put(self, name: str, text: str, mode: str = "w") -> None:
+        path = os.path.join(self.root, f"{name}.md")
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, mode, encoding="utf-8") as f:
+            f.write(text)
+
+    def write(self, wiki: DataFrame, slugs: list[str], log: DataFrame) -> None:
+        """Files of the entries of these slugs as the table has them; a slug without an entry loses its file."""
+        there = {r.slug: r.text for r in render_front_matter(wiki.where(F.col("slug").isin(slugs))).collect()}  # as many rows as slugs
+        lines = [r.line for r in log.collect()]
+        for slug in slugs:
+            if slug in there:
+                self._put(slug, there[slug])
+            elif os.path.exists(os.path.join(self.root, f"{slug}.md")):
+                os.remove(os.path.join(self.root, f"{slug}.md"))
+        head = "---\ntitle: {0}\ntype: {1}\ntags: \nsources: \ncreated: \nupdated: \n---\n\n# {0}\n"
+        if not os.path.exists(os.path.join(self.root, "log.md")):
+            self._put("log", head.format("Log", "log"))
+        self._put("log", "".join(f"{x}\n" for x in lines), "a")
+        rows = index_rows(self.entries()).orderBy("area", "ord").toLocalIterator()
+        self._put("index", head.format("Index", "index") + "".join(r.line for r in rows))

@@ -226,6 +226,26 @@ def test_wiki_ingest(spark, pages):
     assert [r.slug for r in kept.collect()] == ["concepts/a"] and sorted(r.slug for r in missing.collect()) == ["concepts/b", "sources/s"]
 
 
+def test_wiki_commands(spark, tmp_path, capsys, monkeypatch):
+    import io
+
+    from quillon.__main__ import main
+
+    root = str(tmp_path / "wiki")
+    run = lambda *args: (main([args[0], root, *args[1:]]), capsys.readouterr().out)[1]
+    (tmp_path / "note.md").write_text("Caches expire. See [[concepts/queue]].")
+    run("wiki-write", "concepts/cache", "Cache", "--file", str(tmp_path / "note.md"), "--tags", "a, b")
+    monkeypatch.setattr("sys.stdin", io.StringIO("Queues hold jobs until a worker is free."))
+    assert '"source_slug": "sources/queues"' in run("wiki-ingest", "Queues", "--area", "adr", "--source", "http://x")
+    assert run("wiki-read", "concepts/cache") == "Caches expire. See [[concepts/queue]].\n"
+    assert run("wiki-search", "queue of jobs").splitlines()[0].startswith("sources/queues")
+    assert "concepts/cache concepts/queue" in run("wiki-lint") and "Cache" in run("wiki-list", "--tags", "b")
+    assert "- [[concepts/cache]] — Cache (Caches expire." in (tmp_path / "wiki" / "index.md").read_text()
+    assert [x.split("] ")[1] for x in (tmp_path / "wiki" / "log.md").read_text().splitlines() if x.startswith("## ")] == ["write | Cache (concepts/cache)", "ingest | Queues (sources/queues)"]
+    run("wiki-delete", "concepts/cache")
+    assert "cache" not in run("wiki-query", "jobs")
+
+
 def test_front_matter(spark, pages):
     back = {r.slug: r for r in markdown.parse_front_matter(markdown.render_front_matter(pages.distinct())).collect()}
     assert back["concepts/a"].title == 'Say "A"' and back["concepts/b"].tags == ["x", "y"] and back["concepts/b"].entry_type == "concept"
