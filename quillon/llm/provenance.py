@@ -74,6 +74,7 @@ def _features(path: Column, content: Column) -> list[Column]:
         ((solid >= 500) & (F.length(bare) < 0.12 * solid) & bare.contains("=")).alias("data"),
         (head.rlike(VENDORED_HEADER) | path.rlike(VENDOR_DIRECTORY)).alias("vendor_mark"),
         blocks(content).alias("blocks"),
+        F.xxhash64(F.translate(content, " \t\r\n", "")).alias("whole"),
     ]
 
 
@@ -131,7 +132,8 @@ def provenance(files: DataFrame) -> DataFrame:
     facts = cut(rows.groupBy("path").agg(F.max_by("f", "at").alias("f")).select("path", "f.*"))
 
     parts = facts.select("path", F.explode("blocks").alias("b")).select("path", F.col("b.h").alias("_hash"), F.col("b.n").cast("bigint").alias("_size"))
-    copies, roots = shared_nodes(_node(parts, ["path"]).withColumnRenamed("node", "path"))
+    small = facts.where(F.size("blocks") == 0).select("path", F.col("whole").alias("_hash"), F.lit(0).cast("bigint").alias("_size"))  # in the tree, but no start of a match
+    copies, roots = shared_nodes(_node(parts, ["path"]).union(small))
     library = F.lower(F.regexp_extract(F.regexp_extract("path", r"([^/]+)$", 1), r"^([A-Za-z0-9]{3,}?)[_.-]", 1))
     named = parts.withColumn("_lib", library).where("_lib <> ''")
     marked = cut(facts.select("path").where("vendor_mark").union(copies).union(shared_blocks(named, roots)).distinct())

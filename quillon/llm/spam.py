@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.frames import frame
@@ -106,14 +106,19 @@ HAM_RULE = """(prose > 0.5 AND function_words > 0.15 AND top_word < 0.13 AND lin
     OR (code > 0.5 AND links < 0.3 AND tags < 0.2 AND repeated_pairs < 0.5) OR (logs > 0.3 AND links < 0.3) OR words < 6"""
 
 
+def host_of(columns: list[str] | None) -> Column:
+    """The first column that is not blank, under its name; empty without one."""
+    named = [F.when(F.trim(F.col(c)) != "", F.concat(F.lit(f"{c}:"), F.lower(F.trim(F.col(c))))) for c in columns or []]
+    return F.coalesce(*named, F.lit(""))
+
+
 def spam_scores(pages: DataFrame, key: str = "doc_id", text: str = "text", host: list[str] | None = None) -> DataFrame:
     """key and spam, the smoothed probability, of every row with a key; blank and null texts have 0.
 
     host: columns of which the first non-blank one names the host. Equal texts are scored alike up to their hosts; repeated rows
     stay. Without labelled pages of both classes the rules decide alone. Other columns are ignored.
     """
-    named = [F.when(F.trim(F.col(c)) != "", F.concat(F.lit(f"{c}:"), F.lower(F.trim(F.col(c))))) for c in host or []]
-    rows = pages.where(F.col(key).isNotNull()).select(F.col(key).alias("_id"), F.coalesce(*named, F.lit("")).alias("_host"), F.coalesce(text, F.lit("")).alias("_text"))
+    rows = pages.where(F.col(key).isNotNull()).select(F.col(key).alias("_id"), host_of(host).alias("_host"), F.coalesce(text, F.lit("")).alias("_text"))
     types = dict(rows.dtypes)["_id"]
     measured = cut(rows.mapInPandas(_measure, f"_id {types}, _host string, " + ", ".join(f"{c} double" for c in FEATURES)))
     labelled = measured.withColumn("label", F.when(F.expr(SPAM_RULE), 1.0).when(F.expr(HAM_RULE), 0.0))
@@ -149,5 +154,4 @@ def p10_host_rates(spark: SparkSession, folder: str) -> DataFrame:
     """Pages and spam pages by host."""
     pages = _pages(spark, folder)
     found = spam_scores(pages, host=["repo", "source"]).where("spam > 0.5").select("doc_id").withColumn("bad", F.lit(1))
-    host = F.coalesce(F.lower(F.trim("repo")), F.lower(F.trim("source")), F.lit("")).alias("host")
-    return pages.select("doc_id", host).join(found, "doc_id", "left").groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.count("bad").alias("spam_pages"))
+    return pages.select("doc_id", host_of(["repo", "source"]).alias("host")).join(found, "doc_id", "left").groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.count("bad").alias("spam_pages"))

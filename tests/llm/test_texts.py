@@ -288,3 +288,13 @@ def test_spam_of_one_class_or_none(spark):
     df = spark.createDataFrame([(1, PROSE)], "doc_id long, text string")
     assert spam.spam_scores(df).first().spam < 0.5
     assert spam.spam_scores(df.limit(0)).count() == 0
+
+
+def test_small_files_of_a_shared_directory_are_copies_too(spark):
+    block = lambda seed: "\n".join(f"function f{seed}_{i}(a, b) {{ return a * {i} + b - {seed}; }}" for i in range(3))
+    big = "\n\n".join(block(i) for i in range(4))
+    rows = [(f"{repo}/{name}", text, "2025-01-01") for repo, own in (("ra", 50), ("rb", 60)) for name, text in (("util/x/big.js", big), ("util/x/tiny.js", "export * from './big';\n"), ("own/app.js", block(own) + "\n\n" + block(own + 1)))]
+    rows.append(("rb/own/other.js", "export * from './big';\n", "2025-01-01"))
+    df = spark.createDataFrame(rows, "path string, content string, at string").selectExpr("path", "content", "cast(at as timestamp) indexed_at")
+    got = {r.path for r in provenance.provenance(df).where("vendored").collect()}
+    assert got == {f"{repo}/util/x/{name}.js" for repo in ("ra", "rb") for name in ("big", "tiny")}
