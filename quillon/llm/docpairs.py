@@ -417,11 +417,11 @@ def _pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def described_functions(files: DataFrame) -> DataFrame:
     """path, name, first_line, description, code of every function of whole source files with real documentation.
 
-    Of several rows of a path the one with the latest indexed_at counts; a null time is earlier than any. Functions are found before these are
+    Of several rows of a path the one with the latest indexed_at counts, where there is such a column; a null time is earlier than any. Functions are found before these are
     told apart, so that texts stay where they are read.
     """
-    at = F.coalesce(F.unix_micros(F.col("indexed_at").cast("timestamp")), F.lit(-(1 << 62))).alias("indexed_at")
-    kept = files.where(F.col("path").isNotNull()).select("path", at, "content")
+    at = F.coalesce(F.unix_micros(F.col("indexed_at").cast("timestamp")), F.lit(-(1 << 62))) if "indexed_at" in files.columns else F.lit(0).cast("bigint")
+    kept = files.where(F.col("path").isNotNull()).select("path", at.alias("indexed_at"), "content")
     found = kept.where(F.col("content").isNotNull()).mapInPandas(_pairs, "path string, indexed_at bigint, name string, first_line int, description string, code string")
     latest = kept.groupBy("path").agg(F.max("indexed_at").alias("indexed_at"))
     return found.join(latest, ["path", "indexed_at"]).drop("indexed_at").distinct()

@@ -175,7 +175,7 @@ def test_trivial_descriptions(text, name, trivial):
 def test_functions_are_delimited(spark):
     files = spark.createDataFrame([("a.js", "/** Adds the two numbers. */\nfunction add(a, b) {\n  return '}' + a; // }\n}\n\n/** TODO */\nfunction no() {}\n"), ("b.py", "class A:\n    def f(self):\n        '''Gives the value back.'''\n        return {\n}\n\ndef g(): pass\n"), ("c.py", None), (None, "x"), ("d.rs", "")], "path string, content string")
     got = {(r.path, r.name, r.first_line, r.description, r.code.count("\n")) for r in docpairs.described_functions(files).collect()}
-    assert got == {("a.js", "add", 2, "Adds the two numbers.", 2), ("b.py", "f", 2, "Gives the value back.", 3)}
+    assert got == {("a.js", "add", 2, "Adds the two numbers.", 2), ("b.py", "f", 2, "Gives the value back.", 2)}
     assert docpairs.described_functions(files.limit(0)).count() == 0
 
 
@@ -298,3 +298,28 @@ def test_small_files_of_a_shared_directory_are_copies_too(spark):
     df = spark.createDataFrame(rows, "path string, content string, at string").selectExpr("path", "content", "cast(at as timestamp) indexed_at")
     got = {r.path for r in provenance.provenance(df).where("vendored").collect()}
     assert got == {f"{repo}/util/x/{name}.js" for repo in ("ra", "rb") for name in ("big", "tiny")}
+
+
+@pytest.mark.parametrize(
+    ("language", "text", "want"),
+    [
+        ("javascript", "/** Adds two numbers up front. */\nconst add = (a, b) => {\n  return a + b;\n};\n", ("add", "const add = (a, b) => {\n  return a + b;\n}")),
+        ("javascript", "/** Doubles the given number x. */\nexport const dbl = async x => x * 2;\n", ("dbl", "export const dbl = async x => x * 2")),
+        ("javascript", "/** Runs it in the background. */\nconst run = async function (q) { go(q); };\n", ("run", "const run = async function (q) { go(q); }")),
+        ("typescript", "class A {\n  /** Handles every event it gets. */\n  private handle: F = (e: Event): void => { this.x(e); };\n}\n", ("handle", "private handle: F = (e: Event): void => { this.x(e); }")),
+        ("java", "class Foo {\n  /** Makes a foo of size n. */\n  Foo(int n) { this.n = n; }\n}\n", ("Foo", "Foo(int n) { this.n = n; }")),
+        ("rust", "fn f(x: u8) -> u8 {\n    //! Says what the thing does.\n    x // }\n}\nfn g() {}\n", ("f", "fn f(x: u8) -> u8 {\n    x // }\n}")),
+        ("python", 'def f(a):\n    """Say what the thing does."""\n    return a\n\nx = 1\n', ("f", "def f(a):\n    return a")),
+        ("python", "def g(): 'One line of real documentation.'; return 1\n", ("g", "def g(): ; return 1")),
+    ],
+)
+def test_code_comes_without_documentation(language, text, want):
+    found = [(name, docpairs.code_of(text, *place)) for name, raw, *place in docpairs.functions_of(text, language) if raw]
+    assert [(name, code.rstrip()) for name, code in found] == [want]
+
+
+def test_functions_of_states_in_force(spark):
+    state = 'def f():\n    """{}"""\n    return 1\n'.format
+    rows = [("a.py", state("What the old state did."), "2025-01-01"), ("a.py", state("What the new state does."), "2025-01-02"), ("a.py", state("What the new state does."), "2025-01-02"), ("b.py", state("No time is told here."), None)]
+    df = spark.createDataFrame(rows, "path string, content string, at string").selectExpr("path", "content", "cast(at as timestamp) indexed_at")
+    assert sorted(r.description for r in docpairs.described_functions(df).collect()) == ["No time is told here.", "What the new state does."]
