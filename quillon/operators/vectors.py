@@ -106,19 +106,21 @@ def similar_pairs(vectors: DataFrame, key: str, least: float = 0.85) -> DataFram
     def find(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out: dict = {"a": [], "b": [], "score": []}
         if len(a) and len(b):
-            names, others = a["id"].to_numpy(), b["id"].to_numpy()
-            cos = np.round(_unit(a["v"]) @ _unit(b["v"]).T, 6)
+            names, others = a["l"].to_numpy(), b["r"].to_numpy()
+            cos = np.round(_unit(a["lv"]) @ _unit(b["rv"]).T, 6)
             i, j = np.nonzero(cos > least)
-            kept = (names[i] < others[j]) if a["block"].iloc[0] == b["block"].iloc[0] else names[i] != others[j]
-            one, other = names[i[kept]], others[j[kept]]
-            swap = one > other
-            out = {"a": list(np.where(swap, other, one)), "b": list(np.where(swap, one, other)), "score": cos[i[kept], j[kept]]}
+            kept = names[i] < others[j] if a["lb"].iloc[0] == b["rb"].iloc[0] else names[i] != others[j]
+            i, j = i[kept], j[kept]
+            swap = names[i] > others[j]
+            out = {"a": list(np.where(swap, others[j], names[i])), "b": list(np.where(swap, names[i], others[j])), "score": cos[i, j]}
         return frame(out)
 
-    rows = vectors.select(F.col(key).alias("id"), F.col("vector").alias("v"), _block_of(key, n).alias("block"))
-    low = rows.withColumn("with", F.explode(F.sequence(F.col("block"), F.lit(n - 1))))  # meets blocks from its own on
-    high = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("block"))))
-    met = low.groupBy("block", "with").cogroup(high.groupBy("with", "block")).applyInPandas(find, f"a {kind}, b {kind}, score double")
+    def side(x: str, others: Column) -> DataFrame:
+        return vectors.select(F.col(key).alias(x), F.col("vector").alias(f"{x}v"), _block_of(key, n).alias(f"{x}b")).withColumn(f"{x}w", F.explode(others))
+
+    low = side("l", F.sequence(F.col("lb"), F.lit(n - 1)))  # meets blocks from its own on
+    high = side("r", F.sequence(F.lit(0), F.col("rb")))
+    met = low.groupBy("lb", "lw").cogroup(high.groupBy("rw", "rb")).applyInPandas(find, f"a {kind}, b {kind}, score double")
     return met.select(F.col("a").alias(f"{key}_a"), F.col("b").alias(f"{key}_b"), "score")
 
 

@@ -134,6 +134,19 @@ def test_vectors_edge_cases(spark):
     assert vectors.batch_top_k(v.limit(0), v, "k", "k", 3).count() == 0
 
 
+def test_vectors_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 7)
+    x = np.random.default_rng(3).standard_normal((40, 4))
+    v = spark.createDataFrame([(f"k{i:02d}", [float(a) for a in row]) for i, row in enumerate(x)], "k string, vector array<double>")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cos = np.round(x @ x.T, 6)
+    got = {(r.k_a, r.k_b, r.score) for r in vectors.similar_pairs(v, "k", 0.5).collect()}
+    assert got == {(f"k{i:02d}", f"k{j:02d}", cos[i, j]) for i in range(40) for j in range(i + 1, 40) if cos[i, j] > 0.5}
+    few = {tuple(r) for r in vectors.batch_top_k(v, v, "k", "k", 3).select("query_k", "rank", "score").collect()}
+    monkeypatch.setattr(vectors, "BROADCAST_QUERIES", 5)
+    assert few == {tuple(r) for r in vectors.batch_top_k(v, v, "k", "k", 3).select("query_k", "rank", "score").collect()} and len(few) == 120
+
+
 def test_relational_embedding_matches_dense_words(spark):
     text = "alpha beta alpha gamma"
     got = {r.bucket: r.weight for r in vectors.embed_sparse(spark.createDataFrame([("d", text)], "d string, t string"), "d", "t", 64).collect()}
