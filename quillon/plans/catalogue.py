@@ -217,7 +217,7 @@ def bm25_two_field(spark, folder):
 @query(f"WITH {_bm25_sql(['content', 'symbol_name'], 'SELECT DISTINCT query_id, query FROM search_queries')} SELECT query_id, id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10")
 def bm25_batch(spark, folder):
     asked = table(spark, folder, "search_queries").select("query_id", "query").distinct()
-    return _ranked(bm25.score_queries(table(spark, folder, "chunks"), asked, "id", ["content", "symbol_name"]), 10)
+    return _ranked(bm25.best_of_queries(table(spark, folder, "chunks"), asked, "id", ["content", "symbol_name"], 10), 10)
 
 
 def _clauses_sql(phrase: str, rule: str) -> str:
