@@ -3,10 +3,10 @@
 Everything runs inside the JVM, in three steps:
 
 1. A text is cut into words by the tokenizer's pattern and its words are looked up as byte arrays. What is found gives ids at once;
-   words that are no token cut the text's ids into runs.
+   words that are no token leave a mark. Until the end a text's ids are one string of numbers, which is stored and read as one value.
 2. The distinct words that are no token are folded, each one once: ``aggregate`` joins, step by step, the adjacent pair of lowest
    rank, until no pair is left that has a rank.
-3. The folded words are joined back to the texts that hold them, and put between the runs.
+3. The folded words are joined back to the texts that hold them, and put in place of the marks.
 
 The rank map is a literal of the plan: a table of one row, an array of small maps addressed by crc32 (Spark scans a map from its
 start), put into expressions as a scalar subquery. So plans carry a reference to it and not its text. The most frequent words that need
@@ -36,6 +36,11 @@ NO_RANK = 1 << 30
 LONG = 512
 #: Marks around a piece in that way; outside the 256 chars that stand for bytes.
 LEFT, RIGHT = "Ā", "ā"
+#: Bits of a place in a word of at most LONG bytes.
+PLACE = 10
+ALL = (1 << PLACE) - 1
+#: Between the numbers of a text's ids, and in place of a word that is still open.
+COMMA, OPEN = ",", "_"
 #: Bounds of the table of frequent words and of the sample it is counted on.
 MAX_WORDS, SAMPLE_ROWS = 1 << 16, 4_000
 
@@ -46,8 +51,8 @@ def load_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
 
 
 def let(value: Column, body) -> Column:
-    """body(value) with value evaluated once."""
-    return F.get(F.transform(F.array(value), body), 0)
+    """body(value) with value evaluated once; a fold over nothing hands it on without a copy."""
+    return F.aggregate(F.array(), value, lambda v, _: v, body)
 
 
 def split_words(text: Column) -> Column:
@@ -68,37 +73,54 @@ def fold_word(word: Column, table: Column) -> Column:
 
 
 def _fold(word: Column, table: Column) -> Column:
-    """State: ``ends``, where pieces begin and the word ends, and ``ranks`` of adjacent pairs; no ranks when no pair has one.
+    """State: a number for each pair of adjacent pieces, in order: rank, start, border and end of the pair, so the least is the first of lowest rank.
 
-    A step takes out the border inside the first pair of lowest rank and looks up the two pairs that are new.
+    A step takes that pair out and makes the numbers of its two neighbours again, which are known by their borders.
     """
+    n = F.octet_length(word)
+
+    def part(pair: Column, shift: int) -> Column:
+        return F.shiftright(pair, shift).bitwiseAND(F.lit(ALL)).cast("int")
+
+    def start(pair: Column) -> Column:
+        return part(pair, 2 * PLACE)
+
+    def border(pair: Column) -> Column:
+        return part(pair, PLACE)
+
+    def end(pair: Column) -> Column:
+        return part(pair, 0)
 
     def rank(start: Column, end: Column) -> Column:
         return _rank(table, F.substring(word, start + 1, end - start))
 
-    none = F.array().cast("array<int>")
+    def pair(start: Column, border: Column, end: Column) -> Column:
+        return rank(start, end).cast("bigint") * (1 << 3 * PLACE) + (start * (1 << 2 * PLACE) + border * (1 << PLACE) + end)
 
-    def step(state: Column, _: Column) -> Column:
+    def step(pairs: Column, _: Column) -> Column:
         def joined(low: Column) -> Column:
-            def ranked(ends: Column) -> Column:
-                before = F.concat(F.slice(state.ranks, F.lit(1), low.at - 2), F.array(rank(F.get(ends, low.at - 2), F.get(ends, low.at))))
-                behind = F.concat(F.array(rank(F.get(ends, low.at - 1), F.get(ends, low.at + 1))), F.slice(state.ranks, low.at + 2, F.size(state.ranks)))
-                ranks = F.concat(F.when(low.at > 1, before).otherwise(none), F.when(low.at < F.size(state.ranks), behind).otherwise(none))
-                return F.struct(ends.alias("ends"), ranks.alias("ranks"))
+            # its start and its end, as they stand in a neighbour's number for the border
+            before, behind = F.shiftright(low.bitwiseAND(F.lit(ALL << 2 * PLACE)), PLACE), F.shiftleft(low.bitwiseAND(F.lit(ALL)), PLACE)
 
-            done = F.struct(state.ends.alias("ends"), none.alias("ranks"))
-            return F.when(low.rank < NO_RANK, let(F.array_remove(state.ends, F.get(state.ends, low.at)), ranked)).otherwise(done)
+            def ranked(before: Column, behind: Column) -> Column:
+                def again(p: Column) -> Column:
+                    at = p.bitwiseAND(F.lit(ALL << PLACE))
+                    return F.when(at == before, pair(start(p), start(low), end(low))).when(at == behind, pair(start(low), end(low), end(p))).otherwise(p)
 
-        def lowest(rank: Column) -> Column:
-            return F.struct(rank.alias("rank"), F.array_position(state.ranks, rank).cast("int").alias("at"))
+                return F.transform(F.array_remove(pairs, low), again)
 
-        return F.when(F.size(state.ranks) > 0, let(let(F.array_min(state.ranks), lowest), joined)).otherwise(state)
+            return let(before, lambda x: let(behind, lambda y: ranked(x, y)))
 
-    n = F.octet_length(word)
-    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: _rank(table, F.substring(word, i + 1, F.lit(2))))).otherwise(none)
-    start = F.struct(F.sequence(F.lit(0), n).alias("ends"), pairs.alias("ranks"))
-    ends = F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), start, step, lambda state: state.ends)
-    return let(ends, lambda e: F.transform(F.slice(e, F.lit(1), F.size(e) - 1), lambda at, i: rank(at, F.get(e, i + 1))))
+        return let(F.array_min(pairs), lambda low: F.when(low < NO_RANK << 3 * PLACE, joined(low)).otherwise(pairs))
+
+    borders = F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))
+    first = F.when(n > 1, F.transform(borders, lambda i: pair(i - 1, i, i + 1))).otherwise(F.array().cast("array<bigint>"))
+
+    def ids(pairs: Column) -> Column:
+        last = F.coalesce(border(F.get(pairs, F.size(pairs) - 1)), F.lit(0))
+        return F.array_append(F.transform(pairs, lambda p: rank(start(p), border(p))), rank(last, n))
+
+    return let(F.aggregate(borders, first, step), ids)
 
 
 def _fold_long(word: Column, table: Column) -> Column:
@@ -148,18 +170,23 @@ class Encoder:
             maps[zlib.crc32(entry[0]) % BUCKETS].append(entry)
         return self.spark.createDataFrame(pa.table({"maps": pa.array([maps], pa.list_(pa.map_(pa.binary(), kind)))})).scalar()
 
-    def _looked_up(self, texts: DataFrame, text: str, frequent: dict[bytes, list[int]], body) -> DataFrame:
-        """texts with _looked = body(words, found, open): the words of the text, the ids of each (null for words that are no key) and the places of these, from 1."""
+    def _found(self, texts: DataFrame, text: str, ids: dict, kind: pa.DataType, body) -> DataFrame:
+        """texts with _looked = body(words, found): the words of the text and what ids, of this kind, has for each (null for words that are no key)."""
 
         def found(maps: Column, words: Column) -> Column:
             return F.transform(words, lambda w: _look_up(maps, w.cast("binary")))
 
+        looked = let(F.col("_maps"), lambda m: let(split_words(F.col(text)), lambda w: let(found(m, w), lambda f: body(w, f))))
+        return texts.withColumn("_maps", self._map(ids, kind)).withColumn("_looked", looked).drop("_maps")
+
+    def _looked_up(self, texts: DataFrame, text: str, frequent: dict[bytes, list[int]], body) -> DataFrame:
+        """texts with _looked = body(words, found, open): the words of the text, the ids of each (null for words that are no key) and the places of these, from 1."""
+
         def places(found: Column) -> Column:
             return F.when(F.size(found) == 0, F.array().cast("array<int>")).otherwise(F.filter(F.sequence(F.lit(1), F.size(found)), lambda i: F.get(found, i - 1).isNull()))
 
-        looked = let(F.col("_maps"), lambda m: let(split_words(F.col(text)), lambda w: let(found(m, w), lambda f: let(places(f), lambda o: body(w, f, o)))))
         ids = {token: [rank] for token, rank in self.ranks.items()} | frequent
-        return texts.withColumn("_maps", self._map(ids, pa.list_(pa.int32()))).withColumn("_looked", looked).drop("_maps")
+        return self._found(texts, text, ids, pa.list_(pa.int32()), lambda w, f: let(places(f), lambda o: body(w, f, o)))
 
     def fold(self, words: DataFrame, word: str) -> DataFrame:
         """words with a column ids: the ids of each row's word."""
@@ -191,9 +218,19 @@ class Encoder:
         looked = self._looked_up(texts, text, frequent, parts)
         return looked.select(*texts.columns, "_looked.*")
 
-    def folded(self, rows: DataFrame, word: str) -> DataFrame:
-        """rows with the column ids of their word; every distinct word is folded once."""
-        return rows.join(self.fold(rows.select(word).distinct(), word).hint("shuffle_hash"), word)
+    def marked(self, texts: DataFrame, text: str, frequent: dict[bytes, list[int]]) -> DataFrame:
+        """texts with _numbers, their ids as one string with OPEN for words that are neither tokens nor frequent, and _open, these words, in order."""
+
+        def parts(words: Column, found: Column) -> Column:
+            return F.struct(F.array_join(found, COMMA, OPEN).alias("_numbers"), F.filter(words, lambda _, i: F.get(found, i).isNull()).alias("_open"))
+
+        ids = {token: str(rank) for token, rank in self.ranks.items()} | {w: COMMA.join(map(str, ids)) for w, ids in frequent.items()}
+        return self._found(texts, text, ids, pa.string(), parts).select(*texts.columns, "_looked.*")
+
+    def folded(self, rows: DataFrame, word: str, form=lambda ids: ids) -> DataFrame:
+        """rows with the column ids of their word, in this form; every distinct word is folded once."""
+        words = self.fold(rows.select(word).distinct(), word)
+        return rows.join(words.withColumn("ids", form(F.col("ids"))).hint("shuffle_hash"), word)
 
 
 def _unknown(words: Column, found: Column, places: Column) -> Column:
@@ -209,12 +246,14 @@ def encode_table(texts: DataFrame, column: str = "text", out: str = "ids", path:
     kept = [c for c in (keep if keep is not None else texts.columns) if c != out]
     renamed = texts.select(F.col(column).alias("_text"), F.struct(*kept).alias("_kept")) if kept else texts.select(F.col(column).alias("_text"))
     numbered = renamed.withColumn("_row", F.monotonically_increasing_id())
-    rows = stored(encoder.looked_up(numbered, "_text", encoder.frequent(renamed, "_text")).drop("_text"))
-    words = encoder.folded(rows.select("_row", F.posexplode("_open").alias("_at", "_word")), "_word")
+    rows = stored(encoder.marked(numbered, "_text", encoder.frequent(renamed, "_text")).drop("_text"))
+    words = encoder.folded(rows.select("_row", F.posexplode("_open").alias("_at", "_word")), "_word", lambda ids: F.array_join(ids.cast("array<string>"), COMMA))
     # gathered where they are needed, and met by hash: neither texts' ids nor words are sorted
     lists = words.repartition("_row").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", "ids"))).alias("_lists")).hint("shuffle_hash")
-    filled = F.flatten(F.transform("_runs", lambda run, i: F.concat(run, F.coalesce(F.get("_lists.ids", i), F.array().cast("array<int>")))))
-    return rows.join(lists, "_row", "left").select(*(["_kept.*"] if kept else []), filled.alias(out))
+    filled = F.array_join(F.transform(F.split("_numbers", OPEN), lambda part, i: F.concat(part, F.coalesce(F.get("_lists.ids", i), F.lit("")))), "")
+    whole = rows.drop("_open").join(lists, "_row", "left").select(*(["_kept"] if kept else []), filled.alias("_filled"))
+    ids = F.when(F.col("_filled") == "", F.array().cast("array<int>")).otherwise(F.split("_filled", COMMA).cast("array<int>"))
+    return whole.select(*(["_kept.*"] if kept else []), ids.alias(out))
 
 
 def decode_table(rows: DataFrame, column: str = "ids", out: str = "text", path: str = VOCABULARY) -> DataFrame:

@@ -41,6 +41,22 @@ def test_words_known_beforehand_change_nothing(spark, tokenizer):
         assert [r.ids for r in encoding.encode_table(df, max_words=most).orderBy("i").collect()] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_a_texts_ids_are_one_string_with_marks_for_open_words(spark, tokenizer):
+    texts = ["the quxozzle of quxozzle", "quxozzle", " of", "", None]
+    one = lambda t: ",".join(map(str, tokenizer.encode(t, add_special_tokens=False).ids))
+    encoder, df = encoding.Encoder(spark), spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = [(r._numbers, r._open) for r in encoder.marked(df, "text", {}).orderBy("i").collect()]
+    assert got == [(f"{one('the')},_,{one(' of')},_", [" quxozzle"] * 2), ("_", ["quxozzle"]), (one(" of"), []), ("", []), ("", [])]
+    known = {" quxozzle".encode(): tokenizer.encode(" quxozzle", add_special_tokens=False).ids}
+    assert encoder.marked(df, "text", known).where("i = 0").first()._numbers == one(texts[0])
+
+
+def test_words_up_to_the_bound_are_folded_from_the_left(spark, tokenizer):
+    words = ["q", "qq", "abababa", "aaaaaaa", "zqxjkvbw" * 5, "é" * 31, "x" * 255, "ab" * (encoding.LONG // 2), "a" * (encoding.LONG + 1)]
+    got = encoding.Encoder(spark).fold(spark.createDataFrame([(w,) for w in words], "w string"), "w").collect()
+    assert {r.w: r.ids for r in got} == {w: tokenizer.encode(w, add_special_tokens=False).ids for w in words}
+
+
 def test_decode_gives_the_text_back(spark):
     df = spark.createDataFrame([(t,) for t in TEXTS if t is not None], "text string")
     back = encoding.decode_table(encoding.encode_table(df), out="back")
